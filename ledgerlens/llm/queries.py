@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import ann, chat, langid, urls
+import public_tokenizers
+from ledgerlens.llm import ann, chat, decontam, langid, packing, quality, urls
+from ledgerlens.llm.shared import Scratch
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -82,10 +84,33 @@ def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, F.col("vec_id") % 50 == 0)
 
 
+def op8_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that importance resampling draws."""
+    docs, labels = (_read(spark, sf_dir, t) for t in ("documents", "labels"))
+    drawn = quality.resample(docs.select("doc_id", "text"), labels, Scratch(spark, "op8"))
+    return drawn.select("doc_id", "log_weight", "gumbel_key")
+
+
+def op9_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that cover a test item, with the share of it that they cover."""
+    docs, items = (_read(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return decontam.contaminated(docs, items).select("doc_id", "item_id", F.size("tiles").cast("long").alias("n_tiles"), "marked_words", "item_words", "coverage")
+
+
+def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, packed."""
+    docs, scratch = _read(spark, sf_dir, "documents"), Scratch(spark, "op10")
+    cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return packing.pack(scratch.write(cut, "pieces")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_url_filter": op2_url_filter,
     "op3_language": op3_language,
     "op6_cross_polytope": op6_cross_polytope,
+    "op8_importance": op8_importance,
+    "op9_string_tiling": op9_string_tiling,
+    "op10_best_fit": op10_best_fit,
 }
 ORACLES = {"op1_chat": OP1_SQL, "op2_url_filter": OP2_SQL}
