@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from ledgerlens.llm import ann, chat, decontam, langid, packing, quality, urls
+from ledgerlens.llm import ann, chat, decontam, jaccard, langid, packing, quality, urls
 from ledgerlens.llm.shared import Scratch
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -78,6 +78,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of four-word shingle sets linked at 85 of 100."""
+    docs = _read(spark, sf_dir, "documents")
+    return jaccard.similar_documents(docs, Scratch(spark, "op4"), k=4, threshold=(85, 100)).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every fiftieth vector among all others."""
     rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -108,6 +114,7 @@ QUERIES = {
     "op1_chat": op1_chat,
     "op2_url_filter": op2_url_filter,
     "op3_language": op3_language,
+    "op4_token_groups": op4_token_groups,
     "op6_cross_polytope": op6_cross_polytope,
     "op8_importance": op8_importance,
     "op9_string_tiling": op9_string_tiling,
