@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from ledgerlens.llm import ann, chat, decontam, jaccard, langid, packing, quality, urls
+from ledgerlens.llm import ann, chat, decontam, jaccard, langid, license, packing, quality, urls, warc
 from ledgerlens.llm.shared import Scratch
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -84,6 +84,90 @@ def op4_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(docs, Scratch(spark, "op4"), k=4, threshold=(85, 100)).select("doc_id", "n_shingles", "component_id")
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Three capture records of each page: a revisit before, the response, and one after it.
+
+    The later revisit has the response's ETag, another one (every fifth page), only the date
+    (every third) or no validator (every seventh).
+    """
+    etag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
+    modified = F.concat(F.lit("day "), F.col("page_id").cast("string"))
+    n = F.col("page_id")
+    response = F.map_from_arrays(F.array(*map(F.lit, ("etag", "last-modified", "content-type", "cache-control"))), F.array(etag, modified, F.lit("text/html"), F.lit("max-age=60")))
+    later_tag = F.when((n % 7 == 0) | (n % 3 == 0), None).when(n % 5 == 0, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), etag))
+    later_day = F.when(n % 7 == 0, None).otherwise(modified)
+    later = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, ("etag", "last-modified", "content-type", "cache-control"))), F.array(later_tag, later_day, F.lit("text/plain"), F.lit("max-age=900"))), lambda k, v: v.isNotNull())
+    three = F.array(
+        *[
+            F.struct((n * 3 + i).alias("record_id"), F.lit(kind).alias("kind"), F.timestamp_seconds(n * 600 + shift).alias("captured_at"), headers.alias("headers"))
+            for i, kind, shift, headers in ((0, "revisit", 0, later), (1, "response", 1_000_000, response), (2, "revisit", 3_000_000, later))
+        ]
+    )
+    return pages.select("page_id", "url", F.explode(three).alias("r")).select("page_id", "url", "r.*")
+
+
+def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The captures of all pages, with revisits resolved."""
+    found = warc.resolve_revisits(captures(_read(spark, sf_dir, "pages")))
+    head = F.col("merged_headers")
+    return found.select("record_id", "page_id", "kind", "canonical", "outcome", "refers_to", head["etag"].alias("etag"), head["content-type"].alias("content_type"), head["cache-control"].alias("cache_control"))
+
+
+OP5_SQL = r"""
+WITH p AS (SELECT page_id, url, '"' || md5(coalesce(html, '')) || '"' AS tag, 'day ' || page_id AS day FROM pages),
+r AS (
+  SELECT page_id, url, page_id * 3 + i AS record_id, CASE WHEN i = 1 THEN 'response' ELSE 'revisit' END AS kind,
+    page_id * 600 + CASE i WHEN 0 THEN 0 WHEN 1 THEN 1000000 ELSE 3000000 END AS at_s,
+    CASE WHEN i = 1 THEN tag WHEN page_id % 7 = 0 OR page_id % 3 = 0 THEN NULL WHEN page_id % 5 = 0 THEN '"other"' ELSE 'W/' || tag END AS etag,
+    CASE WHEN i = 1 OR page_id % 7 <> 0 THEN day END AS day
+  FROM p, (VALUES (0), (1), (2)) AS v(i)),
+b AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(url), '(?s)#.*$', ''), '([?&])(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '\1', 'g'), '&{2,}', '&', 'g'), '\?&+', '?', 'g'), '[?&]+$', '') AS bare FROM r),
+c AS (
+  SELECT *, CASE WHEN regexp_extract(bare, '(?is)^[a-z][a-z0-9+.-]*://([^/?]*)', 1) = '' THEN url ELSE
+    regexp_replace(lower(regexp_extract(bare, '(?is)^[a-z][a-z0-9+.-]*://([^/?]*)', 1)), ':(80|443)$', '')
+    || regexp_replace(regexp_extract(bare, '(?is)^[a-z][a-z0-9+.-]*://[^/?]*(.*)$', 1), '/+$', '') END AS canonical FROM b),
+f AS (
+  SELECT *, last_value(CASE WHEN kind = 'response' THEN {'id': record_id, 'etag': etag, 'day': day} END IGNORE NULLS) OVER (
+    PARTITION BY canonical ORDER BY at_s, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM c),
+o AS (
+  SELECT *, CASE WHEN kind = 'response' THEN 'response' WHEN base IS NULL OR canonical IS NULL THEN 'no_response'
+    WHEN etag IS NOT NULL AND base.etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = regexp_replace(base.etag, '^W/', '') THEN 'resolved' ELSE 'mismatch' END
+    WHEN day IS NOT NULL AND base.day IS NOT NULL THEN CASE WHEN day = base.day THEN 'resolved' ELSE 'mismatch' END
+    ELSE 'no_validator' END AS outcome FROM f)
+SELECT record_id, page_id, kind, canonical, outcome, CASE outcome WHEN 'response' THEN record_id WHEN 'resolved' THEN base.id END AS refers_to,
+  CASE outcome WHEN 'response' THEN etag WHEN 'resolved' THEN coalesce(etag, base.etag) END AS etag,
+  CASE WHEN outcome IN ('response', 'resolved') THEN 'text/html' END AS content_type,
+  CASE outcome WHEN 'response' THEN 'max-age=60' WHEN 'resolved' THEN 'max-age=900' END AS cache_control
+FROM o
+"""
+
+
+def op7_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license notices in all documents."""
+    found = license.scan(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "part", "license", "template", "common", F.round("dice", 6).alias("dice"))
+
+
+def _template_values() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({n}, {quoted(name)}, [{', '.join(map(quoted, license.bigrams(words)))}])" for n, (name, words) in enumerate(license.TEMPLATES))
+
+
+OP7_SQL = rf"""
+WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS part, unnest(x) AS line FROM (SELECT doc_id, string_split_regex(text, '
+|
+|
+') AS x FROM documents)),
+w AS (SELECT doc_id, part, list_filter(string_split(regexp_replace(regexp_replace(translate(line, '{license.UPPER}', '{license.LOWER}'), '\.+(\s|$)', ' ', 'g'), '[^\p{{L}}\p{{N}}.]+', ' ', 'g'), ' '), lambda x: x <> '') AS words FROM l),
+g AS (SELECT doc_id, part, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams FROM w WHERE len(words) > 1),
+t(n, license, want) AS (VALUES {_template_values()}),
+m AS (SELECT doc_id, part, n, license, len(list_intersect(grams, want)) AS common, len(grams) + len(want) AS total FROM g JOIN t ON len(list_intersect(grams, want)) * 2 * 5 >= 4 * (len(grams) + len(want))),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, part ORDER BY 2.0::DOUBLE * common / total DESC, n) AS place FROM m)
+SELECT doc_id, CAST(part AS BIGINT) AS part, license, CAST(n AS BIGINT) AS template, CAST(common AS BIGINT) AS common, round(2.0::DOUBLE * common / total, 6) AS dice FROM r WHERE place = 1
+"""
+
+
 def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every fiftieth vector among all others."""
     rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -115,9 +199,11 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_language": op3_language,
     "op4_token_groups": op4_token_groups,
+    "op5_revisits": op5_revisits,
     "op6_cross_polytope": op6_cross_polytope,
+    "op7_license_dice": op7_license_dice,
     "op8_importance": op8_importance,
     "op9_string_tiling": op9_string_tiling,
     "op10_best_fit": op10_best_fit,
 }
-ORACLES = {"op1_chat": OP1_SQL, "op2_url_filter": OP2_SQL}
+ORACLES = {"op1_chat": OP1_SQL, "op2_url_filter": OP2_SQL, "op5_revisits": OP5_SQL, "op7_license_dice": OP7_SQL}
