@@ -75,7 +75,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tu
     some = some.select("doc_id", "part", "line", words_of(F.col("line")).alias("words"))
     # repeated bigrams count once, so a part may have many more words; only the least is a bound
     some = some.where(F.size("words") > least)
-    two = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words")), lambda a, b: F.concat_ws(" ", a, b))
+    two = F.zip_with(F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.concat_ws(" ", a, b))
     some = some.select("doc_id", "part", "line", two.alias("pairs"))
     some = some.where(F.arrays_overlap("pairs", F.array(*[F.lit(g) for g in every])))
     some = some.select("doc_id", "part", "line", F.array_distinct("pairs").alias("grams"))
