@@ -42,13 +42,13 @@ def normalize_nulls(df: DataFrame, *names: str) -> DataFrame:
 
 def first_part(c: Column, sep: str = "|") -> Column:
     """The first part that is not a null token."""
-    parts = F.filter(F.transform(F.split(c, re.escape(sep)), F.trim), lambda p: ~F.lower(p).isin(*NULL_TOKENS))
+    parts = F.filter(F.transform(F.split(c, re.escape(sep)), lambda p: F.trim(p)), lambda p: ~F.lower(p).isin(*NULL_TOKENS))
     return F.when(F.size(parts) > 0, parts[0])
 
 
 def parts_of(c: Column, sep: str) -> Column:
     """Distinct trimmed parts, empty ones dropped."""
-    return F.array_distinct(F.filter(F.transform(F.split(c, re.escape(sep)), F.trim), lambda p: p != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(c, re.escape(sep)), lambda p: F.trim(p)), lambda p: p != ""))
 
 
 def number(c: Column) -> Column:
@@ -121,7 +121,7 @@ def structure_cell(c: Column) -> Column:
 
     A single chain letter is the heavy chain alone.
     """
-    cells = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), F.trim), lambda x: ~F.lower(x).isin(*NULL_TOKENS) & x.rlike(r"^[^:]+:[^:]+$"))
+    cells = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda p: F.trim(p)), lambda x: ~F.lower(x).isin(*NULL_TOKENS) & x.rlike(r"^[^:]+:[^:]+$"))
     return F.transform(
         cells,
         lambda x: F.struct(

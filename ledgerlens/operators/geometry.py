@@ -89,7 +89,7 @@ def contact_distances(atoms: DataFrame, targets: DataFrame, structure: str = "pd
 
     def run(_, a: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(a):
-            return pd.DataFrame({structure: [], "residue": [], "aa": [], "min_dist": []})
+            return pd.DataFrame([], columns=[structure, "residue", "aa", "min_dist"], dtype=object)
         p, q = a[["x", "y", "z"]].to_numpy(float), t[["x", "y", "z"]].to_numpy(float)
         near = np.full(len(p), np.inf)
         for i in range(0, len(q), 1024):
@@ -97,8 +97,11 @@ def contact_distances(atoms: DataFrame, targets: DataFrame, structure: str = "pd
             for j in range(0, len(p), 4096):
                 d = ((p[j : j + 4096, None, :] - part[None]) ** 2).sum(2).min(1)
                 near[j : j + 4096] = np.minimum(near[j : j + 4096], d)
-        out = a.assign(min_dist=np.sqrt(near)).groupby([structure, "residue", "aa"], as_index=False)["min_dist"].min()
-        return out[np.isfinite(out["min_dist"])]
+        least: dict[tuple, float] = {}
+        for key, d in zip(zip(a[structure], a["residue"], a["aa"]), np.sqrt(near)):
+            least[key] = min(d, least.get(key, np.inf))
+        rows = [(*key, float(d)) for key, d in least.items() if np.isfinite(d)]
+        return pd.DataFrame(rows, columns=[structure, "residue", "aa", "min_dist"], dtype=object)
 
     kind = {f.name: f.dataType.simpleString() for f in atoms.schema.fields}
     schema = f"`{structure}` {kind[structure]}, residue {kind['residue']}, aa string, min_dist double"

@@ -5,6 +5,8 @@ Small sides are left to the planner's own size-checked broadcast; no hint forces
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,18 +55,15 @@ def one_to_one_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """Left join in which nulls are equal, to the first right row; adds ``fan_out``."""
     first = keep_one(right, keys, *order)
-    many = right.groupBy(*keys).agg(F.count("*").alias("fan_out"))
-    r = first.alias("r")
-    m = many.alias("m")
-    on = [first[k].eqNullSafe(many[k]) for k in keys]
-    side = r.join(m, [F.col(f"r.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]).select("r.*", "m.fan_out")
-    del on
+    many = right.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("fan_out"))
+    side = first.join(many, _same(keys)).drop(*[f"_{k}" for k in keys])
     side = side.select(*[F.col(c).alias(f"_{c}") if c in keys else F.col(c) for c in side.columns])
-    cond = None
-    for k in keys:
-        part = left[k].eqNullSafe(side[f"_{k}"])
-        cond = part if cond is None else cond & part
-    return left.join(side, cond, "left").drop(*[f"_{k}" for k in keys])
+    return left.join(side, _same(keys), "left").drop(*[f"_{k}" for k in keys])
+
+
+def _same(keys: list[str]) -> Column:
+    """Keys equal to those of a leading underscore, nulls too."""
+    return reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
 
 
 def sentinel_key(*cols: str) -> Column:
@@ -100,9 +99,9 @@ def pairs_within(df: DataFrame, cluster: list[str], key: str, value: str, blocks
 
 def pair_counts(df: DataFrame, cluster: str, size: str) -> DataFrame:
     """Pairs of equal and of unequal size in each cluster, counted without making pairs."""
-    per = df.groupBy(cluster, size).agg(F.count("*").alias("n"))
+    per = df.groupBy(cluster, size).agg(F.count("*").alias("_n"))
     two = lambda c: c * (c - 1) / 2
-    return per.groupBy(cluster).agg(F.sum(two(F.col("n"))).cast("long").alias("equal_pairs"), two(F.sum("n")).cast("long").alias("all_pairs")).withColumn("unequal_pairs", F.col("all_pairs") - F.col("equal_pairs"))
+    return per.groupBy(cluster).agg(F.sum(two(F.col("_n"))).cast("long").alias("equal_pairs"), two(F.sum("_n")).cast("long").alias("all_pairs")).withColumn("unequal_pairs", F.col("all_pairs") - F.col("equal_pairs"))
 
 
 def overlap(a: DataFrame, b: DataFrame, col: str) -> DataFrame:

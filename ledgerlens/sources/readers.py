@@ -195,7 +195,7 @@ def antigen_atoms(atoms: DataFrame, wanted: DataFrame, antibody: DataFrame) -> D
 def fasta_rows(df: DataFrame) -> DataFrame:
     """(gene_id, seq) of records as read with ``lineSep='>'``; raises on none."""
     rows = df.where(F.trim("value") != "").select(F.split("value", r"\r?\n").alias("p"))
-    return rows.select(F.trim(F.split(F.col("p")[0], r"\s")[0]).alias("gene_id"), F.array_join(F.transform(F.slice("p", F.lit(2), F.size("p")), F.trim), "").alias("seq"))
+    return rows.select(F.trim(F.split(F.col("p")[0], r"\s")[0]).alias("gene_id"), F.array_join(F.transform(F.slice("p", F.lit(2), F.size("p")), lambda x: F.trim(x)), "").alias("seq"))
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
