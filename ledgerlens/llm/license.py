@@ -1,10 +1,11 @@
 """License scans: lines of text against templates by Dice over word bigrams, in DataFrame functions.
 
-Every line of a text, and every paragraph of several lines, is normalised (A-Z lowered, runs
+Every line of a text is normalised (A-Z lowered, runs
 of anything but letters, digits and dots become one space). Its set of word bigrams is
 compared with a template's: 2 |A and B| / (|A| + |B|). The sizes alone bound this, so only
-templates of a size within reach are tried, and a text's part is dropped at once where it
-has no bigram of any template.
+templates of a size within reach are tried. The threshold also bounds how many of a
+template's bigrams a part may lack, so a text or line without certain words of every
+template is dropped before it is normalised.
 
 The templates are a short fixed list; the list itself is a parameter. They are held in the
 plan as literals, so nothing is shuffled or broadcast.
@@ -52,6 +53,22 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+def anchors(words: str, num: int, den: int) -> list[str]:
+    """Words of a template of which a part that reaches num/den has at least one.
+
+    Such a part lacks at most a share of the template's bigrams; the words, long ones
+    and numbers first, touch more bigrams than that.
+    """
+    grams = [tuple(g.split(" ")) for g in bigrams(words)]
+    need = len(grams) - -(-num * len(grams) // (2 * den - num)) + 1
+    found: list[str] = []
+    left = set(grams)
+    while len(grams) - len(left) < need:
+        found.append(max(sorted({w for g in left for w in g}), key=lambda w: len(w) + 3 * any(c.isdigit() for c in w)))
+        left = {g for g in left if found[-1] not in g}
+    return found
+
+
 def words_of(part: Column) -> Column:
     """Words of a part: dots count within words only."""
     bare = F.regexp_replace(F.translate(part, UPPER, LOWER), r"\.+(?=\s|$)", " ")
@@ -69,7 +86,17 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tu
     known = [(name, grams, bounds(len(grams), num, den)) for name, words in templates for grams in [bigrams(words)]]
     least, most = min(b[0] for _, _, b in known), max(b[1] for _, _, b in known)
     every = sorted({g for _, grams, _ in known for g in grams})
-    lines = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(F.col(text), r"\r\n|\r|\n")).alias("part", "line"))
+    # a word of a part stands in it as it is, so texts and lines without any anchor are out
+    sought = sorted({w for _, words in templates for w in anchors(words, num, den)})
+    sought = [w for w in sought if not any(o != w and o in w for o in sought)]
+
+    def hopeful(c: str) -> Column:
+        low, out = F.lower(F.col(c)), F.lit(False)
+        for w in sought:
+            out = out | F.contains(low, F.lit(w))
+        return out
+
+    lines = docs.where(hopeful(text)).select(F.col(key).alias("doc_id"), F.posexplode(F.split(F.col(text), r"\r\n|\r|\n")).alias("part", "line")).where(hopeful("line"))
     # a part of as many bigrams has one word more, each of a byte and a space at least
     some = lines.where(F.length("line") >= 2 * least)
     some = some.select("doc_id", "part", "line", words_of(F.col("line")).alias("words"))
