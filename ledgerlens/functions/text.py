@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: texts that stand for null (fixed values)
-NULL_TOKENS = ("", "na", "n/a", "none", "null", "nan")
+NULL_TOKENS = ("", "none", "n/a", "na", "nan", "null")
+#: in a structure's chain fields, where "unknown" names no chain (fixed values)
+FIELD_NULL_TOKENS = (*NULL_TOKENS, "unknown")
 
 #: modified residues and the letter of their parent (fixed values)
 PARENTS = {
@@ -24,9 +26,9 @@ AMINO_ACIDS = {
     "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V",
 }
 #: residue names of nucleotides and their letters (fixed values)
-NUCLEOTIDES = {"A": "A", "C": "C", "G": "G", "U": "U", "DA": "A", "DC": "C", "DG": "G", "DT": "T"}
+NUCLEOTIDES = {"DA": "A", "DC": "C", "DG": "G", "DT": "T", "DU": "U", "A": "A", "C": "C", "G": "G", "U": "U", "I": "I"}
 #: loops by position, first and last, both inside (fixed values)
-LOOPS = {"1": (27, 38), "2": (56, 65), "3": (105, 117)}
+LOOPS = {"1": (27, 38.9), "2": (56, 65.9), "3": (105, 117.9)}
 
 
 def null_if_token(c: Column) -> Column:
@@ -42,7 +44,7 @@ def normalize_nulls(df: DataFrame, *names: str) -> DataFrame:
 
 def first_part(c: Column, sep: str = "|") -> Column:
     """The first part that is not a null token."""
-    parts = F.filter(F.transform(F.split(c, re.escape(sep)), lambda p: F.trim(p)), lambda p: ~F.lower(p).isin(*NULL_TOKENS))
+    parts = F.filter(F.transform(F.split(c, re.escape(sep)), lambda p: F.trim(p)), lambda p: ~F.lower(p).isin(*FIELD_NULL_TOKENS))
     return F.when(F.size(parts) > 0, parts[0])
 
 
@@ -194,11 +196,12 @@ class Rules:
 
     categories: tuple[tuple[str, tuple[Keyword, ...]], ...]
     default: str
-    edge: str = field(default=r"(?:^|[^a-z0-9_]){}(?:$|[^a-z0-9_])")
+    #: how a keyword stands in a text where it must be a word of its own
+    edge: str = r"\b{}\b"
 
 
 def classify(text: Column, rules: Rules) -> Column:
-    """The first category with a keyword in the lowered text, else the default; ASCII words."""
+    """The first category with a keyword in the lowered text, else the default."""
     lowered = F.lower(F.coalesce(text, F.lit("")))
     out = None
     for name, keywords in rules.categories:

@@ -10,11 +10,13 @@ from ledgerlens.functions import runs as R
 from ledgerlens.functions import stats as S
 from ledgerlens.functions import text as T
 from ledgerlens.operators import dedup, geometry, graph, joins, sampling
-from ledgerlens.plans import compare
+from ledgerlens.plans import antigens, compare
 from ledgerlens.sources import contracts as C
 
 LENGTHS = (3, 35)
 ALPHABET = "ACDEFGHIKLMNPQRSTVWY"
+#: symbols of repertoire tokens: the letters follow five special tokens
+SYMBOLS = {5 + i: letter for i, letter in enumerate(ALPHABET)}
 ANTIBODY = ["pdb_id", "h_chain", "l_chain"]
 
 
@@ -61,9 +63,9 @@ def redundancy(master: DataFrame, sequence: str = "h3_seq", identity: float = 0.
     return rows, dedup.cluster_sizes(rows, "cluster_rep", sequence)
 
 
-def landscape(master: DataFrame, rules: T.Rules, name: str = "antigen_name", flag: str = "is_therapeutic") -> tuple[DataFrame, DataFrame]:
+def landscape(master: DataFrame, rules: T.Rules = antigens.RULES, name: str = "antigen_name", kind: str = "antigen_type", flag: str = "is_therapeutic") -> tuple[DataFrame, DataFrame]:
     """Classes of antigen-bound rows: metrics, and classes by flag."""
-    rows = master.where(T.truthy(F.col("has_antigen"))).withColumn("antigen_class", T.classify(F.col(name), rules))
+    rows = master.where(T.truthy(F.col("has_antigen"))).withColumn("antigen_class", T.classify(F.concat_ws(" ", name, kind), rules))
     return M.summary(M.counts(rows, "antigen_class")), M.crosstab(rows, "antigen_class", flag, [False, True])
 
 
@@ -124,7 +126,7 @@ def token_letters(tokens: Column, symbols: dict[int, str]) -> Column:
     return F.filter(F.transform(tokens, lambda t: F.try_element_at(known, t.cast("int"))), lambda s: s.isNotNull())
 
 
-def repertoire_composition(repertoire: DataFrame, symbols: dict[int, str]) -> DataFrame:
+def repertoire_composition(repertoire: DataFrame, symbols: dict[int, str] = SYMBOLS) -> DataFrame:
     """(letter, n) of the last loop of repertoire rows."""
     run = R.last_run(R.true_runs(F.col("cdr_full_mask")))
     rows = repertoire.select(F.explode(token_letters(R.cut_array(F.col("tokens"), run), symbols)).alias("letter"))

@@ -287,6 +287,7 @@ def one_to_many(spark, sf):
 
 # ---- classes, sequences and runs
 
+_EDGE = "(?:^|[^a-z0-9_]){}(?:$|[^a-z0-9_])"  # engines differ in word boundaries beside accented letters
 RULES = T.Rules(
     (
         ("conversation", (T.Keyword("you"), T.Keyword("what"))),
@@ -295,8 +296,8 @@ RULES = T.Rules(
         ("license", (T.Keyword("licens", inside=True),)),
     ),
     "other",
+    edge=_EDGE,
 )
-_EDGE = "(?:^|[^a-z0-9_]){}(?:$|[^a-z0-9_])"
 _CLASS = f"""CASE WHEN regexp_matches(lower({{c}}), '{_EDGE.format("(?:you|what)")}') THEN 'conversation'
  WHEN regexp_matches(lower({{c}}), '{_EDGE.format("(?:where)")}') OR (contains(lower({{c}}), 'there') AND NOT contains(lower({{c}}), 'therein') AND NOT contains(lower({{c}}), 'thereand')) THEN 'place'
  WHEN regexp_matches(lower({{c}}), '{_EDGE.format("(?:who|idiot|loser)")}') THEN 'person' WHEN contains(lower({{c}}), 'licens') THEN 'license' ELSE 'other' END"""

@@ -183,7 +183,12 @@ def variable_domain(atoms: DataFrame, last: int = 128) -> DataFrame:
 
 
 #: residue names of solvent, ions and buffers (fixed values)
-SOLVENT = ("HOH", "WAT", "DOD", "SO4", "PO4", "GOL", "EDO", "PEG", "ACT", "CL", "NA", "MG", "CA", "ZN", "K")
+SOLVENT = (
+    "HOH", "WAT", "DOD",
+    "NA", "CL", "MG", "ZN", "K", "MN", "FE", "CU", "CO", "NI", "CD", "HG", "BA", "CS", "LI", "SR", "CA",
+    "SO4", "PO4", "GOL", "EDO", "PEG", "PG4", "ACT", "TRS", "MPD", "BME", "DTT", "IMD", "FMT", "EPE", "NH4", "ACY", "UNK", "UNL",
+    "1PE", "MES", "BOG", "CIT", "TAR", "OXL",
+)
 
 
 def antigen_atoms(atoms: DataFrame, wanted: DataFrame, antibody: DataFrame) -> DataFrame:

@@ -75,3 +75,11 @@ def test_letters(spark):
     assert {(r["letter"], r["n"]) for r in R.composition(df, "s", "AC").collect()} == {("A", 3), ("C", 1)}
     cut = spark.sql("SELECT 'abcdef' AS s, named_struct('first', 1, 'last', 3) AS r, array(1,2,3,4) AS a").select(R.cut_text(F.col("s"), F.col("r")), R.cut_array(F.col("a"), F.col("r")), R.joined_chains(F.col("a"), F.lit(None).cast("array<int>"), 3)).first()
     assert cut[0] == "bcd" and cut[1] == [2, 3, 4] and cut[2]["values"] == [1, 2, 3] and cut[2]["truncated"]
+
+
+def test_antigen_classes(spark):
+    from ledgerlens.plans import antigens
+
+    cases = {"Spike glycoprotein": "viral", "CD320 antigen": "other_protein", "T-cell CD3 epsilon": "immune_receptor", "il-6 receptor": "immune_receptor", "il- x": "other_protein", "botulinum neurotoxin": "bacterial", "alpha-cobratoxin": "other_protein", "tumor necrosis factor": "immune_receptor", "RNase A": "enzyme", "bacterial protein": "other_protein", None: "other_protein"}
+    got = spark.createDataFrame([(k,) for k in cases], "x string").select("x", T.classify(F.col("x"), antigens.RULES).alias("c")).collect()
+    assert {r["x"]: r["c"] for r in got} == cases
