@@ -11,9 +11,11 @@ Equal sets are one class from the start. The steps after that:
    tokens first, just as many as must contain one shared with any linked set.
 3. Groups. Survivors with the same leading shared token and nearly the same size form a
    group; a group of more than ``GROUP`` is cut by hash. The matrix holds each group's
-   union of prefix tokens. Two groups are opened only where they share a token of it and
-   their sizes allow a link.
-4. Opening. Within a group, and between two groups, a set is bounded by its overlap with the
+   union of prefix tokens. Groups are first compared within themselves and with the first
+   cut of the same group; what is connected then is a part of the group. Two parts are
+   opened only where they are in different components, share a token of the matrix, and
+   their sizes allow a link, so a large group of copies does not meet itself cut by cut.
+4. Opening. Within a group, and between two parts, a set is bounded by its overlap with the
    other group's token union; only where this reaches the threshold its members are
    compared, all tokens at a time, and sets already connected are not compared again.
 
@@ -40,11 +42,13 @@ from ledgerlens.llm import kernels as K
 from ledgerlens.llm.components import components
 
 #: sizes from which sampling begins, and by how much the sample exceeds what may be missing
-LEVELS = ((0, None), (256, 3.3), (1024, 2.0))
+LEVELS = ((0, None), (256, 2.6), (1024, 1.7))
 SKETCH_BITS = 22
 SKETCH_PARTS = 64
 #: most sets and, about, tokens of a group
 GROUP, GROUP_TOKENS = 256, 1_000_000
+#: members of a component that make it a part of its group
+PART = 16
 
 
 def level_of(size: int) -> int:
@@ -66,8 +70,8 @@ class Threshold:
     def limit(self, level: int) -> np.uint64:
         """Tokens up to this hash are sampled.
 
-        A sample is at least twice what a linked set may lack, in the mean; for it to hold
-        no shared token, it would have to be smaller by ten standard deviations.
+        A sample has far more tokens than a linked set may lack, in the mean; for it to hold
+        no shared token, it would have to be smaller by more than seven standard deviations.
         """
         spare = LEVELS[level][1]
         return np.uint64(2**64 - 1) if spare is None else np.uint64(min(2**64 - 1, int(spare * (1 - self.num / self.den) * 2.0**64)))
@@ -85,10 +89,16 @@ class Threshold:
 
 
 def _sketch(k: int):
-    """How many documents of this task hold tokens of each bucket, in parts."""
+    """How many sets of this task hold tokens of each bucket (up to 255), in parts."""
 
     def run(batches):
-        counts, held, size = np.zeros(1 << SKETCH_BITS, np.int32), [], 0
+        counts, held, size = np.zeros(1 << SKETCH_BITS, np.uint8), [], 0
+
+        def add() -> None:
+            found = np.bincount(np.concatenate(held), minlength=1 << SKETCH_BITS)
+            found += counts
+            counts[:] = np.minimum(found, 255)
+
         for b in batches:
             for w in K.words(b.column(0)):
                 sets = [s for s in K.shingle_sets(w, k) if len(s)]
@@ -96,33 +106,71 @@ def _sketch(k: int):
                     held.append((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
                     size += len(held[-1])
                 if size > 1 << SKETCH_BITS:
-                    counts += np.bincount(np.concatenate(held), minlength=1 << SKETCH_BITS).astype(np.int32)
+                    add()
                     held, size = [], 0
         if held:
-            counts += np.bincount(np.concatenate(held), minlength=1 << SKETCH_BITS).astype(np.int32)
+            add()
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([p.tobytes() for p in np.split(counts, SKETCH_PARTS)], pa.binary())], names=["part", "counts"])
+            yield _parts_batch(counts)
 
     return run
 
 
-def _sum_parts(frame: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in frame["counts"])
-    return pd.DataFrame({"part": [frame["part"].iloc[0]], "total": [int(total.sum())], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+def _parts_batch(values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([p.tobytes() for p in np.split(values, SKETCH_PARTS)], pa.binary())], names=["part", "bytes"])
+
+
+def _add_parts(frame: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(len(frame["bytes"].iloc[0]), np.int64)
+    for x in frame["bytes"]:
+        total += np.frombuffer(x, np.uint8)
+    return pd.DataFrame({"part": [frame["part"].iloc[0]], "bytes": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+
+
+def _join_parts(frame: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(len(frame["bytes"].iloc[0]), np.uint8)
+    for x in frame["bytes"]:
+        total |= np.frombuffer(x, np.uint8)
+    return pd.DataFrame({"part": [frame["part"].iloc[0]], "bytes": [total.tobytes()]})
+
+
+def _collected(each: DataFrame, combine) -> list[bytes]:
+    """The combined parts in order, SKETCH_PARTS of them at most."""
+    rows = each.groupBy("part").applyInPandas(combine, "part int, bytes binary")
+    return [bytes(r[1]) for r in sorted(rows.toLocalIterator(), key=lambda r: r[0])]
 
 
 def hot_buckets(texts: DataFrame, k: int) -> np.ndarray:
     """Bits of the sketch's buckets that hold far more tokens than the mean; 512 KB."""
-    each = texts.mapInArrow(_sketch(k), "part int, counts binary")
-    summed = each.groupBy("part").applyInPandas(_sum_parts, "part int, total long, counts binary")
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    size = (1 << SKETCH_BITS) // SKETCH_PARTS
-    for r in summed.select("part", "counts").toLocalIterator():  # SKETCH_PARTS rows
-        counts[r[0] * size : (r[0] + 1) * size] = np.frombuffer(r[1], np.int32)
-    mean = counts.sum() / len(counts)
+    parts = _collected(texts.mapInArrow(_sketch(k), "part int, bytes binary"), _add_parts)
+    counts = np.concatenate([np.frombuffer(x, np.int32) for x in parts]) if parts else np.zeros(1 << SKETCH_BITS, np.int32)
+    mean = counts.sum(dtype=np.int64) / len(counts)
     return np.packbits(counts > max(64, 4 * mean + 10 * math.sqrt(mean)))
 
 
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (K.mix(ids.astype(np.int64).view(np.uint64) + np.uint64(77)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def id_bitmap(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap that holds all ids, and few others: 16 bits an id, at most 16 MB.
+
+    Past that bound it holds more others, so more rows pass; none is lost.
+    """
+    bits = min(27, max(12, math.ceil(math.log2(16 * max(ids.count(), 1)))))
+
+    def run(batches):
+        field = np.zeros(1 << (bits - 3), np.uint8)
+        for b in batches:
+            at = _places(b.column(0).to_numpy(), bits)
+            np.bitwise_or.at(field, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        if field.any():
+            yield _parts_batch(field)
+
+    parts = _collected(ids.mapInArrow(run, "part int, bytes binary"), _join_parts)
+    return (np.frombuffer(b"".join(parts), np.uint8) if parts else np.zeros(1 << (bits - 3), np.uint8)), bits
+
+
 def is_hot(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     at = (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
@@ -163,7 +211,7 @@ def _sampled(k: int, t: Threshold, shared_hot):
         bits = shared_hot.value
         for b in batches:
             cols: list[list[np.ndarray]] = [[], [], []]
-            seen = set()
+            seen, size = set(), 0
             for w in K.words(b.column(0)):
                 for s in K.shingle_sets(w, k):
                     if not len(s) or (cls := set_hash(s)[0]) in seen:
@@ -175,13 +223,21 @@ def _sampled(k: int, t: Threshold, shared_hot):
                         cols[0].append(np.full(len(cold), cls, np.int64))
                         cols[1].append(np.full(len(cold), level, np.int8))
                         cols[2].append(cold)
+                        size += len(cold)
+                if size > 200_000:
+                    yield _posted(cols)
+                    cols, size = [[], [], []], 0
             if cols[0]:
-                c = [np.concatenate(x) for x in cols]
-                yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1]), pa.array(K.signed(c[2]))], names=["cls", "level", "token"])
+                yield _posted(cols)
 
     return run
 
 
+def _posted(cols: list[list[np.ndarray]]) -> pa.RecordBatch:
+    c = [np.concatenate(x) for x in cols]
+    return pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1]), pa.array(K.signed(c[2]))], names=["cls", "level", "token"])
+
+
 def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition dealt by token: the rows whose token two classes or more hold."""
     parts = [b for b in batches if b.num_rows]
@@ -231,28 +287,51 @@ def _prefix(s: np.ndarray, bits: np.ndarray, level_at: np.ndarray, token: np.nda
     return np.concatenate(prefix), all_known[(all_held * 2 >= middle) & (all_held <= 2 * middle)].min()
 
 
-def _prefixes(k: int, t: Threshold, shared_hot):
-    """Of a class's text and shared cold tokens: prefix, group key and all its tokens."""
+def _token_sets(k: int, shared_map):
+    """(doc_id, class, tokens) of rows whose id the bitmap holds."""
+
+    def run(batches):
+        field, bits = shared_map.value
+        for b in batches:
+            ids = b.column(0)
+            at = _places(ids.fill_null(0).to_numpy(), bits)
+            keep = np.flatnonzero(((field[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1) & ids.is_valid().to_numpy(zero_copy_only=False))
+            if not len(keep):
+                continue
+            part = b.take(pa.array(keep))
+            out: list[list] = [[], [], []]
+            numbers = part.column(0).to_numpy()
+            for w in K.words(part.column(1)):
+                for i, s in enumerate(K.shingle_sets(w, k), w.first):
+                    if len(s):
+                        for col, v in zip(out, (int(numbers[i]), set_hash(s)[0], s.tobytes())):
+                            col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["doc_id", "cls", "tokens"])
+
+    return run
+
+
+def _prefixes(t: Threshold, shared_hot):
+    """Of a class's tokens and its shared cold ones: prefix and group key."""
 
     def run(batches):
         bits = shared_hot.value
         for b in batches:
             out: list[list] = [[], [], [], [], [], []]
-            shared, classes = b.column("shared"), b.column("cls").to_numpy()
+            shared, classes, sets = b.column("shared"), b.column("cls").to_numpy(), b.column("tokens")
             flat = shared.flatten()
             level, token, held = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
             ends = np.cumsum([len(x) if x.is_valid else 0 for x in shared])
-            for w in K.words(b.column("text")):
-                for i, s in enumerate(K.shingle_sets(w, k), w.first):
-                    if not len(s) or set_hash(s)[0] != classes[i]:  # another row of the same id
-                        continue
-                    at = slice(ends[i - 1] if i else 0, ends[i])
-                    found = _prefix(s, bits, level[at], token[at].astype(np.int64).view(np.uint64), held[at].astype(np.int64), t)
-                    if found:
-                        prefix, lead = found
-                        bucket = int(math.log(len(s)) / math.log(t.den / t.num))
-                        for col, v in zip(out, (int(classes[i]), int(np.array([lead], np.uint64).view(np.int64)[0]), bucket, len(s), prefix, s.tobytes())):
-                            col.append(v)
+            for i in range(b.num_rows):
+                raw = sets[i].as_py()
+                s = np.frombuffer(raw, np.uint64)
+                at = slice(ends[i - 1] if i else 0, ends[i])
+                found = _prefix(s, bits, level[at], token[at].astype(np.int64).view(np.uint64), held[at].astype(np.int64), t)
+                if found:
+                    prefix, lead = found
+                    bucket = int(math.log(len(s)) / math.log(t.den / t.num))
+                    for col, v in zip(out, (int(classes[i]), int(np.array([lead], np.uint64).view(np.int64)[0]), bucket, len(s), prefix, raw)):
+                        col.append(v)
             if out[0]:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds)], names=["cls", "lead", "bucket", "n", "prefix", "tokens"])
@@ -332,24 +411,32 @@ def _open(t: Threshold):
 
 
 def group_pairs(members: DataFrame, t: Threshold) -> DataFrame:
-    """(g, h), g < h, of groups that share a token of the matrix and may hold linked sizes."""
-    matrix = members.select("g", F.explode("prefix").alias("token"), "n").groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    """(g, h), g < h, of parts of groups that share a token of the matrix and may be linked.
+
+    ``members``: g (part), parent (group), label (component so far), n, prefix. Parts of one
+    group have been compared, and parts of one component need not be. Within a token's list
+    only parts outside its largest component meet the others.
+    """
+    matrix = members.select("g", "parent", "label", F.explode("prefix").alias("token"), "n").groupBy("token", "g").agg(F.first("parent").alias("parent"), F.first("label").alias("label"), F.min("n").alias("low"), F.max("n").alias("high"))
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         whole = pa.Table.from_batches(parts)
-        token, g, low, high = (whole.column(c).to_numpy() for c in ("token", "g", "low", "high"))
-        order = np.lexsort((g, token))
-        token, g, low, high = token[order], g[order], low[order], high[order]
+        token, g, parent, label, low, high = (whole.column(c).to_numpy() for c in ("token", "g", "parent", "label", "low", "high"))
+        order = np.lexsort((g, label, token))
+        token, g, parent, label, low, high = (x[order] for x in (token, g, parent, label, low, high))
         bounds = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         found: set[tuple[int, int]] = set()
         for a, b in zip(bounds[:-1], bounds[1:]):
-            for i in range(a, b - 1):
-                rest = slice(i + 1, b)
-                fit = (t.den * high[rest] >= t.num * low[i]) & (t.den * high[i] >= t.num * low[rest])
-                found.update((int(g[i]), int(x)) for x in g[rest][fit])
+            if label[a] == label[b - 1]:
+                continue
+            names, sizes = np.unique(label[a:b], return_counts=True)
+            common = names[sizes.argmax()]
+            for i in (np.flatnonzero(label[a:b] != common) + a).tolist():
+                fit = (label[a:b] != label[i]) & (parent[a:b] != parent[i]) & (t.den * high[a:b] >= t.num * low[i]) & (t.den * high[i] >= t.num * low[a:b])
+                found.update((min(int(g[i]), x), max(int(g[i]), x)) for x in g[a:b][fit].tolist())
             if len(found) > 200_000:
                 yield _pairs_batch(found)
                 found = set()
@@ -359,6 +446,14 @@ def group_pairs(members: DataFrame, t: Threshold) -> DataFrame:
     return matrix.repartition("token").mapInArrow(run, "g long, h long").distinct()
 
 
+def _opened(members: DataFrame, pairs: DataFrame, t: Threshold) -> DataFrame:
+    """Spanning edges (a, b) of the opened pairs of groups; members: g, cls, tokens."""
+    one = pairs.select("g", "h", F.col("g").alias("m"), F.lit(0).alias("side"))
+    two = pairs.where("g <> h").select("g", "h", F.col("h").alias("m"), F.lit(1).alias("side"))
+    dealt = one.unionByName(two).join(members.withColumnRenamed("g", "m"), "m")
+    return dealt.groupBy("g", "h").applyInPandas(_open(t), "a long, b long")
+
+
 def _pairs_batch(found: set[tuple[int, int]]) -> pa.RecordBatch:
     rows = sorted(found)
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["g", "h"])
@@ -386,26 +481,47 @@ def similar_documents(docs: DataFrame, scratch, key: str = "doc_id", text: str =
     found = lambda i: F.coalesce(F.size(F.filter("shared", lambda x: x["level"] == i)), F.lit(0))
     may_link = [(F.col("cold")[i] >= 0) & (F.col("cold")[i] - F.greatest(found(i), F.lit(0)) <= spare + 1) for i in range(len(LEVELS))]
     likely = reps.join(shared, "cls", "left").where(may_link[0] | may_link[1] | may_link[2]).select("cls", "rep", "shared")
-    texts = given.join(likely, F.col("doc_id") == F.col("rep")).select("cls", "text", "shared")
-    survivors = texts.mapInArrow(_prefixes(k, t, hot), "cls long, lead long, bucket int, n long, prefix array<long>, tokens binary")
+    likely = scratch.write(likely, "likely")
+    known = docs.sparkSession.sparkContext.broadcast(id_bitmap(likely.select("rep")))
+    sets = given.mapInArrow(_token_sets(k, known), "doc_id long, cls long, tokens binary")
+    # rows of the representative's id with another text have another class
+    sets = sets.join(likely.withColumnRenamed("rep", "doc_id"), ["doc_id", "cls"]).select(F.col("doc_id").alias("cls"), "tokens", "shared")
+    survivors = sets.mapInArrow(_prefixes(t, hot), "cls long, lead long, bucket int, n long, prefix array<long>, tokens binary")
     survivors = scratch.write(survivors, "survivors")
 
     sizes = survivors.groupBy("lead", "bucket").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_TOKENS)).alias("cuts")).where("cuts > 1")
     members = survivors.join(sizes, ["lead", "bucket"], "left")
-    cut = F.pmod(F.col("cls"), F.coalesce("cuts", F.lit(1)))
-    members = members.select("cls", "n", "prefix", "tokens", F.xxhash64("lead", "bucket", cut).alias("g"))
-    members = scratch.write(members, "members")
-    pairs = group_pairs(members.select("g", "n", "prefix"), t)
+    cut = F.pmod(F.xxhash64("cls"), F.coalesce("cuts", F.lit(1)))
+    members = scratch.write(members.select("cls", "n", "prefix", "tokens", "lead", "bucket", F.xxhash64("lead", "bucket", cut).alias("g")), "members")
+    scratch.drop("survivors", "likely")
+
+    # first within each group, and between the first cut of a large group and the others
     alone = members.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g", F.col("g").alias("h"))
-    opened = scratch.write(pairs.unionByName(alone), "opened")
-    one = opened.select("g", "h", F.col("g").alias("m"), F.lit(0).alias("side"))
-    two = opened.where("g <> h").select("g", "h", F.col("h").alias("m"), F.lit(1).alias("side"))
-    dealt = one.unionByName(two).join(members.select(F.col("g").alias("m"), "cls", "tokens"), "m")
-    edges = scratch.write(dealt.groupBy("g", "h").applyInPandas(_open(t), "a long, b long"), "edges")
-
-    at = reps.select("cls", "rep")
-    by_rep = edges.join(at.select(F.col("cls").alias("a"), F.col("rep").alias("ra")), "a").join(at.select(F.col("cls").alias("b"), F.col("rep").alias("rb")), "b")
-    found = components(by_rep.select(F.col("ra").alias("a"), F.col("rb").alias("b")), scratch)
+    cuts = members.select("lead", "bucket", "g").distinct()
+    hubs = cuts.groupBy("lead", "bucket").agg(F.min("g").alias("hub"), F.count("*").alias("c")).where("c > 1")
+    star = cuts.join(hubs, ["lead", "bucket"]).where("g <> hub").select(F.col("hub").alias("g"), F.col("g").alias("h"))
+    near = scratch.write(_opened(members.select("g", "cls", "tokens"), alone.unionByName(star), t), "near")
+    first = scratch.write(components(near, scratch), "first")
+
+    # then between parts of groups that are not connected yet
+    label = F.coalesce("component", "cls")
+    parts = members.drop("tokens").join(first, members["cls"] == first["node"], "left").select("cls", "n", "prefix", F.col("g").alias("parent"), label.alias("label"))
+    # a part for each component that holds many of a group, and one for the rest of it
+    many = parts.groupBy("parent", "label").agg(F.count("*").alias("c")).where(F.col("c") >= PART)
+    mark = F.when(F.col("c").isNotNull(), F.col("label")).otherwise(F.xxhash64("parent", F.lit("rest")))
+    parts = parts.join(many, ["parent", "label"], "left").withColumn("mark", mark).withColumn("g", F.xxhash64("parent", "mark")).drop("c")
+    parts = scratch.write(parts, "parts")
+    pairs = scratch.write(group_pairs(parts.drop("label").withColumnRenamed("mark", "label"), t), "pairs")
+    needed = pairs.select(F.explode(F.array("g", "h")).alias("g")).distinct()
+    whole = parts.select("g", "cls", "label").join(needed, "g")
+    far = scratch.write(_opened(whole.join(members.select("cls", "tokens"), "cls").select("g", "cls", "tokens"), pairs, t), "far")
+    of = parts.select("cls", "label").distinct()
+    rest = far.join(of.select(F.col("cls").alias("a"), F.col("label").alias("la")), "a").join(of.select(F.col("cls").alias("b"), F.col("label").alias("lb")), "b")
+    second = components(rest.select(F.col("la").alias("a"), F.col("lb").alias("b")), scratch).select(F.col("node").alias("component"), F.col("component").alias("later"))
+    found = first.join(second, "component", "left").select("node", F.coalesce("later", "component").alias("component"))
+    # classes that were alone until the second step
+    only = second.join(first.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("later").alias("component"))
+    found = found.unionByName(only)
     labels = reps.join(found, reps["rep"] == found["node"], "left").select("cls", "n", F.coalesce("component", "rep").alias("component"))
     out = rows.join(labels, (rows["h1"] == labels["cls"]) & (rows["n"] == labels["n"]), "left")
     return out.select(rows["doc_id"], rows["n"].alias("n_shingles"), F.when(rows["n"] > 0, F.col("component")).otherwise(rows["doc_id"]).alias("component_id"))

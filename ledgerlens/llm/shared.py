@@ -24,12 +24,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+#: rows of a batch sent to Python where the session has Spark's own number; texts may be long
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once; a number set by the user stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables of one query; ``drop`` removes those whose readers are through."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        small_batches(spark)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """The same rows, read from a written table."""
