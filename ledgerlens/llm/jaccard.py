@@ -515,6 +515,7 @@ def similar_documents(docs: DataFrame, scratch, key: str = "doc_id", text: str =
     needed = pairs.select(F.explode(F.array("g", "h")).alias("g")).distinct()
     whole = parts.select("g", "cls", "label").join(needed, "g")
     far = scratch.write(_opened(whole.join(members.select("cls", "tokens"), "cls").select("g", "cls", "tokens"), pairs, t), "far")
+    scratch.drop("members", "pairs", "near")
     of = parts.select("cls", "label").distinct()
     rest = far.join(of.select(F.col("cls").alias("a"), F.col("label").alias("la")), "a").join(of.select(F.col("cls").alias("b"), F.col("label").alias("lb")), "b")
     second = components(rest.select(F.col("la").alias("a"), F.col("lb").alias("b")), scratch).select(F.col("node").alias("component"), F.col("component").alias("later"))
