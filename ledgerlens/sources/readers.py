@@ -228,11 +228,8 @@ def header_fields(lines: DataFrame, *fields: str) -> DataFrame:
 
 def read_headers(spark: SparkSession, path: str, *fields: str) -> DataFrame:
     """The first line of each file (gzip too) as metadata fields."""
-    from pyspark.sql import Window
-
     rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_n"), "value")
     first = rows.groupBy("file").agg(F.min_by("value", "_n").alias("value"))
-    del Window
     return header_fields(first, *fields)
 
 
