@@ -1,29 +1,41 @@
-"""License scans: lines of text against templates by Dice over word bigrams, in DataFrame functions.
-
-Every line of a text is normalised (A-Z lowered, runs
-of anything but letters, digits and dots become one space). Its set of word bigrams is
-compared with a template's: 2 |A and B| / (|A| + |B|). The sizes alone bound this, so only
-templates of a size within reach are tried. The threshold also bounds how many of a
-template's bigrams a part may lack, so a text or line without certain words of every
-template is dropped before it is normalised.
-
-The templates are a short fixed list; the list itself is a parameter. They are held in the
-plan as literals, so nothing is shuffled or broadcast.
-
-Defined results: null and empty texts, and parts of fewer than two words, match nothing;
-each part gets at most one template, the best (ties: the first in order); repeated rows
-give repeated results; very long texts are scanned whole; other columns are ignored.
+"""License scans: parts of texts against templates by Dice over word bigrams, in DataFrame functions.
+
+A text is normalised (A-Z lowered, runs of anything but letters, digits and dots become one
+space). The set of word bigrams of a part is compared with a template's:
+2 |A and B| / (|A| + |B|). Parts are of two kinds:
+
+* a line, against ``templates``;
+* a window of words, wherever its lines end, against ``templates`` and ``whole`` (headers and
+  whole licence texts). It begins where a run of the template's bigrams begins and has as many
+  words as the template, or ends where a later run ends, up to the most that can reach the
+  threshold. Only the end of the text makes it shorter, so "CC BY 3.0" is not cut to "CC BY".
+
+A text gets every line that matches; then windows, those of most common bigrams first, that
+overlap no window chosen before and no matched line of the same template or of as many common
+bigrams. So a notice that stands on a line is not found again.
+
+The threshold bounds how many of a template's bigrams a part may lack, so a text without
+certain words of every template is dropped before it is normalised. The templates are held in
+the plan as literals, so nothing is shuffled or broadcast.
+
+Defined results: null and empty texts, and parts of fewer than two words, match nothing; a
+line gets at most one template, the best (ties: the first in order); repeated rows give
+repeated results; very long texts are scanned whole; other columns are ignored. ``part`` is
+the number of the line, or of the line where a window begins; ``matched`` is the line, or the
+normalised words of the window.
 """
 
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DICE = (4, 5)
+BREAKS = r"\r\n|\r|\n"
 
 #: license and the words of a notice of it (fixed values, in order)
 TEMPLATES = (
@@ -41,6 +53,18 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
+_GNU = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version."
+
+#: license and a longer text of it (fixed values, numbered after the templates): headers that stand over several lines, and whole licences
+WHOLE = (
+    ("GPL-2.0", _GNU.format("program", "", "2")),
+    ("GPL-3.0", _GNU.format("program", "", "3")),
+    ("LGPL-2.1", _GNU.format("library", "Lesser ", "2.1")),
+    ("LGPL-3.0", _GNU.format("library", "Lesser ", "3")),
+    ("AGPL-3.0", _GNU.format("program", "Affero ", "3")),
+    *((name, (Path(__file__).parent / "licenses" / f"{name}.txt").read_text()) for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0")),
+)
+
 
 def normalise(text: str) -> list[str]:
     """The words of a template, as in ``words_of``."""
@@ -80,47 +104,136 @@ def bounds(size: int, num: int, den: int) -> tuple[int, int]:
     return -(-num * size // (2 * den - num)), size * (2 * den - num) // num
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, dice: tuple[int, int] = DICE) -> DataFrame:
+def weights(words: str, num: int, den: int) -> tuple[dict[str, int], int]:
+    """Words of a template with bigrams that a part without the word lacks, each counted once, and the most that a part may lack."""
+    left = [g.split(" ") for g in bigrams(words)]
+    most, found = len(left) - bounds(len(left), num, den)[0], {}
+    while 5 * sum(found.values()) < 6 * most:
+        held: dict[str, int] = {}
+        for g in left:
+            for w in {w for w in g if len(w) > 4}:
+                held[w] = held.get(w, 0) + 1
+        if not held:
+            break
+        word = max(sorted(held), key=held.__getitem__)
+        rest = [g for g in left if not any(word in w for w in g)]
+        found[word], left = len(left) - len(rest), rest
+    return found, most
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _sum(terms: list[Column]) -> Column:
+    """A flat tree: a chain of many terms is too deep for the planner."""
+    return terms[0] if len(terms) == 1 else _sum(terms[: len(terms) // 2]) + _sum(terms[len(terms) // 2 :])
+
+
+def _pairs(words: Column) -> Column:
+    return F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, dice: tuple[int, int] = DICE, whole: tuple[tuple[str, str], ...] = WHOLE) -> DataFrame:
     """doc_id, part (line number from 0), license, template, common, dice and matched text."""
     num, den = dice
-    known = [(name, grams, bounds(len(grams), num, den)) for name, words in templates for grams in [bigrams(words)]]
-    least, most = min(b[0] for _, _, b in known), max(b[1] for _, _, b in known)
-    every = sorted({g for _, grams, _ in known for g in grams})
-    # a word of a part stands in it as it is, so texts and lines without any anchor are out
+    known = [(name, grams, len(normalise(words)) - 1, bounds(len(grams), num, den)) for name, words in (*templates, *whole) for grams in [bigrams(words)]]
+    # a word of a part stands in it as it is, so texts without any anchor are out
     sought = sorted({w for _, words in templates for w in anchors(words, num, den)})
     sought = [w for w in sought if not any(o != w and o in w for o in sought)]
 
-    def hopeful(c: str) -> Column:
-        low, out = F.lower(F.col(c)), F.lit(False)
+    def hopeful(low: Column) -> Column:
+        """Whether a lowered text may match: it is lowered once, and not again for every word."""
+        out = F.lit(False)
         for w in sought:
             out = out | F.contains(low, F.lit(w))
+        for (_, words), (_, _, _, (least, _)) in zip(whole, known[len(templates) :]):
+            share, most = weights(words, num, den)
+            lacks = _sum([F.when(F.contains(low, F.lit(w)), 0).otherwise(n) for w, n in share.items()])
+            # as many bigrams have one word more, each of a byte and a space at least
+            out = out | ((F.length(low) >= 2 * least) & (lacks <= most))
         return out
 
-    lines = docs.where(hopeful(text)).select(F.col(key).alias("doc_id"), F.posexplode(F.split(F.col(text), r"\r\n|\r|\n")).alias("part", "line")).where(hopeful("line"))
-    # a part of as many bigrams has one word more, each of a byte and a space at least
-    some = lines.where(F.length("line") >= 2 * least)
-    some = some.select("doc_id", "part", "line", words_of(F.col("line")).alias("words"))
-    # repeated bigrams count once, so a part may have many more words; only the least is a bound
-    some = some.where(F.size("words") > least)
-    two = F.zip_with(F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.concat_ws(" ", a, b))
-    some = some.select("doc_id", "part", "line", two.alias("pairs"))
-    some = some.where(F.arrays_overlap("pairs", F.array(*[F.lit(g) for g in every])))
-    some = some.select("doc_id", "part", "line", F.array_distinct("pairs").alias("grams"))
-    some = some.where(F.size("grams").between(least, most))
-    tried = []
-    for n, (name, grams, (low, high)) in enumerate(known):
-        common = F.size(F.array_intersect("grams", F.array(*[F.lit(g) for g in grams])))
-        value = F.when(F.size("grams").between(low, high), common)
-        tried.append(
-            F.struct(
-                (2.0 * value / (F.size("grams") + len(grams))).alias("dice"),
-                F.lit(-n).alias("order"),
-                F.lit(name).alias("license"),
-                value.cast("long").alias("common"),
-                F.size("grams").cast("long").alias("size"),
-                F.lit(len(grams)).cast("long").alias("template_size"),
-            )
-        )
-    best = F.array_max(F.filter(F.array(*tried), lambda x: x["common"].isNotNull() & (x["common"] * 2 * den >= num * (x["size"] + x["template_size"]))))
-    found = some.select("doc_id", F.col("part").cast("long").alias("part"), "line", best.alias("best")).where(F.col("best").isNotNull())
-    return found.select("doc_id", "part", F.col("best.license").alias("license"), (-F.col("best.order")).cast("long").alias("template"), F.col("best.common").alias("common"), F.col("best.dice").alias("dice"), F.col("line").alias("matched"))
+    def literal(grams: list[str]) -> Column:
+        return F.split(F.lit("|".join(grams)), r"\|")  # one literal, however long
+
+    def row(n: int, common: Column, size: Column, start: Column, end: Column, line: Column) -> Column:
+        name, grams = known[n][:2]
+        return F.struct(
+            common.cast("long").alias("common"), (2.0 * common / (size + len(grams))).alias("dice"), F.lit(-n).alias("order"), (-start).alias("before"),
+            end.cast("int").alias("end"), F.lit(name).alias("license"), line.cast("int").alias("line"),
+        )
+
+    def reaches(n: int, common: Column, size: Column) -> Column:
+        return common * 2 * den >= num * (size + len(known[n][1]))
+
+    def line_match(words: Column, at: Column, i: Column) -> Column:
+        """The best template of a line, or null."""
+
+        def tried(grams: Column) -> Column:
+            found = []
+            for n, (_, want, _, (least, most)) in enumerate(known[: len(templates)]):
+                common = F.size(F.array_intersect(grams, literal(want)))
+                hit = F.size(grams).between(least, most) & reaches(n, common, F.size(grams))
+                found.append(F.when(hit, F.struct((2.0 * common / (F.size(grams) + len(want))).alias("dice"), row(n, common, F.size(grams), start, start + F.size(words) - 2, i).alias("row"))))
+            return F.array_max(F.array(*[F.struct(f["dice"].alias("dice"), f["row"]["order"].alias("order"), f["row"].alias("row")) for f in found]))["row"]
+
+        start = F.array_position(at, i).cast("int") - 1
+        least = min(b[0] for _, _, _, b in known[: len(templates)])
+        shared = literal(sorted({g for _, want, _, _ in known[: len(templates)] for g in want}))
+        return F.when(F.size(words) > least, _let(F.array_distinct(_pairs(words)), lambda g: F.when(F.arrays_overlap(g, shared), tried(g))))
+
+    def windows(n: int, pairs: Column) -> Column:
+        """The windows that match a template."""
+        _, grams, places, (least, _) = known[n]
+        longest = places * (2 * den - num) // num
+        want, last = literal(grams), F.size(pairs) - 1
+
+        def from_start(flags: Column, a: Column) -> Column:
+            first = F.least(a + places - 1, last)
+            ends = F.filter(F.sequence(first, F.least(a + longest - 1, last)), lambda b: (b == first) | (flags[b] & ((b == last) | ~F.coalesce(F.get(flags, b + 1), F.lit(False)))))
+
+            def judged(b: Column) -> Column:
+                part = F.slice(pairs, a + 1, b - a + 1)
+                common, size = F.size(F.array_intersect(part, want)), F.size(F.array_distinct(part))
+                return F.when(reaches(n, common, size), row(n, common, size, a, b, F.lit(-1)))
+
+            return F.when(F.size(F.array_intersect(F.slice(pairs, a + 1, F.lit(longest)), want)) >= least, F.filter(F.transform(ends, judged), lambda x: x.isNotNull())).otherwise(F.array())
+
+        def from_flags(flags: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), last), lambda i: flags[i] & ((i == 0) | ~F.coalesce(F.get(flags, i - 1), F.lit(False))))
+            return F.flatten(F.transform(starts, lambda a: from_start(flags, a)))
+
+        return _let(F.transform(pairs, lambda p: F.array_contains(want, p)), from_flags)
+
+    def chosen(lines: Column, found: Column) -> Column:
+        """Matched lines, and then windows that overlap nothing that is as good."""
+
+        def add(kept: Column, x: Column) -> Column:
+            blocked = F.exists(kept, lambda k: (-k["before"] <= x["end"]) & (-x["before"] <= k["end"]) & ((k["line"] < 0) | (k["order"] == x["order"]) | (k["common"] >= x["common"])))
+            return F.when(blocked, kept).otherwise(F.array_append(kept, x))
+
+        return F.aggregate(F.sort_array(found, asc=False), lines, add)
+
+    every = sorted({g for _, grams, _, _ in known for g in grams})
+
+    def matches(by_line: Column) -> Column:
+        def located(at: Column) -> Column:
+            def from_pairs(pairs: Column) -> Column:
+                def from_hits(hits: Column) -> Column:
+                    found = [F.when(F.size(F.array_intersect(hits, literal(grams))) >= least, windows(n, pairs)).otherwise(F.array()) for n, (_, grams, _, (least, _)) in enumerate(known)]
+                    return _let(F.filter(F.transform(by_line, lambda w, i: line_match(w, at, i)), lambda x: x.isNotNull()), lambda own: chosen(own, F.flatten(F.array(*found))))
+
+                best = _let(F.array_intersect(pairs, literal(every)), from_hits)
+                return F.transform(best, lambda x: F.struct(
+                    F.element_at(at, 1 - x["before"]).cast("long").alias("part"), x["license"].alias("license"), (-x["order"]).cast("long").alias("template"), x["common"].alias("common"), x["dice"].alias("dice"),
+                    F.when(x["line"] < 0, F.array_join(F.slice(F.flatten(by_line), 1 - x["before"], x["end"] + x["before"] + 2), " ")).otherwise(F.get(F.split(F.col(text), BREAKS), x["line"])).alias("matched"),
+                ))
+
+            return _let(_pairs(F.flatten(by_line)), from_pairs)
+
+        return _let(F.flatten(F.transform(by_line, lambda w, i: F.array_repeat(i, F.size(w)))), located)
+
+    found = _let(F.transform(F.split(F.col(text), BREAKS), words_of), matches)
+    return docs.where(_let(F.lower(F.col(text)), hopeful)).select(F.col(key).alias("doc_id"), F.inline(found))

@@ -197,6 +197,30 @@ def test_tiles_do_not_overlap():
             used_item |= set(range(j, j + n))
 
 
+def test_licenses_across_lines(spark):
+    whole = dict(license.WHOLE[5:])
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version.\n"
+    cases = [
+        ("code\n" + "\n".join(whole["MIT"].split("\n")[:3]), {(1, "MIT")}),
+        (gpl.format(3), {(0, "GPL-3.0")}),
+        ("x\r\n" + gpl.format(2), {(1, "GPL-2.0")}),
+        ("\n".join(whole["BSD-3-Clause"].split("\n")[:3]), {(0, "BSD-3-Clause")}),
+        ("Thanks for reading this page. Released under the MIT License. See the file for details.", {(0, "MIT")}),
+        ("It is licensed under CC BY 3.0 or so\nand under the terms of it.", set()),
+        ("It is licensed under CC BY ND 4.0 or so", set()),
+        *((text, {(next(i for i, x in enumerate(text.split("\n")) if x), name)}) for name, text in whole.items() if name not in ("Apache-2.0", "MPL-2.0")),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = [set() for _ in cases]
+    for r in license.scan(df).collect():
+        assert (r["part"], r["license"]) not in got[r["doc_id"]]
+        got[r["doc_id"]].add((r["part"], r["license"]))
+    assert got == [want for _, want in cases]
+    for name in ("Apache-2.0", "MPL-2.0"):  # their notices stand within them too
+        found = license.scan(spark.createDataFrame([(0, whole[name])], "doc_id long, text string")).collect()
+        assert {r["license"] for r in found} == {name} and max(r["common"] for r in found) == len(license.bigrams(whole[name]))
+
+
 # ---- packing
 
 PATH = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
