@@ -3,10 +3,11 @@
 Texts become token ids, an end id is added, and longer ones are cut into pieces of the
 sequence length. Only the number of pieces of each length (at most ``capacity`` numbers)
 reaches the driver, where packing is solved on these multiplicities: bin completion fills a
-sequence around the largest piece left, enumerates fillings that no other dominates,
-applies each as often as the counts allow, and prunes by the waste that an improvement may
-still have. Best-fit decreasing gives the first incumbent, and every better end replaces
-it. The search stops at the lower bound or after ``NODES`` fillings.
+sequence around the largest piece left, enumerates all fillings that no other dominates (as
+they are needed), tries each as often as the counts allow and then less often, and prunes by
+the waste that an improvement may still have. Best-fit decreasing gives the first incumbent,
+and every better end replaces it. The search stops at the lower bound or at its budget, which
+grows with the number of lengths; then the best plan so far stands.
 
 The plan is a short list of patterns with multiplicities. A piece's rank among pieces of
 its length (counted in salted parts, so a length with a third of all pieces is spread)
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -30,8 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 4096
-#: fillings tried before the search stops
+#: nodes before the search stops, where four for each length are not more; pieces tried for a node
 NODES = 3_000
+TRIES = 200
 #: parts that pieces of one length are ranked in
 SALTS = 64
 #: runs remembered by a worker, some 100 MB
@@ -220,66 +223,84 @@ def _dominated(b: tuple[int, ...], a: tuple[int, ...]) -> bool:
     return len(b) >= len(a) and a != b and place(0)
 
 
-def fillings(counts: np.ndarray, room: int, waste: int, most: int = 6) -> list[tuple[int, ...]]:
-    """Undominated fillings of a room, fullest first: up to four pieces, by size.
+def _spread(bits: int, by: int) -> int:
+    """Bits at every place up to ``by`` above a set one."""
+    done = 0
+    while done < by:
+        step = min(done + 1, by - done)
+        bits, done = bits | bits << step, done + step
+    return bits
 
-    A filling of more pieces is looked for only where fewer leave room, and those that
-    waste more than ``waste`` are left out, unless no other is there.
+
+def _reach(sizes: list[int], room: int) -> list[int]:
+    """For each size, as bits: the sums of any pieces up to it. Of more pieces than there are, so only to prune."""
+    out, bits, mask = [], 1, (1 << room + 1) - 1
+    for size in sizes:
+        step = size
+        while step <= room:
+            bits |= bits << step & mask
+            step *= 2
+        out.append(bits)
+    return out
+
+
+def fillings(counts: np.ndarray, room: int, waste: int, budget: list[int] | None = None, table: dict[int, int] | None = None) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of a room that waste at most ``waste``, fullest first, one at a time.
+
+    One is dominated if one piece left over can take the place of some of its pieces (or of
+    none) within the room. ``budget`` is lowered by each piece tried, and ends it. ``table``
+    has the ``_reach`` of all sizes of a search, which its open fillings share.
     """
-    sizes = np.flatnonzero(counts[: room + 1])
-    sizes = sizes[sizes > 0]
-    if not len(sizes):
-        return [()]
-    found: list[tuple[int, ...]] = [(int(sizes[-1]),)]
-    if found[0][0] == room:
-        return found
-
-    def pair(left: int, cap: int) -> tuple[int, ...] | None:
-        """The fullest two pieces of at most ``cap`` each."""
-        a = sizes[: bisect_right(sizes, min(cap, left - 1))]
-        if not len(a):
-            return None
-        at = np.searchsorted(sizes, np.minimum(left - a, a), "right") - 1
-        ok = at >= 0
-        same = ok & (sizes[np.maximum(at, 0)] == a) & (counts[a] < 2)
-        at = np.where(same, at - 1, at)
-        ok = at >= 0
-        if not ok.any():
-            return None
-        total = np.where(ok, a + sizes[np.maximum(at, 0)], 0)
-        i = int(total.argmax())
-        return int(a[i]), int(sizes[at[i]])
-
-    def keep(f: tuple[int, ...]) -> bool:
-        """Add a filling; whether it is full."""
-        if any(counts[s] < f.count(s) for s in set(f)) or any(_dominated(f, g) for g in found):
-            return False
-        found.append(f)
-        return sum(f) == room
-
-    if two := pair(room, room):
-        if keep(two):
-            return [two]
-    heads = sizes[::-1]
-    for a in heads[:: max(1, len(heads) // 16)].tolist():
-        if (two := pair(room - a, a)) and keep((a, *two)):
-            break
-    else:
-        for a in heads[:: max(1, len(heads) // 4)].tolist():
-            done = False
-            for b in heads[:: max(1, len(heads) // 4)].tolist():
-                if b <= a and a + b < room and (two := pair(room - a - b, b)) and keep((a, b, *two)):
-                    done = True
-                    break
-            if done:
-                break
-    found.sort(key=lambda f: (-sum(f), len(f), f))
-    fit = [f for f in found if room - sum(f) <= waste]
-    return (fit or found)[:most]
+    budget = [1 << 62] if budget is None else budget
+    there = np.flatnonzero(counts[: room + 1])
+    there = there[there > 0].tolist()
+    if not there:
+        if room <= waste:
+            yield ()
+        return
+    if there[-1] == room:
+        yield (room,)
+        return
+    sizes, many = array("i", there), table if table and len(there) > 512 else dict(zip(there, _reach(there, room)))
+    least, ones = there[0], int("".join("01"[x > 0] for x in counts[room:0:-1].tolist()) + "0", 2)
+    del there
+
+    def undominated(f: tuple[int, ...], slack: int) -> bool:
+        single, some, every = 0, 1, 1  # sums of one piece; of none or several
+        for x in f:
+            some, every, single = some | (every & ~1) << x, every | every << x, single | 1 << x
+        spare = ones
+        for x in set(f):
+            if f.count(x) == counts[x]:
+                spare &= ~(1 << x)
+        return not spare & (_spread(some, slack) | (_spread(single << 1, slack - 1) if slack else 0))
+
+    def exact(left: int, at: int, f: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        if not left:
+            yield f
+            return
+        for i in range(min(at, bisect_right(sizes, left) - 1), -1, -1):
+            if budget[0] <= 0 or not many[sizes[i]] >> left & 1:
+                return
+            budget[0] -= 1
+            if f.count(sizes[i]) < counts[sizes[i]]:
+                yield from exact(left - sizes[i], i, (*f, sizes[i]))
+
+    for slack in range(min(waste, room - least) + 1):
+        for f in exact(room - slack, len(sizes) - 1, ()):
+            if undominated(f, slack):
+                yield f
+        if budget[0] <= 0:
+            return
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
-    """Patterns of piece lengths with multiplicities, of as few sequences as found."""
+    """Patterns of piece lengths with multiplicities, of as few sequences as found.
+
+    Every filling of the sequence around the largest piece is a branch, as often as the
+    counts allow, then less often. The search is whole unless it ends on its budget: four
+    nodes for each length (``nodes`` at least), so dives complete, and ``TRIES`` pieces for each.
+    """
     counts = np.asarray(counts, np.int64)
     fixed: Plan = [((capacity,), int(counts[capacity]))] if counts[capacity] else []
     work = counts.copy()
@@ -289,33 +310,51 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> Pl
     total, bound = int((work * np.arange(capacity + 1)).sum()), lower_bound(work, capacity)
     best = best_fit(work, capacity)
     best_n = sum(m for _, m in best)
-    stack: list[tuple[np.ndarray, Plan, int, int]] = [(work, [], 0, 0)]
-    while stack and nodes and best_n > bound:
-        left, done, used, wasted = stack.pop()
-        while nodes and left.any():
-            allowed = (best_n - 1) * capacity - total - wasted  # waste that an improvement may still have
-            if allowed < 0:
-                break
-            nodes -= 1
-            head = int(np.flatnonzero(left)[-1])
-            left[head] -= 1
-            options = fillings(left, capacity - head, allowed)
-            left[head] += 1
-            if len(options) > 1 and len(stack) < 200:
-                other = (head, *options[1])
-                stack.append((*_applied(left, done, used, wasted, other, capacity, 1),))
-            left, done, used, wasted = _applied(left, done, used, wasted, (head, *options[0]), capacity, None)
-        if not left.any() and used < best_n:
-            best, best_n = done, used
+    nodes = max(nodes, 4 * int((work > 0).sum()))
+    budget = [nodes * TRIES]
+    lengths = np.flatnonzero(work).tolist()
+    table = dict(zip(lengths, _reach(lengths, capacity))) if best_n > bound else {}
+
+    def branches(left: np.ndarray, wasted: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        head = int(np.flatnonzero(left)[-1])
+        rest = np.zeros(capacity - head + 1, np.int64)
+        rest[: len(left)] = left[: len(rest)]
+        if head < len(rest):
+            rest[head] -= 1
+        for f in fillings(rest, capacity - head, (best_n - 1) * capacity - total - wasted, budget, table):
+            sizes, need = np.unique((head, *f), return_counts=True)
+            for times in range(int((left[sizes] // need).min()), 0, -1):
+                yield (head, *f), times
+
+    stack = [(work, None, 0, 0, branches(work, 0))] if best_n > bound else []
+    while stack and nodes > 0 and budget[0] > 0 and best_n > bound:
+        left, done, used, wasted, options = stack[-1]
+        option = next(options, None)
+        if option is None:
+            stack.pop()
+            continue
+        nodes -= 1
+        pattern, times = option
+        lost = wasted + times * (capacity - sum(pattern))
+        if (best_n - 1) * capacity - total < lost:  # more waste than an improvement may have
+            continue
+        after = _applied(left, pattern, times)
+        path = (done, (pattern, times))  # shared with the nodes above
+        if after.any():
+            stack.append((after, path, used + times, lost, branches(after, lost)))
+        elif used + times < best_n:
+            best, best_n = [], used + times
+            while path:
+                path, step = path
+                best.append(step)
     return fixed + best
 
 
-def _applied(left: np.ndarray, done: Plan, used: int, wasted: int, pattern: tuple[int, ...], capacity: int, times: int | None):
+def _applied(left: np.ndarray, pattern: tuple[int, ...], times: int) -> np.ndarray:
     sizes, need = np.unique(pattern, return_counts=True)
-    times = times or int((left[sizes] // need).min())
     left = left.copy()
     left[sizes] -= need * times
-    return left, [*done, (pattern, times)], used + times, wasted + times * (capacity - sum(pattern))
+    return left[: int(np.flatnonzero(left)[-1]) + 1].copy() if left.any() else left
 
 
 def _segments(patterns: Plan, capacity: int) -> dict[str, np.ndarray]:

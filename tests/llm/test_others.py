@@ -261,6 +261,29 @@ def test_dominance():
     assert packing._dominated((3, 4), (7,)) and packing._dominated((3, 4), (8,)) and not packing._dominated((3, 5), (7,)) and packing._dominated((2, 2, 3), (4, 3)) and not packing._dominated((4, 4, 1), (5, 3))
 
 
+def test_all_undominated_fillings():
+    from itertools import combinations
+
+    for pieces, room in (((1, 1, 2, 3, 3, 5, 8), 13), ((3, 4, 4, 5, 6, 7, 7), 19), ((2, 2, 2, 2, 2, 2, 9), 12), ((3, 5, 7, 11), 2), ((4, 4, 4, 4, 4, 4), 21)):
+        counts = np.bincount(pieces, minlength=room + 1)
+        every = {c[::-1] for k in range(len(pieces) + 1) for c in combinations(sorted(pieces), k) if sum(c) <= room}
+        want = {b for b in every if not any(_covers(b, a) for a in every)}
+        got = list(packing.fillings(counts, room, room))
+        assert set(got) == want and len(got) == len(want) and [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
+
+
+def _covers(b, a):
+    return a != b and (packing._dominated(b, a) if len(b) >= len(a) else all(a.count(x) >= b.count(x) for x in b) or packing._dominated(b + (0,) * len(a), a))
+
+
+def test_dives_complete():
+    rng = np.random.default_rng(1)
+    counts = np.bincount(np.clip(rng.lognormal(7, 0.8, 100_000).astype(int), 1, 4096), minlength=4097)
+    found = packing.plan(counts)
+    assert (np.bincount(np.repeat([s for p, _ in found for s in p], [m for p, m in found for _ in p]), minlength=4097) == counts).all()
+    assert sum(m for _, m in found) < sum(m for _, m in packing.best_fit(counts, 4096))
+
+
 def test_pack(spark, scratch):
     texts = [None, "", "a", "hello world " * 3000, "x y z", "x y z"] + ["same words here"] * 40
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, length string")
