@@ -10,8 +10,8 @@ and every better end replaces it. The search stops at the lower bound or at its
 grows with the number of lengths; then the best plan so far stands.
 
 The plan is a short list of patterns with multiplicities. A piece's rank among pieces of
-its length (counted in salted parts, so a length with a third of all pieces is spread)
-selects its pattern, sequence and offset.
+its length (counted in parts whose number follows the length's pieces, so one with a third
+of all pieces is spread) selects its pattern, sequence and offset.
 
 Defined results: null text is empty and has the end id alone; repeated rows are packed
 once each; equal pieces are interchangeable and ranked by id; an empty table stays empty;
@@ -20,9 +20,9 @@ very long texts are cut into many pieces, none is dropped; other columns are ign
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 4096
-#: nodes before the search stops, where four for each length are not more; pieces tried for a node
+#: nodes before the search stops, where four for each length are not more; lengths tried for a node
 NODES = 3_000
 TRIES = 200
-#: parts that pieces of one length are ranked in
-SALTS = 64
+#: pieces of one length that a task ranks, about, where the root of all pieces is not more
+PART_ROWS = 256
 #: runs remembered by a worker, some 100 MB
 CACHE = 400_000
 
@@ -232,64 +232,84 @@ def _spread(bits: int, by: int) -> int:
     return bits
 
 
-def _reach(sizes: list[int], room: int) -> list[int]:
-    """For each size, as bits: the sums of any pieces up to it. Of more pieces than there are, so only to prune."""
-    out, bits, mask = [], 1, (1 << room + 1) - 1
-    for size in sizes:
-        step = size
-        while step <= room:
-            bits |= bits << step & mask
-            step *= 2
-        out.append(bits)
-    return out
+class Pool:
+    """The pieces left in a search: counts by length, and bits of the lengths that are left.
 
+    One pool serves a whole search: a node takes its pieces, and gives them back when the
+    search returns, so open nodes hold no counts of their own.
+    """
+
+    def __init__(self, counts: np.ndarray) -> None:
+        self.counts = [int(c) for c in counts]
+        self.bits = sum(1 << s for s, c in enumerate(self.counts) if c > 0 and s)
+
+    def add(self, size: int, many: int) -> None:
+        self.counts[size] += many
+        if self.counts[size]:
+            self.bits |= 1 << size
+        else:
+            self.bits &= ~(1 << size)
+
+    def largest(self, most: int) -> int:
+        """The largest length left up to this, or 0."""
+        return (self.bits & ((1 << most + 1) - 1)).bit_length() - 1 if self.bits & ((1 << most + 1) - 1) else 0
+
+    def reach(self, room: int) -> dict[int, int]:
+        """For each length, as bits: the sums of any pieces up to it, of more than there are, so only to prune."""
+        out, bits, mask = {}, 1, (1 << room + 1) - 1
+        for size in (s for s, c in enumerate(self.counts) if c > 0 and s):
+            step = size
+            while step <= room:
+                bits |= bits << step & mask
+                step *= 2
+            out[size] = bits
+        return out
 
-def fillings(counts: np.ndarray, room: int, waste: int, budget: list[int] | None = None, table: dict[int, int] | None = None) -> Iterator[tuple[int, ...]]:
+
+def fillings(pool: Pool, room: int, waste: int, budget: list[int] | None = None, table: dict[int, int] | None = None) -> Iterator[tuple[int, ...]]:
     """All undominated fillings of a room that waste at most ``waste``, fullest first, one at a time.
 
     One is dominated if one piece left over can take the place of some of its pieces (or of
-    none) within the room. ``budget`` is lowered by each piece tried, and ends it. ``table``
-    has the ``_reach`` of all sizes of a search, which its open fillings share.
+    none) within the room. ``budget`` is lowered by each length tried, and ends it. ``table``
+    is a ``reach`` of this pool or of one that it is left of. The pool must be the same
+    whenever the next filling is asked for.
     """
     budget = [1 << 62] if budget is None else budget
-    there = np.flatnonzero(counts[: room + 1])
-    there = there[there > 0].tolist()
-    if not there:
-        if room <= waste:
-            yield ()
-        return
-    if there[-1] == room:
-        yield (room,)
-        return
-    sizes, many = array("i", there), table if table and len(there) > 512 else dict(zip(there, _reach(there, room)))
-    least, ones = there[0], int("".join("01"[x > 0] for x in counts[room:0:-1].tolist()) + "0", 2)
-    del there
-
-    def undominated(f: tuple[int, ...], slack: int) -> bool:
+    table = pool.reach(room) if table is None else table
+
+    def undominated(f: list[tuple[int, int]], slack: int) -> bool:
         single, some, every = 0, 1, 1  # sums of one piece; of none or several
-        for x in f:
-            some, every, single = some | (every & ~1) << x, every | every << x, single | 1 << x
-        spare = ones
-        for x in set(f):
-            if f.count(x) == counts[x]:
+        spare = pool.bits & ((1 << room + 1) - 1)
+        for x, many in f:
+            for _ in range(many):
+                some, every, single = some | (every & ~1) << x, every | every << x, single | 1 << x
+            if many == pool.counts[x]:
                 spare &= ~(1 << x)
         return not spare & (_spread(some, slack) | (_spread(single << 1, slack - 1) if slack else 0))
 
-    def exact(left: int, at: int, f: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
-        if not left:
-            yield f
-            return
-        for i in range(min(at, bisect_right(sizes, left) - 1), -1, -1):
-            if budget[0] <= 0 or not many[sizes[i]] >> left & 1:
+    def exact(goal: int) -> Iterator[list[tuple[int, int]]]:
+        f: list[tuple[int, int]] = []  # lengths, falling, each with its number
+        left, most = goal, goal
+        while True:
+            size = pool.largest(min(most, left)) if left else 0
+            if size and table[size] >> left & 1 and budget[0] > 0:
+                budget[0] -= 1
+                f.append((size, min(pool.counts[size], left // size)))
+                left, most = left - size * f[-1][1], size - 1
+                continue
+            if not left:
+                yield f
+            if not f or budget[0] <= 0:
                 return
-            budget[0] -= 1
-            if f.count(sizes[i]) < counts[sizes[i]]:
-                yield from exact(left - sizes[i], i, (*f, sizes[i]))
+            size, many = f.pop()
+            if many > 1:
+                f.append((size, many - 1))
+            left, most = left + size, size - 1
 
-    for slack in range(min(waste, room - least) + 1):
-        for f in exact(room - slack, len(sizes) - 1, ()):
+    for slack in range(min(waste, room) + 1):
+        for f in exact(room - slack):
             if undominated(f, slack):
-                yield f
+                yield tuple(x for x, many in f for _ in range(many))
         if budget[0] <= 0:
             return
 
@@ -299,7 +319,9 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> Pl
 
     Every filling of the sequence around the largest piece is a branch, as often as the
     counts allow, then less often. The search is whole unless it ends on its budget: four
-    nodes for each length (``nodes`` at least), so dives complete, and ``TRIES`` pieces for each.
+    nodes for each length (``nodes`` at least), so dives complete, and ``TRIES`` lengths for
+    each. It holds one pool, the open fillings, and tables for ever fewer lengths, each for
+    half as many as the one before.
     """
     counts = np.asarray(counts, np.int64)
     fixed: Plan = [((capacity,), int(counts[capacity]))] if counts[capacity] else []
@@ -310,53 +332,55 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> Pl
     total, bound = int((work * np.arange(capacity + 1)).sum()), lower_bound(work, capacity)
     best = best_fit(work, capacity)
     best_n = sum(m for _, m in best)
+    if best_n == bound:
+        return fixed + best
     nodes = max(nodes, 4 * int((work > 0).sum()))
-    budget = [nodes * TRIES]
-    lengths = np.flatnonzero(work).tolist()
-    table = dict(zip(lengths, _reach(lengths, capacity))) if best_n > bound else {}
-
-    def branches(left: np.ndarray, wasted: int) -> Iterator[tuple[tuple[int, ...], int]]:
-        head = int(np.flatnonzero(left)[-1])
-        rest = np.zeros(capacity - head + 1, np.int64)
-        rest[: len(left)] = left[: len(rest)]
-        if head < len(rest):
-            rest[head] -= 1
-        for f in fillings(rest, capacity - head, (best_n - 1) * capacity - total - wasted, budget, table):
-            sizes, need = np.unique((head, *f), return_counts=True)
-            for times in range(int((left[sizes] // need).min()), 0, -1):
-                yield (head, *f), times
-
-    stack = [(work, None, 0, 0, branches(work, 0))] if best_n > bound else []
+    budget, pool = [nodes * TRIES], Pool(work)
+
+    def branches(wasted: int, table: dict[int, int]) -> Iterator[tuple[dict[int, int], int]]:
+        head = pool.bits.bit_length() - 1
+        pool.add(head, -1)
+        for f in fillings(pool, capacity - head, (best_n - 1) * capacity - total - wasted, budget, table):
+            pool.add(head, 1)
+            need: dict[int, int] = {}
+            for size in (head, *f):
+                need[size] = need.get(size, 0) + 1
+            for times in range(min(pool.counts[s] // n for s, n in need.items()), 0, -1):
+                yield need, times
+            pool.add(head, -1)
+        pool.add(head, 1)
+
+    # of each open node: the step that led to it, the sequences and the waste so far, its table and its branches
+    table = pool.reach(capacity)
+    stack: list[tuple] = [(None, 0, 0, table, branches(0, table))]
     while stack and nodes > 0 and budget[0] > 0 and best_n > bound:
-        left, done, used, wasted, options = stack[-1]
+        step, used, wasted, table, options = stack[-1]
         option = next(options, None)
         if option is None:
             stack.pop()
+            for size, n in step[0].items() if step else ():
+                pool.add(size, n * step[1])
             continue
         nodes -= 1
-        pattern, times = option
-        lost = wasted + times * (capacity - sum(pattern))
+        need, times = option
+        lost = wasted + times * (capacity - sum(s * n for s, n in need.items()))
         if (best_n - 1) * capacity - total < lost:  # more waste than an improvement may have
             continue
-        after = _applied(left, pattern, times)
-        path = (done, (pattern, times))  # shared with the nodes above
-        if after.any():
-            stack.append((after, path, used + times, lost, branches(after, lost)))
-        elif used + times < best_n:
-            best, best_n = [], used + times
-            while path:
-                path, step = path
-                best.append(step)
+        for size, n in need.items():
+            pool.add(size, -n * times)
+        if pool.bits:
+            if 2 * pool.bits.bit_count() < len(table):
+                table = pool.reach(capacity)
+            stack.append((option, used + times, lost, table, branches(lost, table)))
+            continue
+        for size, n in need.items():
+            pool.add(size, n * times)
+        if used + times < best_n:
+            best_n = used + times
+            best = [(tuple(s for s, n in need.items() for _ in range(n)), times) for need, times in [*(x[0] for x in stack[1:]), option]]
     return fixed + best
 
 
-def _applied(left: np.ndarray, pattern: tuple[int, ...], times: int) -> np.ndarray:
-    sizes, need = np.unique(pattern, return_counts=True)
-    left = left.copy()
-    left[sizes] -= need * times
-    return left[: int(np.flatnonzero(left)[-1]) + 1].copy() if left.any() else left
-
-
 def _segments(patterns: Plan, capacity: int) -> dict[str, np.ndarray]:
     """By length and then rank: where each run of ranks goes."""
     rows, first = [], 0
@@ -374,39 +398,42 @@ def _segments(patterns: Plan, capacity: int) -> dict[str, np.ndarray]:
     return {"base": base, "start": base[size] + start if len(size) else start, "seq": seq, "offset": offset}
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces; ``cut`` is read twice, so written before."""
+def pack(cut: DataFrame, capacity: int = CAPACITY, nodes: int = NODES, part_rows: int = PART_ROWS) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` to pieces; ``cut`` is read three times, so written before."""
     counts = np.zeros(capacity + 1, np.int64)
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")
-    parts = cut.groupBy("length", salt.alias("_salt")).count().collect()  # at most capacity x SALTS rows
-    before: dict[tuple[int, int], int] = {}
-    for length, part, n in sorted((r[0], r[1], r[2]) for r in parts):
-        before[(length, part)] = int(counts[length])
-        counts[length] += n
-    spark = cut.sparkSession
-    segments = spark.sparkContext.broadcast(_segments(plan(counts, capacity, nodes), capacity))
-    firsts = np.zeros((capacity + 1, SALTS), np.int64)
-    for (length, part), n in before.items():
-        firsts[length, part] = n
-    shift = spark.sparkContext.broadcast(firsts)  # capacity x SALTS numbers, 2 MB
+    for length, n in cut.groupBy("length").count().collect():  # at most capacity rows
+        counts[length] = n
+    # a length is ranked in as many parts as its pieces need: with the root of all pieces in a part, there are as many parts at most
+    parts = np.maximum(1, -(-counts // max(part_rows, math.isqrt(int(counts.sum())))))
+    begin = np.concatenate([[0], np.cumsum(parts)[:-1]])
+    of_length = F.get(F.split(F.lit(",".join(map(str, parts.tolist()))), ","), F.col("length").cast("int")).cast("int")  # one literal
+    salt = F.pmod(F.xxhash64("doc_id", "piece"), of_length).cast("int")
+    firsts = np.zeros(int(parts.sum()), np.int64)  # pieces of the same length in the parts before: a number for each length, and for each full part
+    if int(parts.max()) > 1:
+        large = cut.where(of_length > 1).groupBy("length", salt.alias("salt")).count()
+        for length, part, n in large.toLocalIterator():
+            firsts[begin[length] + part] = n
+        for length in np.flatnonzero(parts > 1).tolist():
+            own = firsts[begin[length] : begin[length] + parts[length]]
+            own[:] = np.cumsum(own) - own
+    context = cut.sparkSession.sparkContext
+    shared = context.broadcast({"begin": begin, "firsts": firsts, **_segments(plan(counts, capacity, nodes), capacity)})
     columns = cut.columns
     at = columns.index("length")
 
     def run(batches):
-        s, first = segments.value, shift.value
-        last, salts, seen = None, None, 0
+        s = shared.value
+        last, seen = None, 0
         for b in batches:
             length = b.column(at).to_numpy(zero_copy_only=False)
-            salts = b.column(len(columns)).to_numpy(zero_copy_only=False)
-            group = length * SALTS + salts
+            group = s["begin"][length] + b.column(len(columns)).to_numpy(zero_copy_only=False)
             new = np.flatnonzero(np.diff(group, prepend=-1) != 0)
-            begin = np.repeat(new, np.diff([*new, len(group)]))
-            place = np.arange(len(group)) - begin
+            place = np.arange(len(group)) - np.repeat(new, np.diff([*new, len(group)]))
             if len(group) and last == group[0]:
                 place[: new[1] if len(new) > 1 else None] += seen
             if len(group):
                 last, seen = group[-1], int(place[-1]) + 1
-            g = s["base"][length] + first[length, salts] + place
+            g = s["base"][length] + s["firsts"][group] + place
             k = np.searchsorted(s["start"], g, "right") - 1
             made = [pa.array(s["seq"][k] + g - s["start"][k]), pa.array(s["offset"][k])]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*columns, "sequence_id", "offset"])

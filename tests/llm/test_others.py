@@ -251,10 +251,37 @@ def test_plans_are_packings_at_their_bound():
         assert bound <= total <= max(sum(m for _, m in packing.best_fit(counts, 64)), bound)
 
 
-def test_bin_completion_beats_best_fit():
-    counts = np.zeros(101, int)
-    counts[[60, 50, 49, 40, 30, 21]] = [2, 2, 2, 1, 2, 1]  # 60+40, 50+50, 49+30+21 need completion
-    assert sum(m for _, m in packing.plan(counts, 100)) <= sum(m for _, m in packing.best_fit(counts, 100))
+def _least_sequences(pieces, capacity):
+    """The least number by trying all subsets."""
+    full = (1 << len(pieces)) - 1
+    size = [sum(x for i, x in enumerate(pieces) if m >> i & 1) for m in range(full + 1)]
+    best = [0] + [len(pieces)] * full
+    for m in range(1, full + 1):
+        low, sub = m & -m, m
+        while sub:
+            if sub & low and size[sub] <= capacity:
+                best[m] = min(best[m], 1 + best[m ^ sub])
+            sub = (sub - 1) & m
+    return best[full]
+
+
+def test_bin_completion_finds_the_optimum_and_beats_best_fit():
+    rng, won = np.random.default_rng(11), 0
+    for _ in range(60):
+        pieces = rng.integers(8, 60, 10).tolist()
+        counts = np.bincount(pieces, minlength=101)
+        found = sum(m for _, m in packing.plan(counts, 100))
+        assert found == _least_sequences(pieces, 100)
+        won += found < sum(m for _, m in packing.best_fit(counts, 100))
+    assert won > 0
+
+
+def test_one_length_of_many_pieces_needs_no_depth():
+    counts = np.zeros(4097, int)
+    counts[[1, 4000]] = 50_000, 3
+    assert sum(m for _, m in packing.plan(counts)) == -(-62_000 // 4096)
+    pool = packing.Pool(np.array([0, 5000] + [0] * 4095))
+    assert next(packing.fillings(pool, 4000, 0)) == (1,) * 4000
 
 
 def test_dominance():
@@ -268,7 +295,7 @@ def test_all_undominated_fillings():
         counts = np.bincount(pieces, minlength=room + 1)
         every = {c[::-1] for k in range(len(pieces) + 1) for c in combinations(sorted(pieces), k) if sum(c) <= room}
         want = {b for b in every if not any(_covers(b, a) for a in every)}
-        got = list(packing.fillings(counts, room, room))
+        got = list(packing.fillings(packing.Pool(counts), room, room))
         assert set(got) == want and len(got) == len(want) and [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
 
 
@@ -288,7 +315,7 @@ def test_pack(spark, scratch):
     texts = [None, "", "a", "hello world " * 3000, "x y z", "x y z"] + ["same words here"] * 40
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, length string")
     cut = packing.pieces(df, PATH, capacity=64)
-    rows = packing.pack(scratch.write(cut, "pieces"), capacity=64).collect()
+    rows = packing.pack(scratch.write(cut, "pieces"), capacity=64, part_rows=7).collect()
     by_doc, by_seq = {}, {}
     for r in rows:
         assert r["length"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
