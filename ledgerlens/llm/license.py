@@ -108,15 +108,15 @@ def weights(words: str, num: int, den: int) -> tuple[dict[str, int], int]:
     """Words of a template with bigrams that a part without the word lacks, each counted once, and the most that a part may lack."""
     left = [g.split(" ") for g in bigrams(words)]
     most, found = len(left) - bounds(len(left), num, den)[0], {}
-    while 5 * sum(found.values()) < 6 * most:
+    while 2 * sum(found.values()) < 3 * most:
         held: dict[str, int] = {}
         for g in left:
-            for w in {w for w in g if len(w) > 4}:
+            for w in {w for w in g if len(w) > 4 and set(w) <= set(LOWER)}:
                 held[w] = held.get(w, 0) + 1
         if not held:
             break
         word = max(sorted(held), key=held.__getitem__)
-        rest = [g for g in left if not any(word in w for w in g)]
+        rest = [g for g in left if word not in g]
         found[word], left = len(left) - len(rest), rest
     return found, most
 
@@ -126,11 +126,6 @@ def _let(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def _sum(terms: list[Column]) -> Column:
-    """A flat tree: a chain of many terms is too deep for the planner."""
-    return terms[0] if len(terms) == 1 else _sum(terms[: len(terms) // 2]) + _sum(terms[len(terms) // 2 :])
-
-
 def _pairs(words: Column) -> Column:
     return F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
 
@@ -139,25 +134,35 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tu
     """doc_id, part (line number from 0), license, template, common, dice and matched text."""
     num, den = dice
     known = [(name, grams, len(normalise(words)) - 1, bounds(len(grams), num, den)) for name, words in (*templates, *whole) for grams in [bigrams(words)]]
-    # a word of a part stands in it as it is, so texts without any anchor are out
+    def literal(grams: list[str]) -> Column:
+        return F.split(F.lit("|".join(grams)), r"\|")  # one literal, however long
+
+    # texts without any anchor of a template, or with too few words of the longer texts, are out
     sought = sorted({w for _, words in templates for w in anchors(words, num, den)})
-    sought = [w for w in sought if not any(o != w and o in w for o in sought)]
+    signs = [w for w in sought if not set(w) <= set(LOWER)]  # with digits or dots: found in the text as they are
+    shares = [weights(words, num, den) for _, words in whole]
+    watched = literal(sorted({w for share, _ in shares for w in share} | set(sought)))
+
+    def gained(there: Column, share: dict[str, int]) -> Column:
+        worth = F.str_to_map(F.lit(",".join(f"{w}:{n}" for w, n in share.items())))  # one literal
+        return F.aggregate(there, F.lit(0), lambda n, w: n + F.coalesce(F.try_element_at(worth, w).cast("int"), F.lit(0)))
 
     def hopeful(low: Column) -> Column:
-        """Whether a lowered text may match: it is lowered once, and not again for every word."""
-        out = F.lit(False)
-        for w in sought:
-            out = out | F.contains(low, F.lit(w))
-        for (_, words), (_, _, _, (least, _)) in zip(whole, known[len(templates) :]):
-            share, most = weights(words, num, den)
-            lacks = _sum([F.when(F.contains(low, F.lit(w)), 0).otherwise(n) for w, n in share.items()])
-            # as many bigrams have one word more, each of a byte and a space at least
-            out = out | ((F.length(low) >= 2 * least) & (lacks <= most))
+        """Whether a lowered text may match: it is cut into words once, not searched for each."""
+
+        def judged(there: Column) -> Column:
+            out = F.arrays_overlap(there, literal(sought))
+            for (share, most), (_, _, _, (least, _)) in zip(shares, known[len(templates) :]):
+                # as many bigrams have one word more, each of a byte and a space at least
+                out = out | ((F.length(low) >= 2 * least) & (gained(there, share) >= sum(share.values()) - most))
+            return out
+
+        words = F.split(F.regexp_replace(low, "[^a-z]+", " "), " ")
+        out = _let(F.array_intersect(words, watched), lambda there: (F.size(there) > 0) & judged(there))
+        for w in signs:
+            out = F.contains(low, F.lit(w)) | out
         return out
 
-    def literal(grams: list[str]) -> Column:
-        return F.split(F.lit("|".join(grams)), r"\|")  # one literal, however long
-
     def row(n: int, common: Column, size: Column, start: Column, end: Column, line: Column) -> Column:
         name, grams = known[n][:2]
         return F.struct(
