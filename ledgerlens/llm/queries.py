@@ -171,7 +171,7 @@ SELECT doc_id, CAST(part AS BIGINT) AS part, license, CAST(n AS BIGINT) AS templ
 def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every fiftieth vector among all others."""
     rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return ann.nearest(rows, F.col("vec_id") % 50 == 0)
+    return ann.nearest(rows, F.col("vec_id") % 50 == 0, Scratch(spark, "op6"))
 
 
 def op8_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

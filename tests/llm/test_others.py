@@ -78,13 +78,13 @@ def test_warc_files(spark, tmp_path):
 # ---- nearest neighbours
 
 
-def test_neighbours(spark):
+def test_neighbours(spark, scratch):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 24)).astype(np.float32)
     x[100:160] = x[7]  # copies
     rows = [(i * 5, v.tolist(), "clash") for i, v in enumerate(x)] + [(1, None, ""), (2, [0.0] * 24, ""), (3, [float("nan")] * 24, ""), (4, [1.0, None] + [0.0] * 22, ""), (6, [float("inf")] + [1.0] * 23, ""), (8, [], "")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
-    found = ann.nearest(df, F.col("vec_id") % 50 == 0, block=64).collect()
+    found = ann.nearest(df, F.col("vec_id") % 50 == 0, scratch, block=64).collect()
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     hits = total = 0
     by = {}
@@ -101,9 +101,27 @@ def test_neighbours(spark):
         hits, total = hits + len(best & {r["vec_id"] for r in near}), total + 5
         assert all(abs(r["score"] - u[r["vec_id"] // 5] @ u[q // 5]) < 1e-12 for r in near)
     assert hits / total >= 0.9
-    assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0, scratch).count() == 0
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
-    assert [(r["query_id"], r["vec_id"], r["rank"]) for r in ann.nearest(few, F.col("vec_id") == 0, tables=1, probes=4).collect()] == [(0, 1, 1)]
+    assert [(r["query_id"], r["vec_id"], r["rank"]) for r in ann.nearest(few, F.col("vec_id") == 0, scratch).collect()] == [(0, 1, 1)]
+
+
+def test_few_candidates_are_all_found(spark, scratch):
+    v = np.random.default_rng(3).normal(size=(9, 64))
+    v[1], v[8] = -v[0], -v[0]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    for choice in (None, (1, 1, 1), (2, 1, 4)):
+        for n in (1, 2, 4, 9):
+            found = ann.nearest(df.where(F.col("vec_id") < n), F.col("vec_id") == 0, scratch, choice=choice).orderBy("rank").collect()
+            want = sorted(range(1, n), key=lambda i: (-round(ann.cosine(v[0], v[i]), 12), i))[:5]
+            assert [(r["rank"], r["vec_id"]) for r in found] == list(enumerate(want, 1))
+
+
+def test_pairs_of_hashes_probe_their_own_bucket_first():
+    x = ann._unit(np.random.default_rng(5).normal(size=(50, 20)))
+    for hashes in (1, 2):
+        probed = ann.buckets_of(x, hashes, 3, 17, 16)
+        assert (probed[:, 0] == ann.buckets_of(x, hashes, 3, 17, 1)[:, 0]).all() and all(len(set(r)) == 16 for r in probed.tolist())
 
 
 # ---- licences
