@@ -175,7 +175,7 @@ def _chosen(index: DataFrame, asked: DataFrame, element: str, k: int, recall: fl
     return tune(_unit(np.array(rows)), queries, _unit(np.array([v for _, v in near])), np.array([q for q, _ in near]), recall, seed)
 
 
-def nearest(df: DataFrame, is_query: Column, scratch, key: str = "vec_id", vector: str = "embedding", k: int = 5, recall: float = 0.96, seed: int = 17, block: int = 4096, choice: tuple[int, int, int] | None = None) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, scratch, key: str = "vec_id", vector: str = "embedding", k: int = 5, recall: float = 0.95, seed: int = 17, block: int = 4096, choice: tuple[int, int, int] | None = None) -> DataFrame:
     """query_id, rank, ``vec_id`` and score: for each query row, its k nearest other rows.
 
     ``choice`` sets hashes, tables and probes; else they are tuned for ``recall``. ``scratch``

@@ -3,12 +3,13 @@
 Words (runs of letters and digits, A-Z lowered; punctuation apart) of test items and of
 documents are compared. Hashed runs of ``MIN_MATCH`` words of all items are the seeds; a
 document joins an item where they share seeds that cover enough of it. For each such pair,
-tiling repeatedly marks the longest matches of unmarked words, found by running Karp-Rabin
-hashes, until none of ``MIN_MATCH`` words is left; the share of the item's words marked is
+tiling repeatedly marks the longest matches of unmarked words, found by Karp-Rabin hashes
+that run again at falling lengths, until none of ``MIN_MATCH`` words is left; the share of the item's words marked is
 its coverage, so passages in another order count in full.
 
 Test items go to the tasks in blocks of at most ``BLOCK_WORDS`` words, a pass for each;
-documents are never shuffled, so no item or passage makes a hot task.
+documents are never shuffled, so no item or passage makes a hot task. The cost of a text is
+near linear in its words, however repetitive it is.
 
 Defined results: null or empty texts and items match nothing; an item of fewer words than
 ``MIN_MATCH`` must occur whole; repeated rows give repeated results; ties between matches
@@ -17,8 +18,6 @@ go to the earliest place in the item, then in the document.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,32 +38,68 @@ def word_hashes(column: pa.Array):
         yield w.first, w.hash[keep], np.concatenate([[0], np.cumsum(keep)])[w.bounds]
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+class Rolling:
+    """Karp-Rabin hashes of the runs of a text, at any length: prefix sums of powers of an odd base."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+        powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(words), _BASE)]))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers[:-1], dtype=np.uint64)])
+        self.back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(words), _BACK)]))
+
+    def runs(self, length: int, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of runs of free words, and their hashes."""
+        if length > len(self.words):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        taken = np.concatenate([[0], np.cumsum(~free)])
+        at = np.flatnonzero(taken[length:] == taken[:-length])
+        return at, K.mix((self.sums[at + length] - self.sums[at]) * self.back[at])
+
+
 def tile(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Non-overlapping matches (place in doc, place in item, words), longest first."""
-    free_doc, free_item, tiles = np.ones(len(doc), bool), np.ones(len(item), bool), []
-    doc_hash, item_hash = K.fold(doc, least), K.fold(item, least)
-    places = defaultdict(list)
-    for j, h in enumerate(item_hash.tolist()):
-        places[h].append(j)
-    starts = [(i, places[h]) for i, h in enumerate(doc_hash.tolist()) if h in places]
-    while starts:
-        best, found = least, []
-        for i, js in starts:
-            for j in js:
-                n = 0
-                while i + n < len(doc) and j + n < len(item) and free_doc[i + n] and free_item[j + n] and doc[i + n] == item[j + n]:
-                    n += 1
-                if n >= best:
-                    found.append((n, j, i))
-                    best = n
-        longest = sorted((j, i) for n, j, i in found if n == best)
-        if not longest:
-            return tiles
-        for j, i in longest:
-            if free_doc[i : i + best].all() and free_item[j : j + best].all():
-                free_doc[i : i + best] = free_item[j : j + best] = False
-                tiles.append((i, j, best))
-        starts = [(i, js) for i, js in starts if free_doc[i]]
+    """Non-overlapping matches (place in doc, place in item, words), longest first.
+
+    Karp-Rabin hashes run again at ever smaller lengths: the longest match of free words is
+    found by halving, since a match of a length holds matches of all smaller ones, and all
+    of that length are marked. Lengths fall and each marks as many words, so there are about
+    as many rounds as the root of the item's words, each linear in both texts.
+    """
+    a, b, tiles = Rolling(doc), Rolling(item), []
+    free_a, free_b, most = np.ones(len(doc), bool), np.ones(len(item), bool), min(len(doc), len(item))
+
+    def met(length: int):
+        at_b, hash_b = b.runs(length, free_b)
+        at_a, hash_a = a.runs(length, free_a)
+        keep = np.isin(hash_a, hash_b)
+        return at_a[keep], hash_a[keep], at_b, hash_b
+
+    while most >= least and len(met(least)[0]):
+        low, high = least, most
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if len(met(middle)[0]) else (low, middle - 1)
+        at_a, hash_a, at_b, hash_b = met(low)
+        order = np.argsort(hash_a, kind="stable")
+        at_a, hash_a = at_a[order], hash_a[order]
+        following = {}  # of a hash, the next place in the document that may still be free
+        for j, h in zip(at_b.tolist(), hash_b.tolist()):
+            if not free_b[j : j + low].all():
+                continue
+            key = np.uint64(h)
+            at = following.get(h, int(np.searchsorted(hash_a, key)))
+            while at < len(hash_a) and hash_a[at] == key:
+                i = int(at_a[at])
+                at += 1
+                if free_a[i] and free_a[i + low - 1] and free_a[i : i + low].all() and (doc[i : i + low] == item[j : j + low]).all():
+                    free_a[i : i + low] = free_b[j : j + low] = False
+                    tiles.append((i, j, low))
+                    break
+            following[h] = at
+        most = low - 1
     return tiles
 
 
@@ -73,60 +108,61 @@ class SeedIndex:
 
     def __init__(self, ids: list[int], items: list[np.ndarray], least: int) -> None:
         self.ids, self.items, self.least = ids, items, least
-        seeds, owner, place = [], [], []
-        for n, words in enumerate(items):
-            runs = K.fold(words, min(least, len(words)))
-            seeds.append(runs)
-            owner.append(np.full(len(runs), n))
-            place.append(np.arange(len(runs)))
         self.sizes = sorted({min(least, len(w)) for w in items if len(w)}, reverse=True)
-        all_seeds = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
-        order = np.argsort(all_seeds, kind="stable")
-        self.seeds, self.owner, self.place = all_seeds[order], np.concatenate([np.zeros(0, int), *owner])[order], np.concatenate([np.zeros(0, int), *place])[order]
+        self.by_size = {}  # of each size of seed: the seeds in order, with their items and places
+        for size in self.sizes:
+            own = [n for n, w in enumerate(items) if len(w) and min(least, len(w)) == size]
+            runs = [K.fold(items[n], size) for n in own]
+            seeds, owner, place = np.concatenate(runs), np.repeat(own, [len(r) for r in runs]), np.concatenate([np.arange(len(r)) for r in runs])
+            order = np.argsort(seeds, kind="stable")
+            self.by_size[size] = seeds[order], owner[order], place[order]
+
+    def near(self, runs: np.ndarray, size: int, coverage: float) -> list[int]:
+        """The items whose words the seeds among these runs cover that much."""
+        seeds, owner, place = self.by_size[size]
+        asked = np.unique(runs)
+        low, high = np.searchsorted(seeds, asked), np.searchsorted(seeds, asked, "right")
+        count = high - low
+        if not count.sum():
+            return []
+        at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        who, where = owner[at], place[at]
+        order = np.lexsort((where, who))
+        who, where = who[order], where[order]
+        covered = np.full(len(who), size)
+        same = who[1:] == who[:-1]
+        covered[:-1][same] = np.minimum(size, (where[1:] - where[:-1])[same])
+        total = np.bincount(who, covered)
+        return [int(n) for n in np.unique(who) if total[n] >= coverage * len(self.items[n])]
 
     def matches(self, hashes: np.ndarray, bounds: np.ndarray, coverage: float):
         """(text, item number, tiles) of texts that reach the coverage."""
-        if not len(self.seeds):
-            return
-        sums = defaultdict(lambda: defaultdict(list))
         for size in self.sizes:
+            seeds = self.by_size[size][0]
             runs = K.fold(hashes, size)
-            at = np.searchsorted(self.seeds, runs)
-            at[at == len(self.seeds)] = 0
-            for pos in np.flatnonzero(self.seeds[at] == runs).tolist():
-                text = int(np.searchsorted(bounds, pos, "right")) - 1
-                if pos + size > bounds[text + 1]:
-                    continue
-                k = int(at[pos])
-                while k < len(self.seeds) and self.seeds[k] == runs[pos]:
-                    item = int(self.owner[k])
-                    if min(self.least, len(self.items[item])) == size:
-                        sums[text][item].append((pos - int(bounds[text]), int(self.place[k])))
-                    k += 1
-        for text, by_item in sums.items():
-            doc = hashes[bounds[text] : bounds[text + 1]]
-            for item, hits in by_item.items():
-                words = self.items[item]
-                size = min(self.least, len(words))
-                covered = np.zeros(len(words) + 1, int)
-                for j in {j for _, j in hits}:
-                    covered[j] += 1
-                    covered[min(j + size, len(words))] -= 1
-                if (np.cumsum(covered)[:-1] > 0).sum() < coverage * len(words):
-                    continue
-                # only words that seeds cover can be in a match
-                near = np.zeros(len(doc) + 1, int)
-                for i in {i for i, _ in hits}:
-                    near[i] += 1
-                    near[i + size] -= 1
-                keep = np.flatnonzero(np.cumsum(near)[:-1] > 0)
-                part = doc[keep]
-                gap = np.flatnonzero(np.diff(keep) > 1)
-                part = np.insert(part, gap + 1, np.uint64(0))
-                back = np.insert(keep, gap + 1, -1)
-                tiles = [(int(back[i]), j, n) for i, j, n in tile(part, words, size)]
-                if sum(n for _, _, n in tiles) >= coverage * len(words):
-                    yield text, item, tiles
+            at = np.searchsorted(seeds, runs)
+            at[at == len(seeds)] = 0
+            hit = np.flatnonzero(seeds[at] == runs)
+            text = np.searchsorted(bounds, hit, "right") - 1
+            inside = hit + size <= bounds[text + 1]
+            hit, text = hit[inside], text[inside]
+            starts = np.flatnonzero(np.diff(text, prepend=-1))
+            for a, b in zip(starts, [*starts[1:], len(hit)]):
+                first = int(bounds[text[a]])
+                doc, places, own = hashes[first : int(bounds[text[a] + 1])], hit[a:b] - first, runs[hit[a:b]]
+                for item in self.near(own, size, coverage):
+                    words = self.items[item]
+                    # only words that the item's seeds cover can be in a match
+                    edge = np.zeros(len(doc) + 1, np.int64)
+                    of_item = places[np.isin(own, K.fold(words, size))]
+                    np.add.at(edge, of_item, 1)
+                    np.add.at(edge, of_item + size, -1)
+                    keep = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+                    gap = np.flatnonzero(np.diff(keep) > 1) + 1
+                    part, back = np.insert(doc[keep], gap, np.uint64(0)), np.insert(keep, gap, -1)
+                    tiles = [(int(back[i]), j, n) for i, j, n in tile(part, words, size)]
+                    if sum(n for _, _, n in tiles) >= coverage * len(words):
+                        yield int(text[a]), item, tiles
 
 
 def _scan(index: SeedIndex, coverage: float):

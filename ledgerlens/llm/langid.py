@@ -10,7 +10,8 @@ very long texts are windowed whole; equal texts get equal results; without label
 every text is ``und``; other columns pass, except that ``lang_pred`` and ``score`` are
 replaced.
 
-Training reads at most ``per_language`` texts of each language (chosen by a hash of the id)
+Training reads about 1.2 x ``per_language`` texts of each language (those of a hash of the id
+below a share), 2 x ``per_language`` x languages in all at most,
 and ``windows`` windows of each text, spread over all of it; these are documented bounds of
 the fit alone. Every text is predicted whole.
 """

@@ -8,7 +8,7 @@ the first 5 to 8 bytes of longer tokens. A bucket counts where the two models di
 target is weighed as if it were not in the models.
 
 Documents are then drawn without replacement by Gumbel top-k: the k largest values of
-``SHARPNESS`` x weight + Gumbel noise. k is the number of documents whose weight reaches the
+``sharpness`` x weight + Gumbel noise, so documents near the cut are drawn by chance. k is the number of documents whose weight reaches the
 threshold that best parts the labelled good from the labelled bad, so k follows the corpus.
 The k-th value is found exactly by counting in ever finer bins.
 
@@ -35,7 +35,8 @@ BITS = 18
 PARTS = 64
 PREFIXES = (5, 6, 7, 8)
 PSEUDO, Z = 0.5, 5.0
-SHARPNESS = 100.0
+#: of the weights against the noise of the draw; 1 / temperature
+SHARPNESS = 10.0
 LABELLED = 50_000
 BINS = 4096
 
@@ -177,7 +178,7 @@ def labelled_ids(labels: DataFrame, key: str = "doc_id", bound: int = LABELLED)
     return np.array(sorted({r[0] for r in rows if r[1]}), np.int64), np.array(sorted({r[0] for r in rows if not r[1]}), np.int64)
 
 
-def resample(docs: DataFrame, labels: DataFrame, scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, scratch, key: str = "doc_id", text: str = "text", sharpness: float = SHARPNESS) -> DataFrame:
     """The drawn rows with all their columns, ``log_weight`` and ``gumbel_key``.
 
     ``scratch`` writes the weights once; texts are never written or shuffled.
@@ -186,12 +187,12 @@ def resample(docs: DataFrame, labels: DataFrame, scratch, key: str = "doc_id", t
     if not len(good) or not len(bad):
         return docs.withColumn("log_weight", F.lit(0.0)).withColumn("gumbel_key", gumbel(F.col(key)))
     model = fit(docs, good, key, text)
-    score = F.lit(SHARPNESS) * F.col("log_weight") + gumbel(F.col(key))
+    score = F.lit(sharpness) * F.col("log_weight") + gumbel(F.col(key))
     pairs = weigh(docs.select(key, text), model, key, text).select(F.col(key).cast("long").alias("id"), "log_weight", score.alias("gumbel_key"))
     weights = scratch.write(pairs, "weights")
     spark = docs.sparkSession
     known = spark.createDataFrame(pd.DataFrame({"id": np.concatenate([good, bad]), "ok": np.concatenate([np.ones(len(good), bool), np.zeros(len(bad), bool)])}))
-    found = weights.join(F.broadcast(known), "id").select("id", "log_weight", "ok").dropDuplicates(["id"]).toPandas()  # at most LABELLED rows
+    found = weights.join(F.broadcast(known), "id").groupBy("id", "ok").agg(F.min("log_weight").alias("log_weight")).toPandas()  # at most LABELLED rows
     out = weigh(docs, model, key, text).withColumn("gumbel_key", score)
     ok = found["ok"].to_numpy(bool)
     if not ok.any() or ok.all():
@@ -199,4 +200,5 @@ def resample(docs: DataFrame, labels: DataFrame, scratch, key: str = "doc_id", t
     threshold = _best_threshold(found["log_weight"].to_numpy()[ok], found["log_weight"].to_numpy()[~ok])
     k = weights.where(F.col("log_weight") >= threshold).count()
     cut = kth_largest(weights, "gumbel_key", k) if k else float("inf")
+    scratch.drop("weights")
     return out.where(F.col("gumbel_key") >= cut)

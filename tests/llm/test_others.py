@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import gzip
 import random
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import ann, decontam, kernels, license, packing, quality, warc
-
+from ledgerlens.llm.components import components
 
 # ---- kernels
 
@@ -202,6 +203,50 @@ def test_tiling_finds_reordered_passages(spark):
     assert decontam.contaminated(df, items.limit(0)).count() == 0 and decontam.clean(df, items.limit(0)).count() == df.count()
 
 
+def _tiled(doc, item, least):
+    """Greedy string tiling, by comparing all places."""
+    free_doc, free_item, tiles = [True] * len(doc), [True] * len(item), []
+    while True:
+        best, found = least, []
+        for j in range(len(item)):
+            for i in range(len(doc)):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and free_doc[i + n] and free_item[j + n] and doc[i + n] == item[j + n]:
+                    n += 1
+                if n > best:
+                    best, found = n, [(j, i)]
+                elif n == best:
+                    found.append((j, i))
+        if not found:
+            return tiles
+        for j, i in sorted(found):
+            if all(free_doc[i : i + best]) and all(free_item[j : j + best]):
+                free_doc[i : i + best] = free_item[j : j + best] = [False] * best
+                tiles.append((i, j, best))
+
+
+def test_tiling_equals_brute_force():
+    rng = np.random.default_rng(0)
+    for _ in range(150):
+        letters = int(rng.integers(2, 6))
+        doc, item = (rng.integers(1, letters + 1, int(rng.integers(1, most))).astype(np.uint64) for most in (60, 25))
+        assert decontam.tile(doc, item, 3) == _tiled(doc.tolist(), item.tolist(), 3)
+
+
+def test_a_repetitive_text_of_a_million_words():
+    doc, item = np.array([5, 6, 7] * 333_333, np.uint64), np.array([5, 6, 7] * 20, np.uint64)
+    began = time.perf_counter()
+    (found,) = decontam.SeedIndex([1], [item], 5).matches(doc, np.array([0, len(doc)]), 0.8)
+    assert found[:2] == (0, 0) and found[2] == [(0, 0, 60)] and time.perf_counter() - began < 60
+
+
+def test_items_that_share_a_passage_are_each_found():
+    passage = np.arange(1, 41, dtype=np.uint64)
+    items = [np.concatenate([passage, np.full(3, 100 + n, np.uint64)]) for n in range(50)]
+    found = list(decontam.SeedIndex(list(range(50)), items, 5).matches(np.concatenate([passage[20:], passage[:20]]), np.array([0, 40]), 0.8))
+    assert sorted(n for _, n, _ in found) == list(range(50)) and all([x[2] for x in tiles] == [20, 20] for _, _, tiles in found)
+
+
 def test_tiles_do_not_overlap():
     rng = np.random.default_rng(8)
     for _ in range(200):
@@ -239,6 +284,24 @@ def test_licenses_across_lines(spark):
         assert {r["license"] for r in found} == {name} and max(r["common"] for r in found) == len(license.bigrams(whole[name]))
 
 
+def test_components_fail_when_rounds_run_out(spark, scratch):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    assert {r["component"] for r in components(chain, scratch).collect()} == {0}
+    with pytest.raises(RuntimeError, match="not settled"):
+        components(chain, scratch, rounds=2)
+
+
+def test_the_draw_follows_weights_and_noise(spark, scratch):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join(rng.choice(words[:40] if i % 2 else words[20:], 30))) for i in range(600)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    kept = {s: {r["doc_id"] for r in quality.resample(docs, labels, scratch, sharpness=s).collect()} for s in (0.01, 1.0, 1e6)}
+    share = {s: sum(i % 2 for i in k) / len(k) for s, k in kept.items()}
+    assert kept[1.0] != kept[1e6] and share[0.01] < share[1.0] <= share[1e6] and share[1e6] > 0.95 and share[0.01] < 0.65
+
+
 # ---- packing
 
 PATH = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
