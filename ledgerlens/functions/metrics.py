@@ -36,19 +36,20 @@ def entropy_of(p_log_p: Column, total: Column) -> Column:
 def summary(frame: DataFrame, *by: str, n: str = "n") -> DataFrame:
     """One row (a row of each ``by``): categories, total, entropy, normalised entropy, Gini, Simpson.
 
-    Gini ranks counts within ``by``; ties have equal counts, so their order is immaterial.
+    Equal counts are one row with their multiplicity before they are ranked, so the window
+    runs over different counts, however many categories have them.
     """
-    rank = F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(n))
-    c = F.col(n).cast("double")
-    ranked = frame.where(c >= 0).withColumn("_rank", rank)
-    positive = F.col(n) > 0
-    out = ranked.groupBy(*by).agg(
-        F.sum(F.when(positive, 1).otherwise(0)).cast("long").alias("categories"),
-        F.count("*").alias("_k"),
-        F.sum(n).cast("long").alias("total"),
-        F.sum(F.when(positive, c * F.log2(c)).otherwise(0.0)).alias("_plogp"),
-        F.sum(c * c).alias("_squares"),
-        F.sum(c * F.col("_rank")).alias("_ranked"),
+    same = frame.where(F.col(n) >= 0).groupBy(*by, F.col(n).alias("_n")).agg(F.count("*").alias("_m"))
+    below = F.coalesce(F.sum("_m").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    c, m = F.col("_n").cast("double"), F.col("_m").cast("double")
+    positive = F.col("_n") > 0
+    out = same.withColumn("_below", below.cast("double")).groupBy(*by).agg(
+        F.sum(F.when(positive, F.col("_m")).otherwise(0)).cast("long").alias("categories"),
+        F.sum("_m").alias("_k"),
+        F.sum(F.col("_n") * F.col("_m")).cast("long").alias("total"),
+        F.sum(F.when(positive, m * c * F.log2(c)).otherwise(0.0)).alias("_plogp"),
+        F.sum(m * c * c).alias("_squares"),
+        F.sum(c * (m * F.col("_below") + m * (m + 1) / 2)).alias("_ranked"),
     )
     total, k = F.col("total").cast("double"), F.col("_k").cast("double")
     h = entropy_of(F.col("_plogp"), total)

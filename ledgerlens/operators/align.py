@@ -148,3 +148,15 @@ def cross_method(ours: DataFrame, theirs: DataFrame, key: str, family_of, confid
     one = agreement(rows, F.col("same"), allele=F.lit(True), allele_confident=F.col("sure"), allele_other=~F.col("sure"))
     two = agreement(rows, F.col("family"), family=F.lit(True), family_confident=F.col("sure"))
     return one.crossJoin(two)  # one row each
+
+
+def assignment_summary(calls: DataFrame, family_of, *by: str) -> DataFrame:
+    """By locus or none: rows, rows without a match, spread of identity, and the two most frequent families."""
+    rows = calls.withColumn("family", family_of(F.col("gene_id")))
+    hit = F.when(F.col("gene_id").isNotNull(), F.col("identity"))
+    spread = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count(F.when(F.col("gene_id").isNull(), 1)).alias("no_match"), F.avg(hit).alias("mean_identity"), F.min(hit).alias("min_identity"), F.max(hit).alias("max_identity"))
+    n = rows.where("family IS NOT NULL").groupBy(*by, "family").agg(F.count("*").alias("n"))
+    # a list of families, of which there are some tens
+    top = n.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "family"))), 1, 2).alias("t"))
+    named = top.select(*by, F.transform("t", lambda x: F.struct(x["family"].alias("family"), (-x["m"]).alias("n"))).alias("top_families"))
+    return spread.join(named, list(by), "left") if by else spread.join(named, how="left")

@@ -13,9 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import metrics as M
 from ledgerlens.operators.joins import keep_one
+from ledgerlens.plans import compare
 from ledgerlens.sources.stage import checkpointed
 
+#: texts of one length that meet others in a block
+BLOCK = 4096
+
 
 def exact_clusters(df: DataFrame, text: str, key: str) -> DataFrame:
     """Add ``cluster_rep``: the least key with the same text; null texts are alone."""
@@ -33,15 +38,7 @@ def representatives(df: DataFrame, cluster: str, *order: Column | str) -> DataFr
     return keep_one(df, [cluster], *order)
 
 
-def random_representatives(df: DataFrame, cluster: str, key: str, seeds: int) -> DataFrame:
-    """One row for each cluster and seed, by a hash of seed and key.
-
-    Only (seed, cluster, key) rows are made for the seeds; the hash is aggregated by a
-    minimum, so nothing is sorted.
-    """
-    draws = df.select(cluster, key).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    ticket = F.md5(F.concat_ws(":", F.col("seed"), F.col(key)))
-    return draws.groupBy("seed", cluster).agg(F.min_by(key, F.struct(ticket, F.col(key))).alias(key))
+random_representatives = compare.random_representatives
 
 
 def cluster_sizes(df: DataFrame, cluster: str, text: str | None = None) -> DataFrame:
@@ -62,32 +59,64 @@ def similar_pairs(df: DataFrame, text: str, identity: float, coverage: float = 0
 
     Identity is 1 - edit distance / longer length. Two texts of n letters with identity t
     differ in at most (1 - t) n places, each of which spoils k of the n - k + 1 k-grams; the
-    texts then share one of the first (1 - t) n k + 1 k-grams in a fixed order of either.
-    Texts of no more k-grams than that list all, and meet each other by a common mark.
+    texts then share one of the first (1 - t) n k + 1 k-grams, rarest first, of either. A
+    text of no more k-grams than that is compared with those of a length within reach, in
+    blocks of ``BLOCK``: no key takes them all.
     """
     words = df.select(text).where(F.col(text).isNotNull() & (F.col(text) != "")).distinct().select(F.col(text).alias("t"), F.length(text).alias("n"))
     room = F.floor((1 - identity) * F.col("n") / identity + 1e-9)
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - k + 1, F.lit(1))), lambda i: F.substring("t", i, F.lit(k))))
-    ordered = F.array_sort(F.transform(grams, lambda g: F.concat(F.substring(F.md5(g), 1, 8), g)))
-    keyed = words.withColumn("_keys", F.when(F.size(ordered) > room * k, F.slice(ordered, F.lit(1), (room * k + 1).cast("int"))).otherwise(F.array_append(ordered, F.lit("*"))))
-    # texts that may share no gram with a similar one meet through their "*"
-    rows = keyed.select("t", "n", F.explode(F.array_distinct("_keys")).alias("g"))
-    a, b = rows.select(F.col("t").alias("a"), F.col("n").alias("na"), "g"), rows.select(F.col("t").alias("b"), F.col("n").alias("nb"), "g")
-    near = (F.least("na", "nb") >= F.greatest(F.lit(coverage), F.lit(identity)) * F.greatest("na", "nb")) & (F.col("a") < F.col("b"))
-    pairs = a.join(b, "g").where(near).select("a", "b", "na", "nb").distinct()
-    most = F.greatest("na", "nb")
-    value = 1 - F.levenshtein("a", "b") / most
+    few = F.size("_grams") <= room * k
+    words = checkpointed(words.withColumn("_grams", grams).withColumn("_few", few))
+    # rarest grams first, so that the listed ones are held by few texts
+    held = words.select(F.explode("_grams").alias("g")).groupBy("g").agg(F.count("*").alias("held"))
+    ranked = words.select("t", "n", F.explode("_grams").alias("g")).join(held, "g").groupBy("t", "n").agg(F.array_sort(F.collect_list(F.struct("held", "g"))).alias("_keys"))
+    prefix = F.slice("_keys", F.lit(1), F.least(F.size("_keys"), (room * k + 1).cast("int")))
+    rows = ranked.select("t", "n", F.explode(prefix["g"]).alias("g"))
+    most, near = F.greatest("na", "nb"), F.least("na", "nb") >= F.greatest(F.lit(coverage), F.lit(identity)) * F.greatest("na", "nb")
+    side = lambda d, x, *more: d.select(F.col("t").alias(x), F.col("n").alias(f"n{x}"), *more)
+    pairs = side(rows, "a", "g").join(side(rows, "b", "g"), "g").where(near & (F.col("a") < F.col("b"))).select("a", "b", "na", "nb")
+    # texts that may share no listed gram with a similar one meet all of a similar length
+    short = words.where("_few").select("t", "n")
+    sizes = words.groupBy("n").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts"))  # a row for each length
+    other = F.explode(F.sequence(F.ceil(F.greatest(F.lit(coverage), F.lit(identity)) * F.col("n") - 1e-9).cast("int"), F.floor(F.col("n") / F.greatest(F.lit(coverage), F.lit(identity)) + 1e-9).cast("int")))
+    asks = side(short, "a", other.alias("nb")).join(sizes.withColumnRenamed("n", "nb"), "nb").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    cut = F.pmod(F.xxhash64("t"), F.col("cuts")).cast("int")
+    dealt = words.join(sizes, "n").select(F.col("t").alias("b"), F.col("n").alias("nb"), cut.alias("cut"))
+    met = asks.join(dealt, ["nb", "cut"]).where(near & (F.col("a") != F.col("b")) & (F.levenshtein("a", "b") <= (1 - identity) * most + 1e-9))
+    pairs = pairs.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb")).select("a", "b", most.alias("most")).distinct()
+    value = 1 - F.levenshtein("a", "b") / F.col("most")
     return pairs.select("a", "b", value.alias("identity")).where(F.col("identity") >= identity - 1e-12)
 
 
+def threshold_sensitivity(df: DataFrame, text: str, thresholds: tuple[float, ...] = (0.8, 0.85, 0.9, 0.95), coverage: float = 0.8, categories: dict[str, Column] | None = None) -> DataFrame:
+    """(threshold, metric, value): clusters, their Gini and the representatives' diversity at each threshold.
+
+    Identities are computed once, at the least threshold; each threshold covers its own pairs.
+    """
+    pairs, out = checkpointed(similar_pairs(df, text, min(thresholds), coverage)), None
+    rows = df.where(F.col(text).isNotNull())
+    for t in thresholds:
+        found = cover(rows.select(F.col(text).alias("t")), pairs.where(F.col("identity") >= t - 1e-12))
+        clustered = checkpointed(rows.join(found.select(F.col("t").alias(text), F.col("rep").alias("cluster_rep")), text))
+        one = M.summary(clustered.groupBy("cluster_rep").agg(F.count("*").alias("n"))).select(F.col("total").cast("double").alias("n_rows"), F.col("categories").cast("double").alias("n_clusters"), F.col("gini").alias("cluster_gini"))
+        each = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in one.columns])).alias("m")).select("m.*")
+        if categories:
+            kept = clustered.where(F.col(text) == F.col("cluster_rep")).dropDuplicates(["cluster_rep"])
+            each = each.unionByName(compare.snapshot(kept, categories).where("metric <> 'n_rows'"))
+        each = each.select(F.lit(t).alias("threshold"), "metric", "value")
+        out = each if out is None else out.unionByName(each)
+    return out
+
+
 def threshold_sweep(pairs: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
     """Pairs at each threshold, from identities computed once."""
     cuts = F.explode(F.array(*[F.lit(t) for t in thresholds]))
     return pairs.withColumn("threshold", cuts).where(F.col("identity") >= F.col("threshold") - 1e-12).groupBy("threshold").agg(F.count("*").alias("pairs"))
 
 
-def cover(texts: DataFrame, pairs: DataFrame, text: str = "t", rounds: int = 100) -> DataFrame:
-    """(text, rep) by rounds of local maxima among uncovered vertices."""
+def cover(texts: DataFrame, pairs: DataFrame, text: str = "t", rounds: int = 1000) -> DataFrame:
+    """(text, rep) by rounds of local maxima among uncovered vertices; fails if ``rounds`` are not enough."""
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = checkpointed(both.distinct())
     left, done = checkpointed(texts.select(F.col(text).alias("t")).distinct()), None
@@ -103,6 +132,8 @@ def cover(texts: DataFrame, pairs: DataFrame, text: str = "t", rounds: int = 100
         left = checkpointed(left.join(won.select("t"), "t", "left_anti"))
         if not left.limit(1).count():
             break
+    else:
+        raise RuntimeError(f"texts are left uncovered after {rounds} rounds")
     return done.withColumnRenamed("t", text)
 
 

@@ -58,6 +58,13 @@ def pair_rmsd(df: DataFrame, cluster: str, key: str, points: str, blocks: int =
     return pairs.mapInPandas(run, f"`{cluster}` {kind[cluster]}, a {kind[key]}, b {kind[key]}, rmsd double")
 
 
+def unique_pairs(df: DataFrame, cluster: str, key: str, heavy: str, light: str) -> DataFrame:
+    """One row, that of the least key, for each cluster and pair of chain sequences; a null chain is its own value."""
+    rest = [c for c in df.columns if c not in (cluster, heavy, light)]
+    found = df.groupBy(cluster, heavy, light).agg(F.min_by(F.struct(*rest), key).alias("_row"))
+    return found.select(cluster, heavy, light, "_row.*").select(*df.columns)
+
+
 def skipped_clusters(df: DataFrame, cluster: str, max_size: int) -> DataFrame:
     """(cluster, n) over the size limit."""
     return df.groupBy(cluster).agg(F.count("*").alias("n")).where(F.col("n") > max_size)

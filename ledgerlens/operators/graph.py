@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.plans import compare
 from ledgerlens.sources.stage import checkpointed
 
 SPLITS = (("train", 0.8), ("val", 0.1), ("test", 0.1))
@@ -23,7 +24,8 @@ def components(df: DataFrame, key: str, relations: list[str], rounds: int = 200)
 
     Rows meet through value vertices, so a value of many rows makes as many edges, not
     pairs. Each round takes the least label through values, then jumps to the label's own
-    label, so chains shorten geometrically; it ends when nothing changes.
+    label, so chains shorten geometrically; it ends when nothing changes, and fails if
+    ``rounds`` are not enough.
     """
     edges = relation_edges(df, key, relations)
     shared = edges.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
@@ -38,38 +40,65 @@ def components(df: DataFrame, key: str, relations: list[str], rounds: int = 200)
         labels = after.select("k", "c")
         if not after.where("new").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"components have not settled in {rounds} rounds")
     found = labels.select(F.col("k").alias(key), F.col("c").alias("component"))
     return df.join(found, key, "left").withColumn("component", F.coalesce("component", key))
 
 
+def greedy_runs(sizes: list[tuple[int, int]], splits: tuple[tuple[str, float], ...] = SPLITS) -> list[tuple[int, int, int, list[str]]]:
+    """(size, first place, last place, splits in turn) of the greedy rule over (size, number) pairs.
+
+    Places count from 0 within a size. While one split has most room, it takes as many as
+    keep it first; once all rooms are within a size of each other, the splits take turns in
+    one order for good, so a size needs a few runs however many components have it.
+    """
+    names = [s for s, _ in splits]
+    total = sum(n * many for n, many in sizes)
+    room, rows = {s: share * total for s, share in splits}, []
+    for size, many in sorted(sizes, reverse=True):
+        place = 0
+        while place < many:
+            order = sorted(names, key=lambda s: (-room[s], names.index(s)))
+            rounds = (many - place) // len(names)
+            if rounds and room[order[0]] - size < room[order[-1]]:
+                turns, each = order, rounds
+            else:
+                second = room[order[1]] if len(order) > 1 else float("-inf")
+                turns, each = order[:1], max(1, min(many - place, int((room[order[0]] - second) // size)))
+            for s in turns:
+                room[s] -= each * size
+            rows.append((size, place, place + each * len(turns) - 1, turns))
+            place += each * len(turns)
+    return rows
+
+
+def ranked_by_size(sizes: DataFrame) -> DataFrame:
+    """Add ``place``: the rank from 0 among components of equal ``n``, by id.
+
+    Rows are dealt in ranges of (n, id), ranked within each range, and shifted by the rows
+    of the same size in the ranges before, so a size that most components have is not one task's.
+    """
+    dealt = checkpointed(sizes.repartitionByRange("n", "component").withColumn("_range", F.spark_partition_id()))
+    own = F.row_number().over(Window.partitionBy("_range", "n").orderBy("component")) - 1
+    per = dealt.groupBy("_range", "n").agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.partitionBy("n").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("_own", own).join(per.select("_range", "n", before.alias("_before")), ["_range", "n"]).withColumn("place", F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")
+
+
 def greedy_partition(sizes: DataFrame, splits: tuple[tuple[str, float], ...] = SPLITS) -> DataFrame:
     """(component, n, split): the largest components first, each to the split with most room.
 
     ``sizes`` has a row for each component. The rule looks at one component after another,
-    but equal sizes are alike, so what is folded is the list of different sizes with their
-    multiplicities: it grows with the root of the rows at most. Ties go to the earlier
-    split; components of a size are taken by id.
+    but equal sizes are alike, so the driver folds the list of different sizes with their
+    multiplicities, which grows with the root of the rows at most, in a few runs for each.
+    Ties go to the earlier split; components of a size are taken by id.
     """
-    names = [s for s, _ in splits]
-    runs = sizes.groupBy("n").agg(F.count("*").alias("many")).orderBy(F.desc("n")).collect()
-    total = sum(r["n"] * r["many"] for r in runs)
-    room = {s: share * total for s, share in splits}
-    rows = []
-    for r in runs:
-        size, left, place = r["n"], r["many"], 0
-        while left:
-            best = max(names, key=lambda s: room[s])
-            # so many of this size that the same split stays first
-            second = max((room[s] for s in names if s != best), default=float("-inf"))
-            take = max(1, min(left, int((room[best] - second) // size)))
-            room[best] -= take * size
-            rows.append((size, place, place + take - 1, best))
-            place += take
-            left -= take
-    spark = sizes.sparkSession
-    plan = spark.createDataFrame(rows, "n long, low long, high long, split string")
-    ranked = sizes.withColumn("_place", F.row_number().over(Window.partitionBy("n").orderBy("component")) - 1)
-    return ranked.join(plan, "n").where(F.col("_place").between(F.col("low"), F.col("high"))).select("component", "n", "split")
+    many = [(r["n"], r["many"]) for r in sizes.groupBy("n").agg(F.count("*").alias("many")).collect()]
+    plan = sizes.sparkSession.createDataFrame(greedy_runs(many, splits), "n long, low long, high long, turns array<string>")
+    ranked = ranked_by_size(sizes)
+    found = ranked.join(F.broadcast(plan), "n").where(F.col("place").between(F.col("low"), F.col("high")))  # a few rows for each different size
+    return found.select("component", "n", F.get("turns", F.pmod(F.col("place") - F.col("low"), F.size("turns")).cast("int")).alias("split"))
 
 
 def leakage(df: DataFrame, split: str, relations: list[str]) -> DataFrame:
@@ -91,6 +120,13 @@ def split_profile(df: DataFrame, split: str, category: str) -> DataFrame:
     return n.withColumn("percent", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(split)))
 
 
+def split_drift(df: DataFrame, split: str, categories: dict[str, Column], fractions: dict[str, Column] | None = None) -> DataFrame:
+    """(split, metric, value, whole, drift): diversity and shares of each split against all rows with one."""
+    rows = df.where(F.col(split).isNotNull())
+    each, whole = compare.snapshot(rows, categories, fractions, None, split), compare.snapshot(rows, categories, fractions)
+    return each.join(whole.withColumnRenamed("value", "whole"), "metric").select(split, "metric", "value", "whole", (F.col("value") - F.col("whole")).alias("drift"))
+
+
 def cut_components(df: DataFrame, component: str, split: str) -> DataFrame:
     """One row: components, those in several splits, rows in them."""
     per = df.groupBy(component).agg((F.min(split) != F.max(split)).alias("cut"), F.count("*").alias("n"))

@@ -146,6 +146,34 @@ def null_labels(master: DataFrame, column: str, by: str) -> DataFrame:
     return master.groupBy(by, F.col(column).isNull().alias("is_null")).agg(F.count("*").alias("n"))
 
 
+def label_by_flag(master: DataFrame, column: str, flag: str, upper: str = "UNKNOWN", lower: str = "unknown") -> DataFrame:
+    """One row: two spellings of a missing label by a flag, and whether the flag parts them cleanly.
+
+    Clean: every row of the upper spelling is unflagged, and every one of the lower is flagged.
+    A null flag is neither.
+    """
+    n = lambda label, on: F.count(F.when((F.col(column) == label) & on, 1))
+    yes, no, any_ = F.col(flag), ~F.col(flag), F.lit(True)
+    found = master.agg(
+        F.count("*").alias("n_rows"), n(upper, any_).alias("n_upper"), n(lower, any_).alias("n_lower"), n(upper, yes).alias("upper_true"),
+        n(upper, no).alias("upper_false"), n(lower, yes).alias("lower_true"), n(lower, no).alias("lower_false"),
+    )
+    return found.withColumn("clean_split", (F.col("upper_false") == F.col("n_upper")) & (F.col("lower_true") == F.col("n_lower")))
+
+
+def numbering_check(master: DataFrame, calls: DataFrame, key: str = "pdb_id", length: str = "cdr3_len_actual", low: int = 105, high: int = 117) -> tuple[DataFrame, DataFrame]:
+    """Loop lengths against those of another numbering: one row of counts, and the rows that differ.
+
+    ``calls``: key and ``numbering``, an array of (position, aa) with ``-`` for gaps, null where
+    the other method failed. Rows without a length or a call are not compared.
+    """
+    inside = F.size(F.filter("numbering", lambda x: x["position"].between(low, high) & (x["aa"] != "-")))
+    rows = master.where(F.col(length).isNotNull()).select(key, F.col(length).cast("int").alias("our_length")).join(calls.select(key, F.when(F.col("numbering").isNotNull() & (F.size("numbering") > 0), inside).alias("their_length")), key)
+    both, same = F.col("their_length").isNotNull(), F.col("their_length") == F.col("our_length")
+    one = rows.agg(F.count("*").alias("n_sampled"), F.count(F.when(both, 1)).alias("n_compared"), F.count(F.when(same, 1)).alias("n_agree"), F.count(F.when(~both, 1)).alias("n_errors"))
+    return one.withColumn("agreement_percent", S.ratio(100.0 * F.col("n_agree"), F.col("n_compared"))), rows.where(both & ~same)
+
+
 def migrate(master: DataFrame, clusters: DataFrame, rules: T.Rules) -> DataFrame:
     """The table with h3_seq, cluster_rep and antigen_class; as many rows as before, checked."""
     rows = joins.one_to_one_join(master, clusters.select("filename_stem", F.col("cdrh3_seq").alias("h3_seq"), "cluster_rep"), ["filename_stem"])

@@ -700,3 +700,107 @@ def leaked_row_detail(spark, sf):
 @query("SELECT round(sum(l_quantity * n) / sum(n), 6) AS weighted_mean FROM (SELECT l_quantity, count(*) AS n FROM lineitem GROUP BY 1)")
 def weighted_histogram_mean(spark, sf):
     return rounded(M.weighted_mean(M.counts(table(spark, sf, "lineitem"), "l_quantity"), "l_quantity"), "weighted_mean")
+
+
+# ---- cuts, drift and cross-checks
+
+
+def long_metrics(table_: str, dims: dict[str, str], by: str = "") -> str:
+    """SQL of snapshots over a table: (by, metric, value) of entropy and variety by dimension, and rows."""
+    b = f"{by}, " if by else ""
+    group = f"GROUP BY {by}" if by else ""
+    parts = [f"SELECT {b}'n_rows' AS metric, count(*)::DOUBLE AS value FROM {table_} {group}"]
+    for name, expression in dims.items():
+        n = f"(SELECT {b}{expression} AS c, count(*)::DOUBLE AS n FROM {table_} WHERE {expression} IS NOT NULL GROUP BY ALL)"
+        parts.append(f"SELECT {b}'{name}_entropy_bits', log2(sum(n)) - sum(n * log2(n)) / sum(n) FROM {n} {group}")
+        parts.append(f"SELECT {b}'{name}_n_unique', count(*)::DOUBLE FROM {n} {group}")
+    return " UNION ALL ".join(parts)
+
+
+def told(df: DataFrame) -> DataFrame:
+    return df.where(F.col("metric").rlike("^n_rows$|_entropy_bits$|_n_unique$|_fraction$|_share$"))
+
+
+@query(f"""
+WITH d AS (SELECT md5(text) AS cluster, lang FROM documents), m AS ({long_metrics("d", {"cluster": "cluster", "class": "lang"})}
+  UNION ALL SELECT 'en_fraction', avg((lang = 'en')::INT) FROM d
+  UNION ALL SELECT 'cluster_top10_share', (SELECT sum(n) FROM (SELECT count(*) AS n FROM d WHERE cluster IS NOT NULL GROUP BY cluster ORDER BY 1 DESC LIMIT 10)) / count(cluster) FROM d)
+SELECT metric, round(value, 6) AS value FROM m""")
+def focused_snapshot(spark, sf):
+    rows = table(spark, sf, "documents").select(F.md5("text").alias("cluster"), "lang")
+    return rounded(told(compare.focused_snapshot(rows, "cluster", "lang", "en")), "value")
+
+
+@query(f"""
+WITH d AS (SELECT source, lang, CAST(length(text) // 500 AS VARCHAR) AS size FROM documents WHERE source IS NOT NULL), e AS ({long_metrics("d", {"lang": "lang", "size": "size"}, "source")}), w AS ({long_metrics("d", {"lang": "lang", "size": "size"})})
+SELECT e.source, metric, round(e.value, 6) AS value, round(w.value, 6) AS whole, round(e.value - w.value, 6) AS drift FROM e JOIN w USING (metric)""")
+def split_drift(spark, sf):
+    rows = table(spark, sf, "documents").select("source", "lang", F.floor(F.length("text") / 500).cast("string").alias("size"))
+    return rounded(told(graph.split_drift(rows, "source", {"lang": F.col("lang"), "size": F.col("size")})), "value", "whole", "drift")
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, md5(text) AS c, source, lang FROM documents), t AS (SELECT s AS seed, d.*, row_number() OVER (PARTITION BY s, c ORDER BY md5(s || ':' || doc_id), doc_id) AS r FROM d, range(12) x(s)),
+k AS (SELECT * FROM t WHERE r = 1), m AS ({long_metrics("k", {"source": "source", "lang": "lang"}, "seed")})
+SELECT metric, count(*) AS seeds, round(min(value), 6) AS low, round(max(value), 6) AS high, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM m GROUP BY 1""")
+def metric_sweep(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("c"), "source", "lang")
+    return rounded(told(compare.metric_sweep(rows, "c", "doc_id", ["source", "lang"], 12)), "low", "high", "mean", "std")
+
+
+@query("""
+WITH c AS (SELECT c_mktsegment AS s, c_acctbal > 0 AS f FROM customer)
+SELECT count(*) AS n_rows, count(*) FILTER (s = 'BUILDING') AS n_upper, count(*) FILTER (s = 'MACHINERY') AS n_lower, count(*) FILTER (s = 'BUILDING' AND f) AS upper_true, count(*) FILTER (s = 'BUILDING' AND NOT f) AS upper_false,
+  count(*) FILTER (s = 'MACHINERY' AND f) AS lower_true, count(*) FILTER (s = 'MACHINERY' AND NOT f) AS lower_false,
+  count(*) FILTER (s = 'BUILDING' AND NOT f) = count(*) FILTER (s = 'BUILDING') AND count(*) FILTER (s = 'MACHINERY' AND f) = count(*) FILTER (s = 'MACHINERY') AS clean_split FROM c""")
+def label_by_flag(spark, sf):
+    rows = table(spark, sf, "customer").select("c_mktsegment", (F.col("c_acctbal") > 0).alias("flag"))
+    return audits.label_by_flag(rows, "c_mktsegment", "flag", "BUILDING", "MACHINERY")
+
+
+@query("""
+WITH p AS (SELECT p_size % 14 AS our, CASE WHEN p_size % 9 <> 0 THEN length(replace(substr(p_name, 5, 13), ' ', '')) END AS their FROM part WHERE p_size % 5 <> 0)
+SELECT count(*) AS n_sampled, count(their) AS n_compared, count(*) FILTER (our = their) AS n_agree, count(*) FILTER (their IS NULL) AS n_errors, round(100.0::DOUBLE * count(*) FILTER (our = their) / count(their), 6) AS agreement_percent FROM p""")
+def numbering_check(spark, sf):
+    part = table(spark, sf, "part")
+    master = part.select("p_partkey", F.when(F.col("p_size") % 5 != 0, F.col("p_size") % 14).alias("length"))
+    letters = F.transform(F.split("p_name", ""), lambda c, i: F.struct((i + 101).alias("position"), F.when(c == " ", "-").otherwise(c).alias("aa")))
+    calls = part.select("p_partkey", F.when(F.col("p_size") % 9 != 0, letters).alias("numbering"))
+    return rounded(audits.numbering_check(master, calls, "p_partkey", "length")[0], "agreement_percent")
+
+
+@query("""
+WITH c AS (SELECT p_type, CASE WHEN p_size % 7 <> 0 THEN p_brand END AS gene, p_size / 50.0 AS identity FROM part),
+f AS (SELECT p_type, right(gene, 1) AS family, count(*) AS n FROM c WHERE gene IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY n DESC, family) AS place FROM f),
+t AS (SELECT p_type, string_agg(family || ':' || n, ',' ORDER BY place) AS top_families FROM r WHERE place <= 2 GROUP BY 1)
+SELECT p_type, count(*) AS n, count(*) FILTER (gene IS NULL) AS no_match, round(avg(identity) FILTER (gene IS NOT NULL), 6) AS mean_identity, round(min(identity) FILTER (gene IS NOT NULL), 6) AS min_identity, round(max(identity) FILTER (gene IS NOT NULL), 6) AS max_identity, any_value(top_families) AS top_families
+FROM c LEFT JOIN t USING (p_type) GROUP BY 1""")
+def assignment_summary(spark, sf):
+    calls = table(spark, sf, "part").select("p_type", F.when(F.col("p_size") % 7 != 0, F.col("p_brand")).alias("gene_id"), (F.col("p_size") / 50.0).cast("double").alias("identity"))
+    found = align.assignment_summary(calls, lambda g: F.right(g, F.lit(1)), "p_type")
+    top = F.array_join(F.transform("top_families", lambda x: F.concat(x["family"], F.lit(":"), x["n"].cast("string"))), ",")
+    return rounded(found.withColumn("top_families", top), "mean_identity", "min_identity", "max_identity")
+
+
+@query("SELECT l_suppkey, l_returnflag, l_linestatus, CAST(min(l_orderkey * 10 + l_linenumber) AS BIGINT) AS id FROM lineitem GROUP BY ALL")
+def unique_pairs(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_suppkey", "l_returnflag", "l_linestatus", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("id"))
+    return geometry.unique_pairs(rows, "l_suppkey", "id", "l_returnflag", "l_linestatus")
+
+
+@query()
+def threshold_sensitivity(spark, sf):
+    rows = table(spark, sf, "part").select("p_name", "p_brand")
+    return rounded(dedup.threshold_sensitivity(rows, "p_name", (0.8, 0.85, 0.9, 0.95), 0.8, {"brand": F.col("p_brand")}).where("metric NOT LIKE 'brand%'"), "value")
+
+
+@query("""
+WITH n AS (SELECT p_name AS t, count(*) AS n FROM part WHERE p_name IS NOT NULL GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS split_texts, CAST(0 AS BIGINT) AS far_members, CAST(0 AS BIGINT) AS uncovered FROM n""")
+def near_cluster_properties(spark, sf):
+    """Equal texts are together, and every member meets identity and coverage to its representative."""
+    rows = dedup.near_clusters(table(spark, sf, "part").select("p_partkey", "p_name"), "p_name", 0.85)
+    most = F.greatest(F.length("p_name"), F.length("cluster_rep"))
+    far = (1 - F.levenshtein("p_name", "cluster_rep") / most < 0.85 - 1e-12) | (F.least(F.length("p_name"), F.length("cluster_rep")) < 0.8 * most)
+    one = rows.where("p_name IS NOT NULL").agg(F.count("*").alias("n_rows"), F.count(F.when(far, 1)).alias("far_members"), F.count(F.when(F.col("cluster_rep").isNull(), 1)).alias("uncovered"))
+    return one.crossJoin(dedup.split_clusters(rows, "p_name", "cluster_rep").agg(F.count("*").alias("split_texts")))  # one row each

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import metrics as M
-from ledgerlens.operators import dedup
+from ledgerlens.operators.joins import keep_one
 
 
 def snapshot(df: DataFrame, categories: dict[str, Column], flags: dict[str, Column] | None = None, means: dict[str, Column] | None = None, *by: str) -> DataFrame:
@@ -42,7 +42,7 @@ def delta(before: DataFrame, after: DataFrame, digits: int = 6) -> DataFrame:
 
 def before_after(df: DataFrame, cluster: str, order: list, categories: dict[str, Column], flags: dict[str, Column] | None = None) -> DataFrame:
     """The snapshot of all rows against that of one representative a cluster."""
-    return delta(snapshot(df, categories, flags), snapshot(dedup.representatives(df, cluster, *order), categories, flags))
+    return delta(snapshot(df, categories, flags), snapshot(keep_one(df, [cluster], *order), categories, flags))
 
 
 def population_cuts(df: DataFrame, cuts: dict[str, Column], categories: dict[str, Column]) -> DataFrame:
@@ -51,12 +51,45 @@ def population_cuts(df: DataFrame, cuts: dict[str, Column], categories: dict[str
     return snapshot(df.withColumn("population", F.explode(names)), categories, None, None, "population")
 
 
+def focused_snapshot(df: DataFrame, cluster: str, cls: str, target: str, k: int = 10) -> DataFrame:
+    """(metric, value) of bound rows: clusters with their top-k share, classes, and the share of one class.
+
+    Null clusters and classes are left out of their own metrics.
+    """
+    found = snapshot(df, {"cluster": F.col(cluster), "class": F.col(cls)}, None, {f"{target}_fraction": F.when(F.col(cls).isNotNull(), (F.col(cls) == target).cast("double"))})
+    sizes = df.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.count("*").alias("n"))
+    share = M.top_share(sizes, k, cluster).select(F.lit(f"cluster_top{k}_share").alias("metric"), F.col("share").alias("value"))
+    return found.unionByName(share)
+
+
+def draw_spread(rows: DataFrame, categories: dict[str, Column]) -> DataFrame:
+    """(metric, seeds, low, high, mean, std) of the snapshots by ``seed``."""
+    v = F.col("value")
+    return snapshot(rows, categories, None, None, "seed").groupBy("metric").agg(F.count("*").alias("seeds"), F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))
+
+
 def representative_sweep(df: DataFrame, cluster: str, key: str, category: str, seeds: int) -> DataFrame:
     """One row: spread of a category's entropy over random choices of representatives."""
-    chosen = dedup.random_representatives(df, cluster, key, seeds).select("seed", key)
-    rows = chosen.join(df.select(key, category), key)
-    each = M.summary(rows.groupBy("seed", category).agg(F.count("*").alias("n")), "seed")
-    return each.agg(F.count("*").alias("seeds"), F.min("entropy_bits").alias("low"), F.max("entropy_bits").alias("high"), F.avg("entropy_bits").alias("mean"), F.stddev_samp("entropy_bits").alias("std"))
+    chosen = random_representatives(df, cluster, key, seeds).select("seed", key)
+    each = draw_spread(chosen.join(df.select(key, category), key), {"c": F.col(category)})
+    return each.where("metric = 'c_entropy_bits'").drop("metric")
+
+
+def metric_sweep(df: DataFrame, cluster: str, key: str, categories: list[str], seeds: int = 200) -> DataFrame:
+    """(metric, seeds, low, high, mean, std) of every metric over random choices of representatives."""
+    chosen = random_representatives(df, cluster, key, seeds).select("seed", key)
+    return draw_spread(chosen.join(df.select(key, *categories), key), {c: F.col(c) for c in categories})
+
+
+def random_representatives(df: DataFrame, cluster: str, key: str, seeds: int) -> DataFrame:
+    """One row for each cluster and seed, by a hash of seed and key.
+
+    Only (seed, cluster, key) rows are made for the seeds; the hash is aggregated by a
+    minimum, so nothing is sorted.
+    """
+    draws = df.select(cluster, key).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    ticket = F.md5(F.concat_ws(":", F.col("seed"), F.col(key)))
+    return draws.groupBy("seed", cluster).agg(F.min_by(key, F.struct(ticket, F.col(key))).alias(key))
 
 
 def accounting(df: DataFrame, **levels: list[str]) -> DataFrame:

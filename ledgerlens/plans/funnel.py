@@ -53,7 +53,8 @@ def structure_gates(low: int = 3, high: int = 35) -> list[tuple[str, Column]]:
 
 def clamp_model(model: Column, count: Column) -> Column:
     """The model's index, at most the last; null where it is no whole number."""
-    return F.least(model.try_cast("int"), count - 1)
+    index = model.try_cast("int")
+    return F.when(index.isNotNull(), F.least(index, count - 1))
 
 
 def over_cap(length: Column, cap: int = 280) -> Column:
