@@ -53,7 +53,14 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path).alias(name)
 
     def drop(self, *names: str) -> None:
-        """Delete the written tables of these names, or all."""
+        """Delete the written tables of these names."""
+        self._delete(lambda name: name in names)
+
+    def drop_all_but(self, *names: str) -> None:
+        """Delete the other written tables."""
+        self._delete(lambda name: name not in names)
+
+    def _delete(self, gone) -> None:
         jvm = self.spark.sparkContext._jvm
         base = jvm.org.apache.hadoop.fs.Path(self.base)
         fs = base.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -61,5 +68,5 @@ class Scratch:
             return
         for status in fs.listStatus(base):
             path = status.getPath()
-            if not names or path.getName().split("-", 1)[1] in names:
+            if gone(path.getName().split("-", 1)[1]):
                 fs.delete(path, True)
