@@ -34,10 +34,17 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each group of similar ones."""
-    found = jaccard.similar_documents(docs, Scratch(spark, "near"), k=SHINGLE, threshold=SIMILARITY)
+    """Keep the document of the smallest id of each group of similar ones, and a repeated row once."""
+    scratch = Scratch(spark, "near")
+    found = scratch.write(jaccard.similar_documents(docs, scratch, k=SHINGLE, threshold=SIMILARITY), "found")
+    scratch.drop_all_but("found")
     extra = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
