@@ -138,16 +138,18 @@ def choose_locus(kappa: Column, light: Column) -> Column:
     return F.struct(locus.alias("locus"), F.when(first, k).otherwise(m).alias("gene_id"), F.when(first, kappa["identity"]).otherwise(light["identity"]).alias("identity"))
 
 
-def cross_method(ours: DataFrame, theirs: DataFrame, key: str, family_of, confident: str) -> DataFrame:
-    """One row: agreement of gene families, alleles and species, over all and confident calls."""
+def cross_method(ours: DataFrame, theirs: DataFrame, key: str, family_of, confident: str, species: str | None = None) -> DataFrame:
+    """One row: agreement of gene families, alleles and, of a column of both, species, over all and confident calls."""
     both = ours.alias("o").join(theirs.alias("t"), key)
     same = F.col("o.gene_id") == F.col("t.gene_id")
     family = family_of(F.col("o.gene_id")) == family_of(F.col("t.gene_id"))
     sure = F.col(f"o.{confident}")
-    rows = both.select(F.coalesce(same, F.lit(False)).alias("same"), F.coalesce(family, F.lit(False)).alias("family"), F.coalesce(sure, F.lit(False)).alias("sure"))
+    alike = F.lower(F.trim(F.col(f"o.{species}"))) == F.lower(F.trim(F.col(f"t.{species}"))) if species else F.lit(None).cast("boolean")
+    rows = both.select(alike.alias("alike"), F.coalesce(same, F.lit(False)).alias("same"), F.coalesce(family, F.lit(False)).alias("family"), F.coalesce(sure, F.lit(False)).alias("sure"))
     one = agreement(rows, F.col("same"), allele=F.lit(True), allele_confident=F.col("sure"), allele_other=~F.col("sure"))
     two = agreement(rows, F.col("family"), family=F.lit(True), family_confident=F.col("sure"))
-    return one.crossJoin(two)  # one row each
+    three = agreement(rows, F.coalesce("alike", F.lit(False)), species=F.lit(True), species_confident=F.col("sure"))
+    return one.crossJoin(two).crossJoin(three) if species else one.crossJoin(two)  # one row each
 
 
 def assignment_summary(calls: DataFrame, family_of, *by: str) -> DataFrame:

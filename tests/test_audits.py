@@ -177,6 +177,9 @@ def test_locus_cross_method_and_summary(spark):
     theirs = spark.createDataFrame([(1, "IGHV3-23"), (2, "IGHV3-9"), (3, "IGHV4-1"), (4, "IGHV1-2")], "id int, gene_id string")
     r = align.cross_method(ours, theirs, "id", T.gene_family, "sure").first()
     assert (r["allele"], r["allele_confident"], r["allele_other"], r["family"], r["family_confident"]) == (0.25, 0.5, 0.0, 0.5, 1.0)
+    both = [d.withColumn("species", F.when(F.col("id") == 1, x).when(F.col("id") == 2, "mouse")) for d, x in ((ours, "Human "), (theirs, "human"))]
+    r = align.cross_method(*both, "id", T.gene_family, "sure", "species").first()
+    assert (r["allele"], r["species"], r["species_confident"]) == (0.25, 0.5, 1.0)
     calls = spark.createDataFrame([("IGHV3-23", 0.9), ("IGHV3-7", 0.7), ("IGHV1-2", 0.8), ("IGHV2-1", 0.6), (None, 0.0)], "gene_id string, identity double")
     r = align.assignment_summary(calls, T.gene_family).first()
     assert (r["n"], r["no_match"], r["min_identity"], r["max_identity"]) == (5, 1, 0.6, 0.9) and r["mean_identity"] == pytest.approx(0.75)
