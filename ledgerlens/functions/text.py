@@ -246,19 +246,24 @@ def best_frame(nt: Column, motif: str | None = None) -> Column:
     left. With one: the only frame without stops that has it; else the fewest stops,
     ambiguous.
     """
-    frames = []
-    for f in range(3):
-        aa = translate_frame(nt, f)
+    read = F.array(*[F.struct(F.lit(f).alias("frame"), translate_frame(nt, f).alias("aa")) for f in range(3)])
+
+    def told(x: Column) -> Column:
+        aa = x["aa"]
         inner = F.regexp_replace(aa, r"\*$", "") if motif is None else aa
         stops = F.when(aa == "", F.lit(999)).otherwise(F.length(inner) - F.length(F.replace(inner, F.lit("*"), F.lit(""))))
-        frames.append(F.struct(stops.cast("int").alias("stops"), F.lit(f).alias("frame"), F.regexp_replace(aa, r"\*+$", "").alias("aa"), (aa.rlike(motif) if motif else F.lit(True)).alias("fits")))
-    every = F.array(*frames)
-    least = F.array_min(every)
-    fit = F.filter(every, lambda x: x["fits"] & (x["stops"] == 0))
-    chosen = F.when(F.size(fit) > 0, fit[0]).otherwise(least) if motif else least
-    tied = F.size(F.filter(every, lambda x: x["stops"] == least["stops"]))
-    unclear = F.size(fit) != 1 if motif else (tied > 1) | (least["stops"] > 0)
-    return F.struct(chosen["aa"].alias("aa"), chosen["frame"].alias("frame"), chosen["stops"].alias("stops"), unclear.alias("ambiguous"))
+        return F.struct(stops.cast("int").alias("stops"), x["frame"].alias("frame"), F.regexp_replace(aa, r"\*+$", "").alias("aa"), (aa.rlike(motif) if motif else F.lit(True)).alias("fits"))
+
+    def chosen(every: Column) -> Column:
+        least = F.array_min(every)
+        fit = F.filter(every, lambda x: x["fits"] & (x["stops"] == 0))
+        best = F.when(F.size(fit) > 0, fit[0]).otherwise(least) if motif else least
+        tied = F.size(F.filter(every, lambda x: x["stops"] == least["stops"]))
+        unclear = F.size(fit) != 1 if motif else (tied > 1) | (least["stops"] > 0)
+        return F.struct(best["aa"].alias("aa"), best["frame"].alias("frame"), best["stops"].alias("stops"), unclear.alias("ambiguous"))
+
+    # lambdas over one-element arrays: their variables are values, so each frame is translated once
+    return F.transform(F.array(F.transform(read, told)), chosen)[0]
 
 
 J_MOTIF = "[FW]G.G"

@@ -1,6 +1,6 @@
-"""Superposition, contact distances and compositions of structures, in Arrow kernels.
+"""Superposition, contact distances and compositions of structures.
 
-A kernel sees one structure, or one block of a cluster's pairs; both are bounded.
+Superposition is an Arrow kernel that sees one batch of pairs; all else is expressions.
 """
 
 from __future__ import annotations
@@ -90,29 +90,16 @@ def top_by_mean(pairs: DataFrame, cluster: str, k: int = 20) -> DataFrame:
 def contact_distances(atoms: DataFrame, targets: DataFrame, structure: str = "pdb_id") -> DataFrame:
     """(structure, residue columns, min_dist): nearest target atom of each residue's atoms.
 
-    ``atoms``: structure, residue, aa, x, y, z; ``targets``: structure, x, y, z. A kernel
-    sees one structure; blocks keep its distance table small.
+    ``atoms``: structure, residue, aa, x, y, z; ``targets``: structure, x, y, z. Pairs of a
+    structure stream through the join into a running minimum, without another shuffle.
+    Residues without a finite distance, and structures without a target atom, have no rows.
     """
-
-    def run(_, a: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if not len(a):
-            return pd.DataFrame([], columns=[structure, "residue", "aa", "min_dist"], dtype=object)
-        p, q = a[["x", "y", "z"]].to_numpy(float), t[["x", "y", "z"]].to_numpy(float)
-        near = np.full(len(p), np.inf)
-        for i in range(0, len(q), 1024):
-            part = q[i : i + 1024]
-            for j in range(0, len(p), 4096):
-                d = ((p[j : j + 4096, None, :] - part[None]) ** 2).sum(2).min(1)
-                near[j : j + 4096] = np.minimum(near[j : j + 4096], d)
-        least: dict[tuple, float] = {}
-        for key, d in zip(zip(a[structure], a["residue"], a["aa"]), np.sqrt(near)):
-            least[key] = min(d, least.get(key, np.inf))
-        rows = [(*key, float(d)) for key, d in least.items() if np.isfinite(d)]
-        return pd.DataFrame(rows, columns=[structure, "residue", "aa", "min_dist"], dtype=object)
-
-    kind = {f.name: f.dataType.simpleString() for f in atoms.schema.fields}
-    schema = f"`{structure}` {kind[structure]}, residue {kind['residue']}, aa string, min_dist double"
-    return atoms.groupBy(structure).cogroup(targets.groupBy(structure)).applyInPandas(run, schema)
+    others = targets.select(F.col(structure).alias("_structure"), *[F.col(c).cast("double").alias(f"_{c}") for c in "xyz"])
+    own = atoms.select(structure, "residue", "aa", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    pairs = own.join(others, F.col(structure) == F.col("_structure"))
+    gap = [F.col(c) - F.col(f"_{c}") for c in "xyz"]
+    near = pairs.groupBy(structure, "residue", "aa").agg(F.sqrt(F.min(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2])).alias("min_dist"))
+    return near.where(F.col("min_dist").isNotNull() & ~F.isnan("min_dist") & (F.col("min_dist") < float("inf")))
 
 
 def interface_mask(distances: DataFrame, cut: float = 10.0) -> DataFrame:
