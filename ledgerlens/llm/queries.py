@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from ledgerlens.llm import ann, chat, decontam, jaccard, langid, license, packing, quality, urls, warc
+from ledgerlens.llm import ann, centroids, chat, decontam, fim, jaccard, langid, license, packing, quality, simhash, urls, warc
 from ledgerlens.llm.shared import Scratch
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -194,6 +194,64 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(scratch.write(cut, "pieces")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents rearranged, and read back from the outputs."""
+    done = fim.transform(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fim.restore(F.col("output"), F.col("form"))
+    chars = lambda c: F.length(c).cast("long").alias(f"{c}_chars")
+    return done.select("doc_id", "n", "form", chars("prefix"), chars("middle"), F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS units, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b FROM u),
+p AS (
+  SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op12_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in sixteen clusters after three rounds."""
+    found, at = centroids.cluster(_read(spark, sf_dir, "embeddings"), Scratch(spark, "op12"))
+    sums = [tuple(r) for r in centroids.summary(found).select("cluster", "cluster_inertia").collect()]  # a row for each centroid
+    whole = sum(s for _, s in sums)
+    about = spark.createDataFrame([(c, s, whole, centroids.digest(at[c])) for c, s in sums], "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return found.join(F.broadcast(about), "cluster").select(F.col("key").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")  # a row for each centroid
+
+
+def _op12_sql(k: int = 16, rounds: int = 3) -> str:
+    """Lloyd's rounds, one after the other, in whole numbers."""
+    near = "SELECT vec_id, row, v, arg_min(c, [d, c]) AS c, min(d) AS d FROM (SELECT x.vec_id, x.row, x.v, m.c, list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - m.v[i]) * (x.v[i] - m.v[i]))) AS d FROM x CROSS JOIN m{i} AS m) GROUP BY vec_id, row, v"
+    steps = [
+        "e AS (SELECT vec_id, embedding AS v, row_number() OVER () AS row FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0)",
+        "x AS MATERIALIZED (SELECT vec_id, row, list_transform(v, lambda y: CAST(floor(CAST(y AS DOUBLE) * 64) AS BIGINT)) AS v FROM e)",
+        f"m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM x ORDER BY c LIMIT {k})",
+    ]
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED ({near.format(i=i)})")
+        steps.append(f"s{i} AS (SELECT c, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{i}, range(1, 65) AS r(i) GROUP BY c, i)")
+        steps.append(f"n{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{i} GROUP BY c)")
+        steps.append(f"m{i + 1} AS MATERIALIZED (SELECT m.c, coalesce(n.v, m.v) AS v FROM m{i} AS m LEFT JOIN n{i} AS n ON m.c = n.c)")
+    return (
+        "WITH " + ",\n".join(steps) + f",\nf AS MATERIALIZED ({near.format(i=rounds)})\n"
+        "SELECT vec_id, CAST(f.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY f.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, "
+        f"sha256(array_to_string(m.v, ',')) AS centroid_sha256 FROM f JOIN m{rounds} AS m ON f.c = m.c"
+    )
+
+
+def op13_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, and its component of those that differ in four bits at most."""
+    return simhash.similar_documents(_read(spark, sf_dir, "documents"), Scratch(spark, "op13")).select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_url_filter": op2_url_filter,
@@ -205,5 +263,8 @@ QUERIES = {
     "op8_importance": op8_importance,
     "op9_string_tiling": op9_string_tiling,
     "op10_best_fit": op10_best_fit,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_exponion": op12_exponion,
+    "op13_bit_sliced": op13_bit_sliced,
 }
-ORACLES = {"op1_chat": OP1_SQL, "op2_url_filter": OP2_SQL, "op5_revisits": OP5_SQL, "op7_license_dice": OP7_SQL}
+ORACLES = {"op1_chat": OP1_SQL, "op2_url_filter": OP2_SQL, "op5_revisits": OP5_SQL, "op7_license_dice": OP7_SQL, "op11_fill_in_middle": OP11_SQL, "op12_exponion": _op12_sql()}
