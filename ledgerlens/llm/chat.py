@@ -1,20 +1,30 @@
 """Chat formatting by schema fingerprints, in DataFrame functions only.
 
-Records of different layouts (messages, prompt and answer, instruction and output, rows of
-turns) become one canonical array of turns. For each record, the known field paths that it
-holds are sorted and hashed; the hash picks a declarative mapping. ``format_turns`` then
-writes the turns in a ChatML-like template with an exact inverse, ``parse_formatted``.
-
-Defined results: a null text or role counts as empty; a record of no known layout gets null
-turns and the layout ``unknown``; a conversation without turns formats to an empty string;
-turns of equal number are ordered by role and text, and repeated rows stay; extra columns
-are ignored. A conversation is one output row, so one row holds all its text.
+Records of different layouts (lists of messages, prompt and answer, instruction and output,
+rows of turns) become one canonical array of turns. For each record, the known field paths
+that it holds are sorted and hashed; the hash picks a declarative mapping. A layout names the
+paths that it needs and those that it may have besides, so it has a hash for each choice of
+these. ``format_turns`` then writes the turns in a ChatML-like template with an exact inverse,
+``parse_formatted``.
+
+Paths: ``messages`` is a list that is there, ``messages[]`` one with an item, and
+``messages[].role`` one in which any item has that field. In JSON and variant records a field
+with a null is there; in structs, where an absent field is a null too, it is not.
+
+Defined results: a null text or role counts as empty, and a null system text is no turn; an
+empty list has no turns; where a record has both a list and a ``prompt`` (the list's first
+turn, in data of this kind), the list counts; a record of no known layout, or with a list of
+other items than objects, gets null turns and the layout ``unknown``; a conversation without
+turns formats to an empty string; turns of equal number are ordered by role and text, and
+repeated rows stay; extra columns are ignored. A conversation is one output row, so one row
+holds all its text.
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from itertools import chain, combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,35 +39,70 @@ class Layout:
     """A mapping: the field paths that identify it, and where turns come from."""
 
     name: str
-    paths: tuple[str, ...]
+    #: paths that must be there
+    paths: tuple[str, ...] = ()
+    #: paths that may be there, too
+    optional: tuple[str, ...] = ()
     #: of a list of turns: the list, and the fields of role and text
     items: tuple[str, str, str] | None = None
-    #: of single fields: pairs of role and path, in order; empty ones are left out
+    #: of single fields: pairs of role and path, in order, each a turn
     fields: tuple[tuple[str, str], ...] = ()
+    #: the path of a text that comes first, where it is not null
+    system: str = "system"
 
+    def choices(self) -> list[frozenset[str]]:
+        """Every set of paths that is this layout."""
+        must = [frozenset(self.paths)]
+        if self.items:
+            name, *keys = self.items
+            held = [frozenset(), *(frozenset([f"{name}[]", *some]) for some in _subsets([f"{name}[].{k}" for k in keys]) if some)]
+            must = [frozenset([name]) | x for x in held]
+        return [m | frozenset(more) for m in must for more in _subsets(self.optional)]
 
+
+def _subsets(names) -> list[tuple[str, ...]]:
+    return list(chain.from_iterable(combinations(names, n) for n in range(len(names) + 1)))
+
+
+#: lists of turns, and the names of role and text in them
+LISTS = ("turns", "messages", "conversations", "conversation")
+ITEMS = (("role", "content"), ("role", "text"), ("from", "value"), ("speaker", "text"))
 LAYOUTS = (
-    Layout("turns", ("turns[].role", "turns[].text"), items=("turns", "role", "text")),
-    Layout("messages", ("messages[].role", "messages[].content"), items=("messages", "role", "content")),
-    Layout("conversations", ("conversations[].from", "conversations[].value"), items=("conversations", "from", "value")),
-    Layout("prompt_completion", ("prompt", "completion"), fields=(("user", "prompt"), ("assistant", "completion"))),
-    Layout("prompt_response", ("prompt", "response"), fields=(("user", "prompt"), ("assistant", "response"))),
-    Layout("system_prompt_response", ("system", "prompt", "response"), fields=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
-    Layout("instruction_output", ("instruction", "output"), fields=(("user", "instruction"), ("assistant", "output"))),
-    Layout("instruction_input_output", ("instruction", "input", "output"), fields=(("user", "instruction\ninput"), ("assistant", "output"))),
-    Layout("question_answer", ("question", "answer"), fields=(("user", "question"), ("assistant", "answer"))),
+    *(Layout(name, items=(name, role, text), optional=("system", "prompt")) for name in LISTS for role, text in ITEMS),
+    Layout("system_prompt_response", ("system", "prompt", "response"), fields=(("user", "prompt"), ("assistant", "response"))),
+    Layout("prompt_completion", ("completion",), ("prompt", "system"), fields=(("user", "prompt"), ("assistant", "completion"))),
+    Layout("prompt_response", ("response",), ("prompt", "system"), fields=(("user", "prompt"), ("assistant", "response"))),
+    Layout("prompt", ("prompt",), ("system",), fields=(("user", "prompt"),)),
+    Layout("instruction_input_output", ("instruction", "input", "output"), ("system",), fields=(("user", "instruction\ninput"), ("assistant", "output"))),
+    Layout("instruction_output", ("output",), ("instruction", "input", "system"), fields=(("user", "instruction\ninput"), ("assistant", "output"))),
+    Layout("instruction", ("instruction",), ("input", "system"), fields=(("user", "instruction\ninput"),)),
+    Layout("question_answer", ("answer",), ("question", "system"), fields=(("user", "question"), ("assistant", "answer"))),
+    Layout("question", ("question",), ("system",), fields=(("user", "question"),)),
 )
+#: the mark of a list with an item that is no object; no layout has it
+OTHER = ".?"
 #: other names of roles, as found in the layouts above
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def fingerprint_of(paths: tuple[str, ...] | list[str]) -> str:
+def fingerprint_of(paths) -> str:
     """The hash of a set of field paths."""
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
+def fingerprints(layouts: tuple[Layout, ...]) -> list[list[str]]:
+    """The hashes of each layout; one that several have is the first's."""
+    seen, out = set(), []
+    for layout in layouts:
+        own = [h for h in dict.fromkeys(map(fingerprint_of, layout.choices())) if h not in seen]
+        seen.update(own)
+        out.append(own)
+    return out
+
+
 def _vocabulary(layouts: tuple[Layout, ...]) -> list[str]:
-    return sorted({p for layout in layouts for p in layout.paths})
+    paths = {p for layout in layouts for choice in layout.choices() for p in choice}
+    return sorted(paths | {f"{layout.items[0]}[]{OTHER}" for layout in layouts if layout.items})
 
 
 def _at(schema: StructType, path: str):
@@ -75,13 +120,25 @@ def _at(schema: StructType, path: str):
     return at
 
 
-def _present(record: Column, kind, path: str) -> Column:
-    """Whether the record holds the path: a field that is not null, or a list that is not null."""
+def _present(record: Column, kind, path: str, lists: set[str]) -> Column:
+    """Whether the record holds the path."""
+    name, inside, key = path.partition("[]")
     if isinstance(kind, VariantType):
-        return F.try_variant_get(record, "$." + path.replace("[]", "[0]"), "string").isNotNull()
-    if _at(kind, path) is None:
-        return F.lit(False)
-    return record[path.split("[]")[0]].isNotNull()
+        if name not in lists:
+            return F.try_variant_get(record, f"$.{name}", "variant").isNotNull()
+        items = F.try_variant_get(record, f"$.{name}", "array<variant>")
+        if key == OTHER:
+            held = lambda i: ~F.startswith(F.schema_of_variant(i), F.lit("OBJECT"))
+        else:
+            held = lambda i: F.try_variant_get(i, f"$.{key[1:]}", "variant").isNotNull()
+    else:
+        if _at(kind, path) is None or (name in lists and not isinstance(_at(kind, name), ArrayType)):
+            return F.lit(False)
+        items = record[name]
+        held = lambda i: i[key[1:]].isNotNull()
+    if not inside:
+        return items.isNotNull()
+    return F.coalesce(F.exists(items, held) if key else F.size(items) > 0, F.lit(False))
 
 
 def _text(record: Column, kind, path: str) -> Column:
@@ -100,13 +157,19 @@ def _turns(record: Column, kind, layout: Layout) -> Column:
         name, role, text = layout.items
         if isinstance(kind, VariantType):
             items = F.try_variant_get(record, f"$.{name}", f"array<struct<`{role}`:string,`{text}`:string>>")
-        elif _at(kind, f"{name}[].{role}") is None or _at(kind, f"{name}[].{text}") is None:
+        elif _at(kind, f"{name}[]") is None or not isinstance(_at(kind, f"{name}[]"), StructType):
             return F.lit(None).cast(TURNS)
         else:
             items = record[name]
-        return F.transform(items, lambda t: F.struct(_role(t[role].cast("string")).alias("role"), F.coalesce(t[text].cast("string"), F.lit("")).alias("text")))
-    each = [F.struct(F.lit(r).alias("role"), F.coalesce(_text(record, kind, p), F.lit("")).alias("text")) for r, p in layout.fields]
-    return F.array(*each)
+        of = lambda t, key: t[key].cast("string") if isinstance(kind, VariantType) or _at(kind, f"{name}[].{key}") is not None else F.lit(None).cast("string")
+        turns = F.transform(items, lambda t: F.struct(_role(of(t, role)).alias("role"), F.coalesce(of(t, text), F.lit("")).alias("text")))
+    else:
+        turns = F.array(*[F.struct(F.lit(r).alias("role"), F.coalesce(_text(record, kind, p), F.lit("")).alias("text")) for r, p in layout.fields])
+    if layout.system not in (*layout.paths, *layout.optional) or not isinstance(kind, VariantType) and _at(kind, layout.system) is None:
+        return turns
+    said = _text(record, kind, layout.system)
+    first = F.array(F.struct(F.lit("system").alias("role"), said.alias("text"))).cast(TURNS)
+    return F.when(said.isNull(), turns.cast(TURNS)).otherwise(F.concat(first, turns.cast(TURNS)))
 
 
 def _role(role: Column) -> Column:
@@ -121,14 +184,18 @@ def canonical_turns(df: DataFrame, record: str, layouts: tuple[Layout, ...] = LA
     kind, col = df.schema[record].dataType, F.col(f"`{record}`")
     if isinstance(kind, StringType):
         col, kind = F.try_parse_json(col), VariantType()
-    held = F.array_compact(F.array(*[F.when(_present(col, kind, p), F.lit(p)) for p in _vocabulary(layouts)]))
+    lists = {x.items[0] for x in layouts if x.items}
+    held = F.array_compact(F.array(*[F.when(_present(col, kind, p, lists), F.lit(p)) for p in _vocabulary(layouts)]))
     df = df.withColumn("fingerprint", F.sha2(F.array_join(held, "\n"), 256))
-    layout, turns = F.lit("unknown"), F.lit(None).cast(TURNS)
-    for x in layouts:
-        fits = F.col("fingerprint") == fingerprint_of(x.paths)
+    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    for x, hashes in reversed(list(zip(layouts, fingerprints(layouts)))):
+        if not isinstance(kind, VariantType) and any(_at(kind, p) is None for p in (*x.paths, *(x.items or ())[:1])):
+            continue  # no record of this type has it
+        fits = F.col("fingerprint").isin(hashes)
         layout = F.when(fits, F.lit(x.name)).otherwise(layout)
         turns = F.when(fits, _turns(col, kind, x).cast(TURNS)).otherwise(turns)
-    return df.withColumn("layout", layout).withColumn("turns", turns)
+    df = df.withColumn("turns", turns)
+    return df.withColumn("layout", F.coalesce(F.when(F.col("turns").isNotNull(), layout), F.lit("unknown")))
 
 
 def records_from_rows(df: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

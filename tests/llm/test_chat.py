@@ -43,6 +43,27 @@ def test_layouts(spark):
         ('{"prompt":"p","completion":"c"}', "prompt_completion", [("user", "p"), ("assistant", "c")]),
         ('{"system":"s","prompt":"p","response":"r"}', "system_prompt_response", [("system", "s"), ("user", "p"), ("assistant", "r")]),
         ('{"question":"q","answer":"a"}', "question_answer", [("user", "q"), ("assistant", "a")]),
+        ('{"messages":[{"role":"user","content":"a"}],"system":"s"}', "messages", [("system", "s"), ("user", "a")]),
+        ('{"messages":[{"role":"user","content":"a"}],"system":null}', "messages", [("user", "a")]),
+        ('{"messages":[]}', "messages", []),
+        ('{"messages":[],"system":"s"}', "messages", [("system", "s")]),
+        ('{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"b"}],"prompt":"q"}', "messages", [("user", "q"), ("assistant", "b")]),
+        ('{"messages":[{"role":"user","content":null},{"role":"assistant","content":"b"}]}', "messages", [("user", ""), ("assistant", "b")]),
+        ('{"messages":[{"role":"user"},{"role":"assistant","content":"b"}]}', "messages", [("user", ""), ("assistant", "b")]),
+        ('{"messages":[{"role":"user","content":null}]}', "messages", [("user", "")]),
+        ('{"messages":[{"from":"human","value":"a"}]}', "messages", [("user", "a")]),
+        ('{"conversation":[{"speaker":"bot","text":"a"}]}', "conversation", [("assistant", "a")]),
+        ('{"messages":["a"]}', "unknown", None),
+        ('{"messages":[{"role":"user","content":"a"},"b"]}', "unknown", None),
+        ('{"messages":{"role":"user"}}', "unknown", None),
+        ('{"messages":null}', "unknown", None),
+        ('{"prompt":null,"completion":"c"}', "prompt_completion", [("user", ""), ("assistant", "c")]),
+        ('{"completion":"c"}', "prompt_completion", [("user", ""), ("assistant", "c")]),
+        ('{"prompt":"p","response":null}', "prompt_response", [("user", "p"), ("assistant", "")]),
+        ('{"prompt":"p"}', "prompt", [("user", "p")]),
+        ('{"instruction":"do","input":"","output":null,"system":"s"}', "instruction_input_output", [("system", "s"), ("user", "do"), ("assistant", "")]),
+        ('{"prompt":"p","completion":"c","answer":"a"}', "unknown", None),
+        ("[]", "unknown", None),
         ('{"other":1}', "unknown", None),
         ("not json", "unknown", None),
         (None, "unknown", None),
@@ -57,10 +78,30 @@ def test_layouts(spark):
 def test_struct_records_and_empty_tables(spark):
     df = spark.sql("SELECT named_struct('prompt', 'p', 'completion', CAST(NULL AS STRING)) AS record, 5 AS layout UNION ALL SELECT named_struct('prompt', 'p', 'completion', 'c'), 6")
     got = {r["layout"] for r in chat.canonical_turns(df, "record").collect()}
-    assert got == {"unknown", "prompt_completion"}
+    assert got == {"prompt", "prompt_completion"}
+    items = "named_struct('messages', {}, 'system', {}) AS record"
+    item = "named_struct('role', {}, 'content', {})"
+    user, empty = item.format("'user'", "CAST(NULL AS STRING)"), item.format("CAST(NULL AS STRING)", "CAST(NULL AS STRING)")
+    reply = item.format("'gpt'", "'b'")
+    cases = [
+        (f"array({user}, {reply})", "'s'", [("system", "s"), ("user", ""), ("assistant", "b")]),
+        (f"array({user}, {reply})", "CAST(NULL AS STRING)", [("user", ""), ("assistant", "b")]),
+        (f"filter(array({user}), x -> false)", "CAST(NULL AS STRING)", []),
+        (f"CAST(NULL AS array<struct<role:string,content:string>>)", "'s'", None),
+        (f"array(CAST(NULL AS struct<role:string,content:string>), {reply})", "CAST(NULL AS STRING)", [("", ""), ("assistant", "b")]),
+        (f"array({empty})", "CAST(NULL AS STRING)", None),
+    ]
+    for listed, system, want in cases:
+        row = chat.canonical_turns(spark.sql(f"SELECT {items.format(listed, system)}"), "record").first()
+        assert (None if row["turns"] is None else [tuple(t) for t in row["turns"]]) == want and (row["layout"] == "messages") == (want is not None)
     assert formatted(spark, []).count() == 0
 
 
+def test_no_two_layouts_share_a_fingerprint():
+    found = [h for own in chat.fingerprints(chat.LAYOUTS) for h in own]
+    assert len(found) == len(set(found)) and all(chat.fingerprints(chat.LAYOUTS))
+
+
 def test_fingerprint_ignores_order():
     assert chat.fingerprint_of(["b", "a"]) == chat.fingerprint_of(("a", "b")) == hashlib.sha256(b"a\nb").hexdigest()
 
