@@ -7,23 +7,26 @@ its largest signed coordinates in each table; every bucket's vectors are compare
 double precision, and the best of all buckets are ranked.
 
 ``tune`` picks hashes, tables and probes: the cheapest (by the share of a bounded sample that
-is compared) whose recall reaches a target for a bounded sample of the queries, whose true
-neighbours are found by one exact scan of all rows. So the share of pairs that is compared
-falls as a larger table brings nearer neighbours; where neighbours are far, it is large, and
-if nothing else reaches the target, every bucket is probed. Queries whose buckets hold fewer
-than ``k`` others probe every bucket afterwards, which is exact.
+is compared) whose recall, less two standard errors, reaches a target for a bounded sample of
+the rows that are not queries, whose true neighbours are found by one exact scan of all rows.
+So the queries' recall is that of vectors that were not tuned on, and the share of pairs that
+is compared falls as a larger table brings nearer neighbours; where neighbours are far, it is
+large, and if nothing else reaches the target, every bucket is probed. Queries whose buckets
+hold fewer than ``k`` others probe every bucket afterwards, which is exact.
 
 Equal vectors are one vector with the ids of its ``k + 1`` least: more can be in no answer.
 The rows and the queries of a large bucket are cut into blocks, so no task holds a large one.
 
-Defined results: null, zero or non-finite vectors, and vectors of another length than the
-most common one (ties: the shortest), take no part; with fewer candidates than ``k`` all are
-returned; ties in score go to the smaller id; no rows give no rows; other columns are
-ignored.
+Defined results: null, zero or non-finite vectors take no part; vectors of different lengths
+are searched apart, each length among its own (more than ``WIDTHS`` lengths are an error); with
+fewer candidates than ``k`` all are returned; ties in score go to the smaller id; no rows give
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 
 #: bounds of the samples that ``tune`` works on
 SAMPLE_ROWS, SAMPLE_QUERIES = 8192, 256
+#: most different lengths of vectors
+WIDTHS = 64
 #: hashes of a bucket, tables and probes to choose from
 CHOICES = tuple((1, t, p) for t in (1, 2, 3, 4, 6) for p in (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)) + tuple((2, t, p) for t in (1, 2, 3, 4, 6) for p in (1, 4, 16, 64, 256))
 #: axes of a rotation that pairs of hashes are probed from, and the longest vectors that have such pairs
@@ -96,8 +101,16 @@ def tune(sample: np.ndarray, queries: np.ndarray, near: np.ndarray, owner: np.nd
     """The cheapest (hashes, tables, probes) that finds that share of the neighbours.
 
     ``near`` has the true neighbours of all queries, ``owner`` the number of each one's query.
-    Last is a table whose every bucket is probed.
+    Last is a table whose every bucket is probed. The share is that of the sample less two
+    standard errors of its mean over queries.
     """
+    many = np.maximum(np.bincount(owner, minlength=len(queries)), 1)
+    asked = np.bincount(owner, minlength=len(queries)) > 0
+
+    def sure(found: np.ndarray) -> float:
+        each = (np.bincount(owner, found, len(queries)) / many)[asked]
+        return each.mean() - 2 * each.std() / np.sqrt(len(each))
+
     every = (1, 1, 2 << max(1, (sample.shape[1] - 1).bit_length()))
     best, least = every, 1.0
     for hashes in (1, 2) if sample.shape[1] <= PAIR_WIDTH else (1,):
@@ -114,7 +127,7 @@ def tune(sample: np.ndarray, queries: np.ndarray, near: np.ndarray, owner: np.nd
             cost.append(np.cumsum(np.where(place[at] == probed, size[at], 0).mean(0)) / len(sample))
         for h, tables, probes in CHOICES:
             price = sum(c[min(probes, most) - 1] for c in cost[:tables])
-            if h == hashes and price < least and np.mean(np.min(met[:tables], axis=0) < probes) >= target:
+            if h == hashes and price < least and sure(np.min(met[:tables], axis=0) < probes) >= target:
                 best, least = (h, tables, probes), price
     return best
 
@@ -159,9 +172,10 @@ def _best_of(queries: np.ndarray, names: list[tuple[int, str]], k: int):
 
 
 def _chosen(index: DataFrame, asked: DataFrame, element: str, k: int, recall: float, seed: int) -> tuple[int, int, int]:
-    """``tune`` on a sample of the rows and of the queries, with the queries' neighbours among all rows."""
+    """``tune`` on a sample of the rows, and of those that are not asked for, with these ones' neighbours among all rows."""
     rows = [np.array(r[0], np.float64) for r in index.orderBy(F.xxhash64("h", F.lit(seed))).limit(SAMPLE_ROWS).select("v").toLocalIterator()]
-    some = asked.orderBy(F.xxhash64("h", F.lit(seed)), "h2").limit(SAMPLE_QUERIES).collect()
+    others = index.join(asked.select("h", "h2"), ["h", "h2"], "left_anti")
+    some = others.orderBy(F.xxhash64("h", F.lit(seed + 1)), "h2").limit(SAMPLE_QUERIES).select("h", "h2", "v").collect()
     if not some or len(rows) < 2:
         return 1, 1, 1 << 30
     queries = _unit(np.array([r["v"] for r in some], np.float64))
@@ -185,8 +199,17 @@ def nearest(df: DataFrame, is_query: Column, scratch, key: str = "vec_id", vecto
     element = kind if kind in ("float", "double") else "double"
     rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast(f"array<{element}>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = rows.where(valid(F.col("v")))
-    widths = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    rows = rows.where(F.size("v") == (widths[0] if widths else 0)).withColumn("h", F.xxhash64("v")).withColumn("h2", F.md5(F.concat_ws(",", "v")))
+    # a row for each length
+    widths = sorted(r[0] for r in rows.where("q").groupBy(F.size("v").alias("width")).count().limit(WIDTHS + 1).collect())
+    if len(widths) > WIDTHS:
+        raise ValueError(f"the queries have more than {WIDTHS} different lengths")
+    found = [_nearest(rows.where(F.size("v") == w), element, scratch, k, recall, seed, block, choice, f"{w}") for w in widths or [0]]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest(rows: DataFrame, element: str, scratch, k: int, recall: float, seed: int, block: int, choice: tuple[int, int, int] | None, mark: str) -> DataFrame:
+    """``nearest`` of vectors of one length; ``mark`` is for the names of the tables."""
+    rows = rows.withColumn("h", F.xxhash64("v")).withColumn("h2", F.md5(F.concat_ws(",", "v")))
 
     # equal vectors: the least ids of each, found in salted parts first
     least = rows.select("h", "h2", "vec_id", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt"))
@@ -194,16 +217,16 @@ def nearest(df: DataFrame, is_query: Column, scratch, key: str = "vec_id", vecto
     least = least.groupBy("h", "h2", "salt").agg(ids.alias("ids"))
     least = least.groupBy("h", "h2").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
     first = rows.groupBy("h", "h2").agg(F.first("v").alias("v"))
-    index = scratch.write(least.join(first, ["h", "h2"]).select("h", "h2", "ids", "v"), "index")
-    asking = scratch.write(rows.where("q").select(F.col("vec_id").alias("query_id"), "h", "h2"), "asking")
+    index = scratch.write(least.join(first, ["h", "h2"]).select("h", "h2", "ids", "v"), f"index{mark}")
+    asking = scratch.write(rows.where("q").select(F.col("vec_id").alias("query_id"), "h", "h2"), f"asking{mark}")
     asked = index.join(asking.select("h", "h2").distinct(), ["h", "h2"], "left_semi").select("h", "h2", "v")
     choice = choice or _chosen(index, asked, element, k, recall, seed)
 
-    found = scratch.write(_found(index, asked, element, choice, k, seed, block), "found")
+    found = scratch.write(_found(index, asked, element, choice, k, seed, block), f"found{mark}")
     # a query of too few rows meets every bucket; the k nearest are fewer where there are no more
     others = index.agg(F.sum(F.size("ids"))).first()[0] or 0
     enough = F.aggregate("near", F.lit(0), lambda n, x: n + F.size(x["ids"])) >= min(k + 1, others)
-    short = scratch.write(asked.join(found.where(enough), ["h", "h2"], "left_anti"), "short")
+    short = scratch.write(asked.join(found.where(enough), ["h", "h2"], "left_anti"), f"short{mark}")
     found = found.where(enough)
     if not short.isEmpty():
         found = found.unionByName(_found(index, short, element, (1, 1, 1 << 30), k, seed, block))
