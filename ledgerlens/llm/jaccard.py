@@ -488,6 +488,8 @@ def similar_documents(docs: DataFrame, scratch, key: str = "doc_id", text: str =
     sets = sets.join(likely.withColumnRenamed("rep", "doc_id"), ["doc_id", "cls"]).select(F.col("doc_id").alias("cls"), "tokens", "shared")
     survivors = sets.mapInArrow(_prefixes(t, hot), "cls long, lead long, bucket int, n long, prefix array<long>, tokens binary")
     survivors = scratch.write(survivors, "survivors")
+    hot.destroy()
+    known.destroy()
 
     sizes = survivors.groupBy("lead", "bucket").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_TOKENS)).alias("cuts")).where("cuts > 1")
     members = survivors.join(sizes, ["lead", "bucket"], "left")

@@ -16,8 +16,10 @@ Bounds: the models of target text and the threshold are fitted on at most ``LABE
 labelled rows, chosen by a hash of the id; counts of raw text cover every document.
 
 Defined results: a null or empty text has no n-grams and weight 0; equal values at the cut
-are all kept; repeated rows are weighed alike; without labels, or with one kind only, every
-document is kept with weight 0; an empty table stays empty; other columns pass.
+are all kept; repeated rows are weighed alike; a null id has no label and draws its noise from
+a hash of null; an empty table stays empty; other columns pass. Where no document is labelled
+good, or none bad, there is nothing to part: every document is kept, with weight 0 where there
+is no model, or with ``one_kind="error"`` that is an error.
 """
 
 from __future__ import annotations
@@ -178,13 +180,20 @@ def labelled_ids(labels: DataFrame, key: str = "doc_id", bound: int = LABELLED)
     return np.array(sorted({r[0] for r in rows if r[1]}), np.int64), np.array(sorted({r[0] for r in rows if not r[1]}), np.int64)
 
 
-def resample(docs: DataFrame, labels: DataFrame, scratch, key: str = "doc_id", text: str = "text", sharpness: float = SHARPNESS) -> DataFrame:
+def _only(one_kind: str, what: str) -> None:
+    if one_kind != "keep":
+        raise ValueError(f"{what} are not both good and bad, so none can be rejected")
+
+
+def resample(docs: DataFrame, labels: DataFrame, scratch, key: str = "doc_id", text: str = "text", sharpness: float = SHARPNESS, one_kind: str = "keep") -> DataFrame:
     """The drawn rows with all their columns, ``log_weight`` and ``gumbel_key``.
 
-    ``scratch`` writes the weights once; texts are never written or shuffled.
+    ``scratch`` writes the weights once; texts are never written or shuffled. ``one_kind``
+    (keep or error) says what happens where labels are of one kind.
     """
     good, bad = labelled_ids(labels, key)
     if not len(good) or not len(bad):
+        _only(one_kind, "the labels")
         return docs.withColumn("log_weight", F.lit(0.0)).withColumn("gumbel_key", gumbel(F.col(key)))
     model = fit(docs, good, key, text)
     score = F.lit(sharpness) * F.col("log_weight") + gumbel(F.col(key))
@@ -196,6 +205,9 @@ def resample(docs: DataFrame, labels: DataFrame, scratch, key: str = "doc_id", t
     out = weigh(docs, model, key, text).withColumn("gumbel_key", score)
     ok = found["ok"].to_numpy(bool)
     if not ok.any() or ok.all():
+        scratch.drop("weights")
+        if len(ok) or not docs.isEmpty():
+            _only(one_kind, "the labelled documents")
         return out
     threshold = _best_threshold(found["log_weight"].to_numpy()[ok], found["log_weight"].to_numpy()[~ok])
     k = weights.where(F.col("log_weight") >= threshold).count()

@@ -177,7 +177,7 @@ def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that importance resampling draws."""
     docs, labels = (_read(spark, sf_dir, t) for t in ("documents", "labels"))
-    drawn = quality.resample(docs.select("doc_id", "text"), labels, Scratch(spark, "op8"))
+    drawn = quality.resample(docs.select("doc_id", "text"), labels, Scratch(spark, "op8"), one_kind="keep")
     return drawn.select("doc_id", "log_weight", "gumbel_key")
 
 

@@ -37,6 +37,10 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+#: tables between two runs of the driver's collector
+RELEASE = 6
+
+
 class Scratch:
     """Tables of one query; ``drop`` removes those whose readers are through."""
 
@@ -50,6 +54,9 @@ class Scratch:
         self.count += 1
         path = f"{self.base}/{self.count}-{name}"
         df.write.option("compression", "snappy").parquet(path)
+        if self.count % RELEASE == 0:
+            # what earlier tables were made from is only let go, on all machines, when the driver's collector runs
+            self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path).alias(name)
 
     def drop(self, *names: str) -> None:

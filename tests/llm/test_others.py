@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import collections
 import datetime as dt
 import gzip
+import math
 import random
+import re
 import time
 import zlib
 
@@ -411,3 +414,84 @@ def test_pack(spark, scratch):
         assert [p["offset"] for p in parts] == np.cumsum([0, *(p["length"] for p in parts[:-1])]).tolist() and sum(p["length"] for p in parts) <= 64
     assert len(by_seq) <= -(-sum(r["length"] for r in rows) // 64) + 1
     assert packing.pack(scratch.write(packing.pieces(df.limit(0), PATH), "none")).count() == 0
+
+
+def test_vectors_of_several_lengths_are_searched_apart(spark, scratch):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0]), (50, [1.0, 0.0, 0.0]), (100, [1.0, 1.0, 0.0]), (150, [1.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0])]
+    df = spark.createDataFrame([(*r, 9, "x") for r in rows], "vec_id long, embedding array<double>, rank int, q string")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df, F.col("vec_id") % 50 == 0, scratch).collect())
+    assert got == [(0, 1, 1), (0, 2, 2), (50, 1, 100), (100, 1, 50)]
+    many = spark.createDataFrame([(i, [1.0] * (i + 1)) for i in range(70)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="different lengths"):
+        ann.nearest(many, F.lit(True), scratch)
+
+
+def test_recall_on_vectors_that_were_not_tuned_on(spark, scratch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 24))[rng.integers(0, 60, 4000)] + 0.5 * rng.normal(size=(4000, 24))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 8 == 0, scratch).toPandas()
+    unit = ann._unit(x)
+    score = unit[::8] @ unit.T
+    score[np.arange(500), np.arange(0, 4000, 8)] = -2
+    want = np.argsort(-score, axis=1)[:, :5]
+    found = got.groupby("query_id")["vec_id"].apply(set)
+    assert np.mean([len(found[8 * i] & set(w)) / 5 for i, w in enumerate(want.tolist())]) >= 0.95
+    chosen = ann._chosen(*_index(spark, df), "double", 5, 0.95, 17)
+    assert chosen[1] < 24  # not every bucket
+
+
+def _index(spark, df):
+    index = df.select(F.xxhash64("embedding").alias("h"), F.md5(F.concat_ws(",", "embedding")).alias("h2"), F.array("vec_id").alias("ids"), F.col("embedding").alias("v"))
+    return index, index.where(F.col("ids")[0] % 8 == 0)
+
+
+def test_labels_of_one_kind_are_an_error_or_keep_all(spark, scratch):
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(4)], "doc_id long, text string")
+    for rows in ([], [(1, 1, 0)], [(1, 0, 0), (2, 0, 1)], [(7, 1, 0), (8, 0, 0)], [(None, 1, 0), (1, 0, 0)]):
+        labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+        with pytest.raises(ValueError, match="both good and bad"):
+            quality.resample(docs, labels, scratch, one_kind="error").collect()
+        assert quality.resample(docs, labels, scratch, one_kind="keep").count() == 4
+    assert quality.resample(docs.limit(0), spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int"), scratch, one_kind="error").count() == 0
+
+
+def test_log_weights_equal_two_plain_models(spark, scratch):
+    """The weight of each document, from two dictionaries of counts."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    words = {"good": [f"alpha{i}" for i in range(40)], "bad": [f"omega{i}" for i in range(40)]}
+    rows = [(i, " ".join(rng.choice(words["good" if i % 3 else "bad"], 60)) + ("; the end." if i % 2 else "")) for i in range(60)]
+    rows += [(60, None), (61, ""), (62, "?!"), (3, rows[3][1]), (None, rows[4][1])]
+    good = [i for i in range(1, 40) if i % 3]
+    grams = []
+    for _, t in rows:
+        (_, buckets, _), *rest = quality.features(pa.array([t], pa.string()))
+        assert not rest
+        grams.append(buckets.tolist())
+    tokens = re.findall(r"[^\x20\x09-\x0D!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+", rows[0][1])
+    assert len(grams[0]) == 2 * len(tokens) - 1 + sum(len(t) > n for t in tokens for n in quality.PREFIXES)
+    raw, target = collections.Counter(), collections.Counter()
+    for (key, _), g in zip(rows, grams):
+        raw.update(g)
+        if key in good:
+            target.update(g)
+
+    def weight(key, g):
+        less = collections.Counter(g) if key in good else collections.Counter()
+        share = (sum(target.values()) - sum(less.values())) / (sum(raw.values()) - sum(less.values()))
+        total = 0.0
+        for b in g:
+            t, e = target[b] - less[b], (raw[b] - less[b]) * share
+            if abs(t - e) >= quality.Z * math.sqrt(e + 1):
+                total += math.log((t + quality.PSEUDO) / (e + quality.PSEUDO))
+        return round(total / math.sqrt(max(len(g), 1)), 9)
+
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, log_weight string")
+    model = quality.fit(docs, np.array(good))
+    got = quality.weigh(docs, model).collect()
+    want = sorted(((k, t, weight(k, g)) for (k, t), g in zip(rows, grams)), key=repr)
+    assert [r[:2] for r in want] == [(r["doc_id"], r["text"]) for r in sorted(got, key=lambda r: repr((r["doc_id"], r["text"])))]
+    assert np.allclose([r[2] for r in want], [r["log_weight"] for r in sorted(got, key=lambda r: repr((r["doc_id"], r["text"])))], atol=1e-8)
+    assert len({w for *_, w in want}) > 20
