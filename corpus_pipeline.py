@@ -22,7 +22,7 @@ SHINGLE, SIMILARITY = 5, (4, 5)
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what importance resampling draws."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.resample(docs, labels, Scratch(spark, "quality")).select(*docs.columns)
+    return quality.resample(docs, labels, Scratch(spark, "quality"), one_kind="keep").select(*docs.columns)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,4 +75,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.drop_all_but(name)
     return STAGES[-1][1](spark, docs, sf_dir)
