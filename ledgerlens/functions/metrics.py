@@ -7,9 +7,13 @@ ordered windows of Gini and Lorenz see as many rows as there are categories.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.ranks import quantiles, running
+
 FLOOR = 1e-12
 
 
@@ -102,34 +106,32 @@ def top_share(frame: DataFrame, k: int, *keys: str, n: str = "n") -> DataFrame:
 
 
 def lorenz(frame: DataFrame, *keys: str, n: str = "n") -> DataFrame:
-    """Points of the Lorenz curve: rank, share of categories, share of the total."""
-    order = Window.orderBy(n, *keys)  # over categories
-    whole = Window.partitionBy(F.lit(0))
-    return frame.select(
-        *keys,
-        n,
-        F.row_number().over(order).alias("rank"),
-        (F.row_number().over(order) / F.count("*").over(whole)).alias("category_share"),
-        (F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(n).over(whole)).alias("total_share"),
-    )
+    """Points of the Lorenz curve: rank, share of categories, share of the total.
+
+    Categories may be as many as rows, so they are ranked in ranges.
+    """
+    whole = frame.agg(F.count("*").alias("_categories"), F.sum(n).alias("_total"))
+    points = running(frame.select(*keys, n), [n, *keys], _upto=n).crossJoin(whole)  # one row
+    return points.select(*keys, n, "rank", (F.col("rank") / F.col("_categories")).alias("category_share"), (F.col("_upto") / F.col("_total")).alias("total_share"))
 
 
 def trapezoid_gini(points: DataFrame) -> DataFrame:
-    """Gini again, from the area under Lorenz points."""
-    order = Window.orderBy("rank")
-    x, y = F.coalesce(F.lag("category_share").over(order), F.lit(0.0)), F.coalesce(F.lag("total_share").over(order), F.lit(0.0))
+    """Gini again, from the area under Lorenz points; each meets the one of the rank before."""
+    before = points.select((F.col("rank") + 1).alias("rank"), F.col("category_share").alias("_x"), F.col("total_share").alias("_y"))
+    x, y = F.coalesce("_x", F.lit(0.0)), F.coalesce("_y", F.lit(0.0))
     area = (F.col("category_share") - x) * (F.col("total_share") + y) / 2
-    return points.select(area.alias("a")).agg((1 - 2 * F.sum("a")).alias("gini"))
+    return points.join(before, "rank", "left").agg((1 - 2 * F.sum(area)).alias("gini"))
 
 
 def describe(df: DataFrame, col: str, *by: str, below: tuple[float, ...] = ()) -> DataFrame:
     """count, mean, median, both standard deviations, p95, p99, min, max, shares below cuts."""
     c = F.col(col).cast("double")
     more = [F.avg((c < t).cast("int")).alias(f"below_{t:g}".replace(".", "_")) for t in below]
-    return df.groupBy(*by).agg(
-        F.count(col).alias("n"), F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"), F.stddev_samp(c).alias("std_sample"), F.stddev_pop(c).alias("std_population"),
-        F.percentile(c, F.lit(0.95)).alias("p95"), F.percentile(c, F.lit(0.99)).alias("p99"), F.min(c).alias("min"), F.max(c).alias("max"), *more,
-    )
+    moments = df.groupBy(*by).agg(F.count(col).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std_sample"), F.stddev_pop(c).alias("std_population"), F.min(c).alias("min"), F.max(c).alias("max"), *more)
+    ranked = quantiles(df, col, [0.5, 0.95, 0.99], *by).select(*[F.col(b).alias(f"_{b}") for b in by], "q")
+    same = reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by], F.lit(True))
+    at = {name: F.col("q")[i].alias(name) for i, name in enumerate(("median", "p95", "p99"))}
+    return moments.join(ranked, same, "left").select(*by, "n", "mean", at["median"], "std_sample", "std_population", at["p95"], at["p99"], "min", "max", *[c for c in moments.columns if c.startswith("below_") and c not in by])
 
 
 def weighted_mean(frame: DataFrame, value: str, n: str = "n") -> DataFrame:

@@ -1,11 +1,13 @@
 """Exact and near-duplicate clusters, and representatives.
 
 Near duplicates: equal strings are one vertex. Vertices of a length ratio within reach that
-share a rare enough k-gram are compared by edit distance. A vertex becomes a representative
-where it has the most uncovered neighbours (then length, then the least text) among itself
-and its uncovered neighbours, and covers these; rounds repeat until all are covered. So
-equal strings are always together and every member meets identity and coverage to its
-representative.
+share a rare enough k-gram, or a segment, are compared by edit distance. A vertex becomes a
+representative where it has the most uncovered neighbours, in bands of a fourth of a doubling,
+among itself and its uncovered neighbours, and covers these; rounds repeat until all are
+covered. In a band a hash decides, so the vertices that wait for one another make short chains
+and the rounds grow with the logarithm of the texts. Equal strings are always together, every
+member meets identity and coverage to its representative, and no two representatives are
+within reach of each other.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from ledgerlens.sources.stage import checkpointed
 
 #: texts of one length that meet others in a block
 BLOCK = 4096
+#: places of segments in a text, about, beyond which it is compared in blocks
+PROBES = 8192
 
 
 def exact_clusters(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -54,39 +58,109 @@ def cluster_sizes(df: DataFrame, cluster: str, text: str | None = None) -> DataF
     return out.crossJoin(same)  # one row each
 
 
+def _edits(identity: float, n: Column) -> Column:
+    """The most edits between two texts of which the longer has n letters."""
+    return F.floor((1 - identity) * n + 1e-9).cast("int")
+
+
+def _longest(reach: float, n: Column) -> Column:
+    """The longest text that one of n letters may be similar to."""
+    return F.floor(n / reach + 1e-9).cast("int")
+
+
+def _cut(identity: float, n: Column, i: Column) -> tuple[Column, Column]:
+    """Start (from 0) and length of the i-th of a text's segments, one more than its edits, as even as can be."""
+    many = _edits(identity, n) + 1
+    short = F.floor(n / many).cast("int")
+    first_long = many - n % many
+    return i * short + F.greatest(i - first_long, F.lit(0)), short + (i >= first_long).cast("int")
+
+
+def segment_pairs(probes: DataFrame, index: DataFrame, identity: float, reach: float) -> DataFrame:
+    """(a, b): ids of a probing text and of one that is as long or longer, that share a segment.
+
+    Both have ``id``, ``t`` and ``n`` letters. With d edits at most, one of d + 1 segments of
+    the longer text stands unchanged in the shorter, with no more edits before it than there
+    are segments before it, and no more after it than after it; so it is looked for at a few
+    shifts only. The segments are an inverted index by length, number and letters.
+    """
+    i = F.explode(F.sequence(F.lit(0), _edits(identity, F.col("n"))))
+    start, size = _cut(identity, F.col("n"), F.col("i"))
+    held = index.select(F.col("id").alias("b"), "t", "n", i.alias("i")).select("b", "n", "i", F.substring(F.col("t"), start + 1, size).alias("s"))
+    lengths = index.select("n").distinct()
+    asks = probes.select(F.col("id").alias("a"), "t", F.col("n").alias("m"), F.explode(F.sequence(F.col("n"), _longest(reach, F.col("n")))).alias("n")).join(lengths, "n")
+    asks = asks.select("a", "t", "m", "n", i.alias("i"))
+    spare = _edits(identity, F.col("n")) - F.col("i")
+    low = F.greatest(F.lit(0), start - F.col("i"), start - (F.col("n") - F.col("m")) - spare)
+    high = F.least(F.col("m") - size, start + F.col("i"), start - (F.col("n") - F.col("m")) + spare)
+    asks = asks.withColumn("size", size).withColumn("low", low).withColumn("high", high).where("low <= high")
+    asks = asks.select("a", "t", "n", "i", "size", F.explode(F.sequence("low", "high")).alias("at"))
+    asks = asks.select("a", "n", "i", F.substring(F.col("t"), F.col("at") + 1, F.col("size")).alias("s")).distinct()
+    return asks.join(held, ["n", "i", "s"]).where("a <> b").select("a", "b")
+
+
+def gram_pairs(words: DataFrame, k: int) -> DataFrame:
+    """(a, b): ids of texts that share one of their ``keys`` rarest ``grams``."""
+    # rarest grams first, so that the listed ones are held by few texts
+    held = words.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("held"))
+    # a text's grams are no more than its letters
+    ranked = words.select("id", "n", "keys", F.explode("grams").alias("g")).join(held, "g").groupBy("id", "n", "keys").agg(F.array_sort(F.collect_list(F.struct("held", "g"))).alias("all"))
+    rows = ranked.select("id", "n", F.explode(F.slice("all", F.lit(1), F.least(F.size("all"), "keys"))["g"]).alias("g"))
+    one, two = rows.select(F.col("id").alias("a"), F.col("n").alias("na"), "g"), rows.select(F.col("id").alias("b"), F.col("n").alias("nb"), "g")
+    return one.join(two, "g").where("a < b").select("a", "b", "na", "nb")
+
+
+def block_pairs(asking: DataFrame, words: DataFrame, reach: float) -> DataFrame:
+    """(a, b): ids of asking texts with all of a length within reach, in blocks on both sides."""
+    other = F.explode(F.sequence(F.ceil(reach * F.col("n") - 1e-9).cast("int"), _longest(reach, F.col("n"))))
+    asks = asking.select(F.col("id").alias("a"), other.alias("n"))
+    cuts = lambda d, name: d.groupBy("n").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))  # a row for each length
+    sizes = cuts(asks, "asked").join(cuts(words, "held"), "n")
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = asks.join(sizes, "n").withColumn("x", part("a", "asked")).withColumn("y", every("held"))
+    dealt = words.select(F.col("id").alias("b"), "n").join(sizes, "n").withColumn("y", part("b", "held")).withColumn("x", every("asked"))
+    return asks.join(dealt.select("b", "n", "x", "y"), ["n", "x", "y"]).where("a <> b").select("a", "b")
+
+
 def similar_pairs(df: DataFrame, text: str, identity: float, coverage: float = 0.8, k: int = 3) -> DataFrame:
     """(a, b, identity), a < b, of different texts with at least that identity.
 
-    Identity is 1 - edit distance / longer length. Two texts of n letters with identity t
-    differ in at most (1 - t) n places, each of which spoils k of the n - k + 1 k-grams; the
-    texts then share one of the first (1 - t) n k + 1 k-grams, rarest first, of either. A
-    text of no more k-grams than that is compared with those of a length within reach, in
-    blocks of ``BLOCK``: no key takes them all.
+    Identity is 1 - edit distance / longer length. Candidates come from three exact filters:
+
+    * Two texts of n letters with identity t differ in at most (1 - t) n places, each of which
+      spoils k of the n - k + 1 k-grams; the texts then share one of the first (1 - t) n k + 1
+      k-grams, rarest first, of either (``gram_pairs``).
+    * A text of no more k-grams than that, as all are where t is low, meets others by segments
+      (``segment_pairs``).
+    * Where such a text is so long that it has more than ``PROBES`` places to look for
+      segments, it is compared with all of a length within reach, in blocks
+      (``block_pairs``). This grows with the square of such texts.
+
+    Distances are computed in the band that the identity allows.
     """
+    reach = max(coverage, identity)
     words = df.select(text).where(F.col(text).isNotNull() & (F.col(text) != "")).distinct().select(F.col(text).alias("t"), F.length(text).alias("n"))
-    room = F.floor((1 - identity) * F.col("n") / identity + 1e-9)
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - k + 1, F.lit(1))), lambda i: F.substring("t", i, F.lit(k))))
-    few = F.size("_grams") <= room * k
-    words = checkpointed(words.withColumn("_grams", grams).withColumn("_few", few))
-    # rarest grams first, so that the listed ones are held by few texts
-    held = words.select(F.explode("_grams").alias("g")).groupBy("g").agg(F.count("*").alias("held"))
-    ranked = words.select("t", "n", F.explode("_grams").alias("g")).join(held, "g").groupBy("t", "n").agg(F.array_sort(F.collect_list(F.struct("held", "g"))).alias("_keys"))
-    prefix = F.slice("_keys", F.lit(1), F.least(F.size("_keys"), (room * k + 1).cast("int")))
-    rows = ranked.select("t", "n", F.explode(prefix["g"]).alias("g"))
-    most, near = F.greatest("na", "nb"), F.least("na", "nb") >= F.greatest(F.lit(coverage), F.lit(identity)) * F.greatest("na", "nb")
-    side = lambda d, x, *more: d.select(F.col("t").alias(x), F.col("n").alias(f"n{x}"), *more)
-    pairs = side(rows, "a", "g").join(side(rows, "b", "g"), "g").where(near & (F.col("a") < F.col("b"))).select("a", "b", "na", "nb")
-    # texts that may share no listed gram with a similar one meet all of a similar length
-    short = words.where("_few").select("t", "n")
-    sizes = words.groupBy("n").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts"))  # a row for each length
-    other = F.explode(F.sequence(F.ceil(F.greatest(F.lit(coverage), F.lit(identity)) * F.col("n") - 1e-9).cast("int"), F.floor(F.col("n") / F.greatest(F.lit(coverage), F.lit(identity)) + 1e-9).cast("int")))
-    asks = side(short, "a", other.alias("nb")).join(sizes.withColumnRenamed("n", "nb"), "nb").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    cut = F.pmod(F.xxhash64("t"), F.col("cuts")).cast("int")
-    dealt = words.join(sizes, "n").select(F.col("t").alias("b"), F.col("n").alias("nb"), cut.alias("cut"))
-    met = asks.join(dealt, ["nb", "cut"]).where(near & (F.col("a") != F.col("b")) & (F.levenshtein("a", "b") <= (1 - identity) * most + 1e-9))
-    pairs = pairs.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb")).select("a", "b", most.alias("most")).distinct()
-    value = 1 - F.levenshtein("a", "b") / F.col("most")
-    return pairs.select("a", "b", value.alias("identity")).where(F.col("identity") >= identity - 1e-12)
+    keys = (F.floor((1 - identity) * F.col("n") / identity + 1e-9) * k + 1).cast("int")
+    words = words.withColumn("grams", grams).withColumn("keys", keys).withColumn("few", F.size("grams") < F.col("keys"))
+    most = _longest(reach, F.col("n"))
+    d = _edits(identity, most)
+    words = checkpointed(words.withColumn("brief", (most - F.col("n") + 1) * (d * d / 2 + d + 1) <= PROBES).withColumn("id", F.monotonically_increasing_id()))
+    plain = words.select("id", "t", "n", "few", "brief")
+    pairs = gram_pairs(words, k).where(F.least("na", "nb") >= F.ceil(reach * F.greatest("na", "nb") - 1e-9)).select("a", "b")
+    few = plain.where("few")
+    if not few.isEmpty():
+        brief = plain.where("brief")
+        pairs = pairs.unionByName(segment_pairs(brief.where("few"), plain, identity, reach)).unionByName(segment_pairs(brief.where("NOT few"), few, identity, reach))
+        if not few.where("NOT brief").isEmpty():
+            pairs = pairs.unionByName(block_pairs(few.where("NOT brief"), plain, reach))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda x: plain.select(F.col("id").alias(x), F.col("t").alias(f"t{x}"), F.col("n").alias(f"n{x}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("most", F.greatest("na", "nb"))
+    near = F.expr(f"levenshtein(ta, tb, CAST(floor({1 - identity!r} * most + 1e-9) AS INT))")
+    met = met.where(F.least("na", "nb") >= reach * F.col("most") - 1e-9).withColumn("d", near).where("d >= 0")
+    return met.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"), (1 - F.col("d") / F.col("most")).alias("identity")).where(F.col("identity") >= identity - 1e-12)
 
 
 def threshold_sensitivity(df: DataFrame, text: str, thresholds: tuple[float, ...] = (0.8, 0.85, 0.9, 0.95), coverage: float = 0.8, categories: dict[str, Column] | None = None) -> DataFrame:
@@ -115,15 +189,20 @@ def threshold_sweep(pairs: DataFrame, thresholds: tuple[float, ...]) -> DataFram
     return pairs.withColumn("threshold", cuts).where(F.col("identity") >= F.col("threshold") - 1e-12).groupBy("threshold").agg(F.count("*").alias("pairs"))
 
 
-def cover(texts: DataFrame, pairs: DataFrame, text: str = "t", rounds: int = 1000) -> DataFrame:
-    """(text, rep) by rounds of local maxima among uncovered vertices; fails if ``rounds`` are not enough."""
+def cover(texts: DataFrame, pairs: DataFrame, text: str = "t", rounds: int = 200) -> DataFrame:
+    """(text, rep) by rounds of local maxima among uncovered vertices; fails if ``rounds`` are not enough.
+
+    Of vertices of a band, each with a random priority, a constant share of the edges is
+    settled in a round, whatever the graph; a chain of ascending bands is as long as the
+    logarithm of the largest degree.
+    """
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = checkpointed(both.distinct())
     left, done = checkpointed(texts.select(F.col(text).alias("t")).distinct()), None
     for _ in range(rounds):
         live = both.join(left.select(F.col("t").alias("a")), "a").join(left.select(F.col("t").alias("b")), "b")
         degree = live.groupBy("a").agg(F.count("*").alias("d"))
-        rank = left.join(degree, left["t"] == degree["a"], "left").select("t", F.struct((-F.coalesce("d", F.lit(0))).alias("d"), (-F.length("t")).alias("n"), F.col("t").alias("x")).alias("r"))
+        rank = left.join(degree, left["t"] == degree["a"], "left").select("t", F.struct((-F.floor(4 * F.log2(F.coalesce("d", F.lit(0)) + 1.0))).alias("d"), F.xxhash64("t").alias("n"), F.col("t").alias("x")).alias("r"))
         best = live.join(rank.select(F.col("t").alias("b"), F.col("r").alias("rb")), "b").groupBy("a").agg(F.min("rb").alias("near"))
         heads = rank.join(best, rank["t"] == best["a"], "left").where(F.col("near").isNull() | (F.col("r") < F.col("near"))).select("t")
         won = live.join(heads.select(F.col("t").alias("b")), "b").groupBy("a").agg(F.min("b").alias("rep")).select(F.col("a").alias("t"), "rep")

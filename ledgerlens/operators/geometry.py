@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import runs as R
 from ledgerlens.functions.metrics import describe
 from ledgerlens.operators.joins import pairs_within
+from ledgerlens.sources.stage import checkpointed
 
 
 def kabsch_rmsd(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -87,19 +88,67 @@ def top_by_mean(pairs: DataFrame, cluster: str, k: int = 20) -> DataFrame:
     return pairs.groupBy(cluster).agg(F.avg("rmsd").alias("mean_rmsd"), F.count("*").alias("pairs")).orderBy(F.desc("mean_rmsd"), cluster).limit(k)
 
 
-def contact_distances(atoms: DataFrame, targets: DataFrame, structure: str = "pdb_id") -> DataFrame:
+def _finite(df: DataFrame, *more: str) -> DataFrame:
+    at = [F.col(c).cast("double") for c in "xyz"]
+    ok = [c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in at]
+    return df.where(ok[0] & ok[1] & ok[2]).select(*more, *[c.alias(n) for c, n in zip(at, "xyz")])
+
+
+def _cells(df: DataFrame, size: float, around: bool = False) -> DataFrame:
+    """Add the cell of each point or, with ``around``, a row for it and each of its 26 neighbours."""
+    cell = [F.col(c) / size - F.pmod(F.col(c) / size, F.lit(1.0)) for c in "xyz"]  # floors, as doubles: no coordinate is too large
+    if not around:
+        return df.withColumns({f"_i{c}": i for c, i in zip("xyz", cell)})
+    steps = F.array(*[F.struct(*[F.lit(float(d)).alias(c) for c, d in zip("xyz", (i, j, k))]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    return df.withColumn("_step", F.explode(steps)).withColumns({f"_i{c}": i + F.col(f"_step.{c}") for c, i in zip("xyz", cell)}).drop("_step")
+
+
+def _nearest(own: DataFrame, others: DataFrame, by: list[str], structure: str, size: float) -> DataFrame:
+    """(by, d2): the least squared distance to a target in the cell of an atom or next to it."""
+    cell = [structure, "_ix", "_iy", "_iz"]
+    targets = _cells(others, size).select(*cell, *[F.col(c).alias(f"_{c}") for c in "xyz"])
+    gap = [F.col(c) - F.col(f"_{c}") for c in "xyz"]
+    return _cells(own, size, around=True).join(targets, cell).groupBy(*by).agg(F.min(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]).alias("d2"))
+
+
+def contacts_within(atoms: DataFrame, targets: DataFrame, cut: float, structure: str = "pdb_id") -> DataFrame:
+    """(structure, residue, aa, min_dist) of residues with a target atom within the cut.
+
+    Atoms meet the targets of their own and of neighbouring cells as wide as the cut, so a
+    structure is dealt by cell, and pairs follow the cut-off, not atoms times targets.
+    """
+    by = [structure, "residue", "aa"]
+    near = _nearest(_finite(atoms, *by), _finite(targets, structure), by, structure, cut * (1 + 1e-9))
+    return near.select(*by, F.sqrt("d2").alias("min_dist")).where(F.col("min_dist") <= cut)
+
+
+def contact_distances(atoms: DataFrame, targets: DataFrame, structure: str = "pdb_id", cell: float = 10.0, rounds: int = 60) -> DataFrame:
     """(structure, residue columns, min_dist): nearest target atom of each residue's atoms.
 
-    ``atoms``: structure, residue, aa, x, y, z; ``targets``: structure, x, y, z. Pairs of a
-    structure stream through the join into a running minimum, without another shuffle.
-    Residues without a finite distance, and structures without a target atom, have no rows.
+    ``atoms``: structure, residue, aa, x, y, z; ``targets``: structure, x, y, z. Atoms meet the
+    targets of neighbouring cells. A distance below the cell's width is the nearest; residues
+    without one go on with wider and wider cells, until these are as wide as the structure.
+    Points without finite coordinates are left out; residues without such an atom, and
+    structures without such a target, have no rows.
     """
-    others = targets.select(F.col(structure).alias("_structure"), *[F.col(c).cast("double").alias(f"_{c}") for c in "xyz"])
-    own = atoms.select(structure, "residue", "aa", *[F.col(c).cast("double").alias(c) for c in "xyz"])
-    pairs = own.join(others, F.col(structure) == F.col("_structure"))
-    gap = [F.col(c) - F.col(f"_{c}") for c in "xyz"]
-    near = pairs.groupBy(structure, "residue", "aa").agg(F.sqrt(F.min(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2])).alias("min_dist"))
-    return near.where(F.col("min_dist").isNotNull() & ~F.isnan("min_dist") & (F.col("min_dist") < float("inf")))
+    by = [structure, "residue", "aa"]
+    own, others = _finite(atoms, *by), checkpointed(_finite(targets, structure))
+    whole = own.select(structure, *"xyz", F.lit(0).alias("t")).unionByName(others.withColumn("t", F.lit(1)))
+    span = F.greatest(*[F.max(c) - F.min(c) for c in "xyz"])
+    spans = whole.groupBy(structure).agg(span.alias("_span"), F.max("t").alias("t")).where("t = 1").drop("t")
+    left, done = checkpointed(own.join(spans, structure)), None
+    for i in range(rounds):
+        if left.isEmpty():
+            break
+        near = _nearest(left, others, [*by, "_span"], structure, cell).withColumn("min_dist", F.sqrt("d2"))
+        sure = checkpointed(near.where((F.col("min_dist") < cell * (1 - 1e-9)) | (F.col("_span") < cell * (1 - 1e-9))).select(*by, "min_dist"))
+        done = sure if done is None else done.unionByName(sure)
+        same = [left[c].eqNullSafe(sure[c]) for c in by]
+        left = checkpointed(left.join(sure, same[0] & same[1] & same[2], "left_anti"))
+        cell *= 4.0 ** (i + 1)
+    else:
+        raise RuntimeError(f"residues are left without a nearest target after {rounds} rounds")
+    return done if done is not None else left.select(*by, F.lit(None).cast("double").alias("min_dist"))
 
 
 def interface_mask(distances: DataFrame, cut: float = 10.0) -> DataFrame:
