@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from ledgerlens.plans import catalogue, catalogue_rows  # noqa: F401  (the second adds to the first)
+from ledgerlens.plans import catalogue, catalogue_rows, catalogue_scale  # noqa: F401  (the others add to the first)
 from tests.oracle import SF_DIR, assert_equal, connection
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no tables")
