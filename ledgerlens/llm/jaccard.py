@@ -528,3 +528,29 @@ def similar_documents(docs: DataFrame, scratch, key: str = "doc_id", text: str =
     labels = reps.join(found, reps["rep"] == found["node"], "left").select("cls", "n", F.coalesce("component", "rep").alias("component"))
     out = rows.join(labels, (rows["h1"] == labels["cls"]) & (rows["n"] == labels["n"]), "left")
     return out.select(rows["doc_id"], rows["n"].alias("n_shingles"), F.when(rows["n"] > 0, F.col("component")).otherwise(rows["doc_id"]).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of the smallest id of each component, a repeated row once; all columns.
+
+    ``found`` is what ``similar_documents`` returns for these rows, as a written table. Rows whose id a
+    bitmap of the ids in question does not hold are kept where they are; only the others are
+    dealt by id and decided exactly, so what is shuffled follows the duplicates. A null id
+    stays; of an id with several texts, each text stays once.
+    """
+    extra = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_id")).distinct()
+    repeated = found.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1 AND _id IS NOT NULL").select("_id")
+    field, bits = id_bitmap(extra.unionByName(repeated))
+    shared = docs.sparkSession.sparkContext.broadcast(field)  # 16 MB at most
+
+    @F.pandas_udf("boolean")
+    def in_question(ids: pd.Series) -> pd.Series:
+        at = _places(ids.to_numpy(), bits)
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    own = F.col(f"`{key}`").cast("long")
+    asked = own.isNotNull() & in_question(F.coalesce(own, F.lit(0)))
+    same = F.col(f"d.`{key}`").cast("long") == F.col("e._id")
+    odd = docs.where(asked).alias("d").join(extra.alias("e"), same, "left_anti")
+    once = odd.join(repeated.alias("e"), same, "left_semi").dropDuplicates([key, text])
+    return docs.where(~asked).unionByName(odd.join(repeated.alias("e"), same, "left_anti")).unionByName(once)

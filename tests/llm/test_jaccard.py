@@ -94,3 +94,16 @@ def test_components_of_chains_and_stars(spark, scratch):
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
     chain, star = min(names[:201]), min(names[300:480])
     assert all(found[names[i]] == chain for i in range(201)) and all(found[names[i]] == star for i in range(300, 480))
+
+
+def test_one_of_each(spark, scratch):
+    base = " ".join(f"w{i}" for i in range(80))
+    texts = {1: base, 2: base + " more", 3: "quite another text of some words", 4: base, 9: None}
+    rows = [(i, t, 7, "x") for i, t in texts.items()] + [(3, texts[3], 7, "x"), (5, "five has one text here", 7, "x"), (5, "five has another text there", 7, "x"), (None, "no id " + base[:60], 7, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, d string")
+    found = scratch.write(jaccard.similar_documents(df, scratch), "found")
+    got = sorted(map(tuple, jaccard.one_of_each(df, found).collect()), key=repr)
+    assert got == sorted({r for r in rows if r[0] not in (2, 4)}, key=repr)
+    assert jaccard.one_of_each(df.limit(0), found.limit(0)).count() == 0
+    plan = jaccard.one_of_each(df, found)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") >= 1
