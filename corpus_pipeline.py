@@ -38,13 +38,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     scratch = Scratch(spark, "near")
     found = scratch.write(jaccard.similar_documents(docs, scratch, k=SHINGLE, threshold=SIMILARITY), "found")
     scratch.drop_all_but("found")
-    extra = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    return jaccard.one_of_each(docs, found)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
