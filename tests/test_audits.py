@@ -219,8 +219,9 @@ def test_rounds_that_run_out_raise(spark):
     chain = spark.createDataFrame([(i, i // 2, (i + 1) // 2) for i in range(40)], "id int, a int, b int")
     with pytest.raises(RuntimeError, match="not settled"):
         graph.components(chain, "id", ["a", "b"], rounds=1)
-    texts = spark.createDataFrame([(c,) for c in "abcdef"], "t string")
-    path = spark.createDataFrame([(a, b, 1.0) for a, b in zip("abcde", "bcdef")], "a string, b string, identity double")
+    names = [f"{i:03d}" for i in range(300)]  # so long that one round cannot cover it, whatever the priorities
+    texts = spark.createDataFrame([(c,) for c in names], "t string")
+    path = spark.createDataFrame([(a, b, 1.0) for a, b in zip(names, names[1:])], "a string, b string, identity double")
     with pytest.raises(RuntimeError, match="uncovered"):
         dedup.cover(texts, path, rounds=1)
 
@@ -288,3 +289,13 @@ def test_files(spark, tmp_path):
     log = sinks.append_log(spark.createDataFrame([("a", 1)], "k string, n int"), spark.createDataFrame([("b",)], "k string"))
     assert got(log) == sorted([("a", 1), ("b", None)], key=repr)
     assert spark.createDataFrame([("ABC", [True, True, False])], "t string, m array<boolean>").select(R.masked_letters(F.col("t"), F.col("m"), "AB")).first()[0] == ["A", "B"]
+
+
+def test_samples_with_missing_fields_are_counted(spark, tmp_path):
+    row = "SELECT '{}' AS pdb_id, true AS paired, {} AS heavy, array(true) AS cdr_mask, array(true) AS coord_mask, false AS has_antigen, '{}' AS filename_stem"
+    heavy = "named_struct('sequence_aa', 'ACD')"
+    path = str(tmp_path / "samples")
+    spark.sql(" UNION ALL ".join([row.format("1abc", heavy, "1abc_H"), row.format("2abc", "CAST(NULL AS struct<sequence_aa:string>)", "2abc_H"), row.format("3abc", heavy, "3abc_H")])).write.parquet(path)
+    found = readers.read_samples(spark, path)
+    assert {r["pdb_id"]: r["schema_error"] for r in found.collect()} == {"1abc": None, "2abc": "missing heavy", "3abc": None}
+    assert readers.load_counts(found).first().asDict() == {"scanned": 3, "schema_errors": 1}
