@@ -56,7 +56,7 @@ def quantiles(df: DataFrame, col: str, probabilities: list[float], *by: str, rou
 
     def met(parts: Column) -> DataFrame:
         """Rows with the part that they are in; parts do not overlap."""
-        wanted = _on(rows, state.select(*keys, parts.alias("parts")).where(F.size("parts") > 0), keys)
+        wanted = null_safe(rows, state.select(*keys, parts.alias("parts")).where(F.size("parts") > 0), keys)
         wanted = wanted.withColumn("u", place).select(*keys, "v", "u", F.explode(F.filter("parts", lambda p: F.col("u").between(p["low"], p["high"]))).alias("p"))
         return wanted.select(*keys, "v", "u", "p.*")
 
@@ -76,7 +76,7 @@ def quantiles(df: DataFrame, col: str, probabilities: list[float], *by: str, rou
         # parts of a group are no more than its ranks
         finer = finer.groupBy(*keys).agg(F.collect_list("p").alias("more"))
         both = F.concat(F.filter("parts", lambda p: ~still(p)), F.coalesce("more", F.array().cast(state.schema["parts"].dataType)))
-        state = checkpointed(_on(state, finer, keys, "left").select(*keys, "n", both.alias("parts")))
+        state = checkpointed(null_safe(state, finer, keys, "left").select(*keys, "n", both.alias("parts")))
     else:
         raise RuntimeError(f"quantiles have not settled in {rounds} rounds")
     values = met(F.col("parts")).groupBy(*keys, "low", "v").agg(F.count("*").alias("rows"), F.first("before").alias("before"), F.first("ranks").alias("ranks"))
@@ -85,7 +85,7 @@ def quantiles(df: DataFrame, col: str, probabilities: list[float], *by: str, rou
     hit = F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("rows")) & (r < F.col("upto")))
     one = values.withColumn("upto", up_to).select(*keys, "v", F.explode(hit).alias("r"))
     one = one.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("at"))
-    out = _on(state.select(*keys, "n"), one, keys)
+    out = null_safe(state.select(*keys, "n"), one, keys)
 
     def value(x: Column) -> Column:
         below, above = F.floor(x).cast("long"), F.ceil(x).cast("long")
@@ -95,7 +95,7 @@ def quantiles(df: DataFrame, col: str, probabilities: list[float], *by: str, rou
     return out.select(*[F.col(k).alias(b) for b, k in zip(by, keys)], "n", F.array(*[value(x) for x in at]).alias("q"))
 
 
-def _on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """A join on keys in which nulls are equal; without keys, of one row on the right."""
     if not keys:
         return left.join(right, F.lit(True), how)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.ranks import null_safe
+from ledgerlens.sources.stage import checkpointed
+
 
 def true_runs(mask: Column) -> Column:
     """array<struct<first,last>> of 0-based places, both inside, of contiguous true values."""
@@ -69,11 +72,44 @@ def fold_change(frame: DataFrame, group: str, a: str, b: str, digits: int = 6) -
 
 
 def row_runs(df: DataFrame, flag: Column, key: str, *order: str) -> DataFrame:
-    """Gaps and islands over rows: (key, first row number, last, length) of runs of a true flag."""
-    w = Window.partitionBy(key).orderBy(*order)
-    rows = df.select(key, F.row_number().over(w).alias("_n"), F.coalesce(flag, F.lit(False)).alias("_on"))
-    on = rows.where("_on").withColumn("_island", F.col("_n") - F.row_number().over(Window.partitionBy(key).orderBy("_n")))
-    return on.groupBy(key, "_island").agg(F.min("_n").cast("long").alias("first"), F.max("_n").cast("long").alias("last"), F.count("*").alias("length")).drop("_island")
+    """Gaps and islands over rows: (key, first row number, last, length) of runs of a true flag.
+
+    ``order`` is total within a key; a null flag is false, a null key is a key. Rows are dealt
+    in ranges of key and order, so a key of most rows is many tasks': each range finds its own
+    runs, rows before a range shift their numbers, and only runs at the ends of ranges, two for
+    each range of a key at most, are looked at together and joined where they touch.
+    """
+    places = [f"_o{i}" for i in range(len(order))]
+    rows = df.select(F.col(key).alias("_k"), *[F.col(o).alias(p) for o, p in zip(order, places)], F.coalesce(flag, F.lit(False)).alias("_on"))
+    dealt = checkpointed(rows.repartitionByRange("_k", *places).withColumn("_range", F.spark_partition_id()))
+    own = Window.partitionBy("_range", "_k")
+    on = dealt.select("_range", "_k", "_on", F.row_number().over(own.orderBy(*places)).alias("_n")).where("_on")
+    on = on.withColumn("_island", F.col("_n") - F.row_number().over(own.orderBy("_n")))
+    local = on.groupBy("_range", "_k", "_island").agg(F.min("_n").cast("long").alias("first"), F.max("_n").cast("long").alias("last"))
+    # a row for each range of a key
+    before = Window.partitionBy("_k").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_range", "_k").agg(F.count("*").alias("_rows")).withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    at_end = (F.col("first") == 1) | (F.col("last") == F.col("_rows"))
+    shifted = null_safe(local, sizes, ["_range", "_k"]).select("_k", at_end.alias("_end"), *[(F.col(c) + F.col("_before")).alias(c) for c in ("first", "last")])
+    follows = Window.partitionBy("_k").orderBy("first")
+    starts = F.coalesce(F.col("first") != F.lag("last").over(follows) + 1, F.lit(True)).cast("int")
+    ends = shifted.where("_end").withColumn("_starts", starts).withColumn("_run", F.sum("_starts").over(follows))
+    joined = ends.groupBy("_k", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
+    whole = shifted.where("NOT _end").select("_k", "first", "last").unionByName(joined)
+    return whole.select(F.col("_k").alias(key), "first", "last", (F.col("last") - F.col("first") + 1).alias("length"))
+
+
+def run_rules(runs: DataFrame, key: str) -> DataFrame:
+    """(key, n_runs, longest, last, third_or_last) of the runs of ``row_runs``: the last two are structs (first, last).
+
+    Three runs of a key leave a task for the third; the rest are aggregates.
+    """
+    run = F.struct("first", "last")
+    kept = checkpointed(runs)
+    each = kept.groupBy(key).agg(F.count("*").alias("n_runs"), F.max("length").alias("longest"), F.max_by(run, "first").alias("last"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("first"))
+    early = kept.withColumn("_place", place).where("_place <= 3").groupBy(key).agg(F.max_by(run, "_place").alias("third_or_last"))
+    return null_safe(each, early, [key])
 
 
 def joined_chains(heavy: Column, light: Column, cap: int = 280) -> Column:

@@ -35,15 +35,16 @@ def loop_points(mask: Column, points: Column, rule: str = "last") -> Column:
     return F.when(run.isNotNull() & (F.size(cut) >= 3) & ~bad, cut)
 
 
-def pair_rmsd(df: DataFrame, cluster: str, key: str, points: str, blocks: int = 1, max_size: int | None = None) -> DataFrame:
+def pair_rmsd(df: DataFrame, cluster: str, key: str, points: str, tile: int = 1024, max_size: int | None = None) -> DataFrame:
     """(cluster, a, b, rmsd) of pairs of equal length; clusters over ``max_size`` are left out.
 
-    Which ones are left out is told by ``skipped_clusters``.
+    Which ones are left out is told by ``skipped_clusters``; a cluster's pairs are met in tiles of
+    ``tile`` rows by as many.
     """
     rows = df.where(F.col(points).isNotNull()).withColumn("_len", F.size(points))
     if max_size is not None:
         rows = rows.join(skipped_clusters(rows, cluster, max_size).select(cluster), cluster, "left_anti")
-    pairs = pairs_within(rows, [cluster, "_len"], key, points, blocks).where("_len >= 3")
+    pairs = pairs_within(rows, [cluster, "_len"], key, points, tile).where("_len >= 3")
 
     def run(frames):
         for f in frames:

@@ -109,9 +109,9 @@ def leakage(df: DataFrame, split: str, relations: list[str]) -> DataFrame:
 
 
 def leaked_rows(df: DataFrame, split: str, relation: str, *detail: str) -> DataFrame:
-    """Values in more than one split with their rows; the list is of one value."""
+    """(relation, split, detail): every row of a value that is in more than one split."""
     bad = df.where(F.col(relation).isNotNull()).groupBy(relation).agg((F.min(split) != F.max(split)).alias("leaks")).where("leaks").select(relation)
-    return df.join(bad, relation).groupBy(relation).agg(F.array_sort(F.collect_list(F.struct(split, *detail))).alias("rows"))
+    return df.join(bad, relation).select(relation, split, *detail)
 
 
 def split_profile(df: DataFrame, split: str, category: str) -> DataFrame:

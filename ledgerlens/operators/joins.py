@@ -14,7 +14,11 @@ MISSING = "__MISSING__"
 
 
 def keep_one(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
-    """The first row of each key in a total order."""
+    """The first row of each key in a total order.
+
+    Each task keeps one row of a key before rows are shuffled, so a hot key sends as many rows
+    as there are tasks.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
 
@@ -80,21 +84,23 @@ def containment_join(left: DataFrame, right: DataFrame, keys: list[str], item: s
     return left.join(keep_one(flat, [*keys, item], *order), [*keys, item])
 
 
-def pairs_within(df: DataFrame, cluster: list[str], key: str, value: str, blocks: int = 1) -> DataFrame:
-    """Pairs (a, b), a < b, of rows of a cluster.
+def pairs_within(df: DataFrame, cluster: list[str], key: str, value: str, tile: int = 1024) -> DataFrame:
+    """Pairs (cluster, a, value_a, b, value_b), a < b, of rows of a cluster; null clusters have none.
 
-    ``blocks`` over 1 deals a large cluster's pairs over that many squared parts: each row
-    goes to the parts of its block only.
+    A cluster of more than ``tile`` rows is cut by a hash of the key in as many blocks as its
+    own size asks for, and only tiles of a block with itself or a later one are made: a row
+    goes to one tile more than there are blocks, and a tile holds about ``tile`` squared pairs.
     """
-    part = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    a = df.select(*cluster, F.col(key).alias("a"), F.col(value).alias("value_a"), part.alias("_i"))
-    b = df.select(*cluster, F.col(key).alias("b"), F.col(value).alias("value_b"), part.alias("_j"))
-    if blocks > 1:
-        every = F.sequence(F.lit(0), F.lit(blocks - 1))
-        a = a.withColumn("_j", F.explode(every))
-        b = b.withColumn("_i", F.explode(every))
-        return a.join(b, [*cluster, "_i", "_j"]).where("a < b").drop("_i", "_j")
-    return a.drop("_i").join(b.drop("_j"), cluster).where("a < b")
+    large = df.groupBy(*cluster).agg(F.count("*").alias("_rows")).where(F.col("_rows") > tile)
+    rows = df.select(*cluster, F.col(key).alias("_k"), F.col(value).alias("_v")).join(large, cluster, "left")
+    rows = rows.withColumn("_blocks", F.ceil(F.coalesce("_rows", F.lit(1)) / tile).cast("int")).withColumn("_own", F.pmod(F.xxhash64("_k"), F.col("_blocks")).cast("int"))
+    a = rows.select(*cluster, F.col("_k").alias("_ka"), F.col("_v").alias("_va"), F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_blocks") - 1)).alias("_j"))
+    b = rows.select(*cluster, F.col("_k").alias("_kb"), F.col("_v").alias("_vb"), F.explode(F.sequence(F.lit(0), "_own")).alias("_i"), F.col("_own").alias("_j"))
+    # a tile off the diagonal has each pair once, in either order
+    met = a.join(b, [*cluster, "_i", "_j"]).where("_ka < _kb OR (_i < _j AND _ka > _kb)")
+    first = F.col("_ka") < F.col("_kb")
+    pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
+    return met.select(*cluster, pick("_ka", "_kb", "a"), pick("_va", "_vb", "value_a"), pick("_kb", "_ka", "b"), pick("_vb", "_va", "value_b"))
 
 
 def pair_counts(df: DataFrame, cluster: str, size: str) -> DataFrame:

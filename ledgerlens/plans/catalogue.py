@@ -361,9 +361,8 @@ def masked_runs(spark, sf):
 @query(_RUNS + """, q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first) AS k, count(*) OVER (PARTITION BY user_id) AS m FROM r)
 SELECT user_id, count(*) AS n_runs, CAST(max(first) - 1 AS INT) AS last_first, CAST(max(CASE WHEN k = 3 OR (m < 3 AND k = m) THEN first - 1 END) AS INT) AS third_first FROM q GROUP BY 1""")
 def masked_run_rules(spark, sf):
-    events = table(spark, sf, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda e: e["value"] > 50).alias("mask"))
-    rows = events.withColumn("runs", R.true_runs(F.col("mask"))).where(F.size("runs") > 0)
-    return rows.select("user_id", F.size("runs").cast("long").alias("n_runs"), R.last_run(F.col("runs"))["first"].alias("last_first"), R.third_or_last(F.col("runs"))["first"].alias("third_first"))
+    rules = R.run_rules(masked_runs(spark, sf), "user_id")
+    return rules.select("user_id", "n_runs", *[(F.col(f"{c}.first") - 1).cast("int").alias(name) for c, name in (("last", "last_first"), ("third_or_last", "third_first"))])
 
 
 @query("SELECT substr(sha256(p_name), 1, 8) AS h, count(*) AS n, count(DISTINCT p_brand) AS brands FROM part GROUP BY 1")
@@ -629,7 +628,7 @@ def rmsd_within_cluster(spark, sf):
     """Embeddings as 16 points of three numbers; clusters are labels cut to hundreds."""
     points = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice(F.col("embedding").cast("array<double>"), i * 4 + 1, F.lit(3)))
     rows = table(spark, sf, "embeddings").select("vec_id", F.concat_ws("-", "label", F.floor(F.col("vec_id") / 100)).alias("cluster"), points.alias("points"))
-    pairs = geometry.pair_rmsd(rows, "cluster", "vec_id", "points", blocks=2)
+    pairs = geometry.pair_rmsd(rows, "cluster", "vec_id", "points")
     return rounded(geometry.top_by_mean(pairs, "cluster", 20), "mean_rmsd")
 
 
@@ -637,7 +636,7 @@ def rmsd_within_cluster(spark, sf):
 def rmsd_weighting(spark, sf):
     points = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice(F.col("embedding").cast("array<double>"), i * 4 + 1, F.lit(3)))
     rows = table(spark, sf, "embeddings").select("vec_id", F.concat_ws("-", "label", F.floor(F.col("vec_id") / 100)).alias("cluster"), points.alias("points"))
-    return rounded(geometry.weighted_means(geometry.pair_rmsd(rows, "cluster", "vec_id", "points", blocks=2), "cluster"), "pair_weighted", "cluster_weighted", "top2_share")
+    return rounded(geometry.weighted_means(geometry.pair_rmsd(rows, "cluster", "vec_id", "points"), "cluster"), "pair_weighted", "cluster_weighted", "top2_share")
 
 
 _BOOT = 200
@@ -694,7 +693,7 @@ WITH t AS (SELECT l_orderkey % 10 < 8 AS train, l_suppkey AS s, l_linenumber FRO
 SELECT s AS l_suppkey, count(*) AS n_rows FROM t JOIN b USING (s) GROUP BY 1""")
 def leaked_row_detail(spark, sf):
     rows = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 10 < 8).alias("split"), "l_suppkey", "l_linenumber")
-    return graph.leaked_rows(rows, "split", "l_suppkey", "l_linenumber").select("l_suppkey", F.size("rows").cast("long").alias("n_rows"))
+    return graph.leaked_rows(rows, "split", "l_suppkey", "l_linenumber").groupBy("l_suppkey").agg(F.count("*").alias("n_rows"))
 
 
 @query("SELECT round(sum(l_quantity * n) / sum(n), 6) AS weighted_mean FROM (SELECT l_quantity, count(*) AS n FROM lineitem GROUP BY 1)")

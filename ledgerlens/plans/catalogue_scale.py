@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import metrics as M
+from ledgerlens.functions import runs as R
 from ledgerlens.functions import stats as S
 from ledgerlens.functions.ranks import quantiles
 from ledgerlens.operators import align, dedup, geometry
+from ledgerlens.plans import compare
 from ledgerlens.plans.catalogue import query, rounded
 from ledgerlens.session import table
 
@@ -107,3 +109,40 @@ def url_host_matches(spark, sf):
     hosts = pages.select(F.regexp_extract("url", "^[^:]*://([^/?#]*)", 1).alias("host")).where("host <> ''").distinct()
     refs = hosts.select(F.col("host").alias("gene_id"), letters("host").alias("seq"))
     return rounded(align.best_matches(pages.select("page_id", letters("url").alias("seq")), refs, "page_id"), "identity", "coverage")
+
+
+@query("""
+WITH o AS (SELECT l_returnflag AS f, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_discount) AS n, l_discount > 0.05 AS hit FROM lineitem),
+i AS (SELECT f, n, n - row_number() OVER (PARTITION BY f ORDER BY n) AS island FROM o WHERE hit),
+r AS (SELECT f, min(n) AS first, max(n) AS last, count(*) AS length FROM i GROUP BY f, island), q AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY first) AS k, count(*) OVER (PARTITION BY f) AS m FROM r)
+SELECT f AS l_returnflag, count(*) AS n_runs, max(length) AS longest, max(first) AS last_first, max(last) AS last_last, max(CASE WHEN k = least(m, 3) THEN first END) AS third_first FROM q GROUP BY 1""")
+def discount_runs(spark, sf):
+    """Runs of deep discounts among all lines of a flag: half of the rows have one key."""
+    runs = R.row_runs(table(spark, sf, "lineitem"), F.col("l_discount") > 0.05, "l_returnflag", "l_orderkey", "l_linenumber", "l_discount")
+    rules = R.run_rules(runs, "l_returnflag")
+    return rules.select("l_returnflag", "n_runs", "longest", F.col("last.first").alias("last_first"), F.col("last.last").alias("last_last"), F.col("third_or_last.first").alias("third_first"))
+
+
+_LEVELS = ("l_suppkey", "l_shipdate", "l_returnflag")
+_GRAM = "SELECT {i} AS a, CAST({a} AS VARCHAR) AS level_a, {j} AS b, CAST({b} AS VARCHAR) AS level_b, count(*) AS n, round(sum(t), 4) AS t, round(sum(t * y), 2) AS ty FROM r GROUP BY ALL"
+
+
+@query(
+    "WITH r AS (SELECT *, CAST(l_extendedprice AS DOUBLE) AS y, (l_discount > 0.05)::INT::DOUBLE AS t FROM lineitem) "
+    + " UNION ALL ".join([_GRAM.format(i=-1, j=-1, a="NULL", b="NULL"), *[_GRAM.format(i=i, j=j, a=_LEVELS[i], b=_LEVELS[j]) for i in range(3) for j in range(i, 3)]])
+)
+def line_gram(spark, sf):
+    """Moments of prices by pairs of suppliers, days and flags."""
+    lines = table(spark, sf, "lineitem").withColumn("deep", F.col("l_discount") > 0.05)
+    found = S.gram(lines.withColumn("deep", F.col("deep").cast("int")), "l_extendedprice", "deep", list(_LEVELS))
+    return found.select("a", "level_a", "b", "level_b", "n", F.round("t", 4).alias("t"), F.round("ty", 2).alias("ty"))
+
+
+@query("""
+WITH t AS (SELECT s AS seed, l_suppkey, l_orderkey || '-' || l_linenumber AS k, l_shipdate::VARCHAR AS d, row_number() OVER (PARTITION BY s, l_suppkey ORDER BY md5(s || ':' || l_orderkey || '-' || l_linenumber), l_orderkey || '-' || l_linenumber, l_shipdate) AS r FROM lineitem, range(25) x(s))
+SELECT CAST(seed AS INT) AS seed, l_suppkey, k, d FROM t WHERE r = 1""")
+def supplier_lines(spark, sf):
+    """A line of each supplier at random, for 25 seeds."""
+    k = F.concat_ws("-", "l_orderkey", "l_linenumber").alias("k")
+    rows = table(spark, sf, "lineitem").select("l_suppkey", k, F.col("l_shipdate").cast("string").alias("d"))
+    return compare.random_representatives(rows, "l_suppkey", "k", 25, "d")

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import metrics as M
 from ledgerlens.operators.joins import keep_one
+from ledgerlens.sources.stage import checkpointed
+
+#: seeds whose least tickets are the state of one aggregate
+SEEDS_AT_ONCE = 100
 
 
 def snapshot(df: DataFrame, categories: dict[str, Column], flags: dict[str, Column] | None = None, means: dict[str, Column] | None = None, *by: str) -> DataFrame:
@@ -70,26 +74,36 @@ def draw_spread(rows: DataFrame, categories: dict[str, Column]) -> DataFrame:
 
 def representative_sweep(df: DataFrame, cluster: str, key: str, category: str, seeds: int) -> DataFrame:
     """One row: spread of a category's entropy over random choices of representatives."""
-    chosen = random_representatives(df, cluster, key, seeds).select("seed", key)
-    each = draw_spread(chosen.join(df.select(key, category), key), {"c": F.col(category)})
+    chosen = random_representatives(df, cluster, key, seeds, category)
+    each = draw_spread(chosen, {"c": F.col(category)})
     return each.where("metric = 'c_entropy_bits'").drop("metric")
 
 
 def metric_sweep(df: DataFrame, cluster: str, key: str, categories: list[str], seeds: int = 200) -> DataFrame:
     """(metric, seeds, low, high, mean, std) of every metric over random choices of representatives."""
-    chosen = random_representatives(df, cluster, key, seeds).select("seed", key)
-    return draw_spread(chosen.join(df.select(key, *categories), key), {c: F.col(c) for c in categories})
+    chosen = random_representatives(df, cluster, key, seeds, *categories)
+    return draw_spread(chosen, {c: F.col(c) for c in categories})
 
 
-def random_representatives(df: DataFrame, cluster: str, key: str, seeds: int) -> DataFrame:
-    """One row for each cluster and seed, by a hash of seed and key.
+def random_representatives(df: DataFrame, cluster: str, key: str, seeds: int, *carry: str) -> DataFrame:
+    """(seed, cluster, key, carry): one row for each cluster and seed, that of the least hash of seed and key.
 
-    Only (seed, cluster, key) rows are made for the seeds; the hash is aggregated by a
-    minimum, so nothing is sorted.
+    A row is read once for all seeds: the state of a cluster is one least ticket for each of
+    ``SEEDS_AT_ONCE`` seeds, so what is shuffled follows the clusters, not rows times seeds. A
+    cluster of one row is its own choice and takes no part in that. Of rows with one key, the
+    least carried values count; a null cluster is a cluster.
     """
-    draws = df.select(cluster, key).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    ticket = F.md5(F.concat_ws(":", F.col("seed"), F.col(key)))
-    return draws.groupBy("seed", cluster).agg(F.min_by(key, F.struct(ticket, F.col(key))).alias(key))
+    rows = df.select(F.col(cluster).alias("_c"), F.struct(F.col(key).alias("k"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(carry)]).alias("row"))
+    per = checkpointed(rows.groupBy("_c").agg(F.count("*").alias("n"), F.min("row").alias("row")))
+    found = [per.where("n = 1").select(F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"), "_c", "row")]
+    many = rows.join(per.where("n > 1").select(F.col("_c").alias("_many")), F.col("_c").eqNullSafe(F.col("_many")), "left_semi")
+    for low in range(0, seeds, SEEDS_AT_ONCE):
+        at = range(low, min(low + SEEDS_AT_ONCE, seeds))
+        ticket = lambda s: F.unhex(F.md5(F.concat_ws(":", F.lit(str(s)), F.col("row.k"))))
+        least = many.groupBy("_c").agg(*[F.min(F.struct(ticket(s).alias("t"), "row")).alias(f"s{s}") for s in at])
+        each = F.explode(F.array(*[F.struct(F.lit(s).alias("seed"), F.col(f"s{s}.row").alias("row")) for s in at])).alias("x")
+        found.append(least.select("_c", each).select("x.seed", "_c", "x.row"))
+    return reduce(DataFrame.unionByName, found).select("seed", F.col("_c").alias(cluster), F.col("row.k").alias(key), *[F.col(f"row.v{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def accounting(df: DataFrame, **levels: list[str]) -> DataFrame:

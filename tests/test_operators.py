@@ -23,8 +23,8 @@ def test_joins(spark):
     assert inner.count() == 2 and lost.first()["lost"] == 1
     with pytest.raises(ValueError):
         joins.require_none(a, "rows")
-    for blocks in (1, 3):
-        pairs = joins.pairs_within(spark.range(20).withColumn("c", F.col("id") % 2), ["c"], "id", "id", blocks)
+    for tile in (1, 3):
+        pairs = joins.pairs_within(spark.range(20).withColumn("c", F.col("id") % 2), ["c"], "id", "id", tile)
         assert pairs.count() == 2 * 45 and pairs.distinct().count() == 90
     many = spark.createDataFrame([("c", 1), ("c", 1), ("c", 2)], "c string, n int")
     assert tuple(joins.pair_counts(many, "c", "n").first())[1:] == (1, 3, 2)
@@ -115,7 +115,7 @@ def test_kabsch_and_contacts(spark):
     assert (geometry.kabsch_rmsd(p, p * np.array([1, 1, -1])) > 0.1).all()
     rows = [(i, "c" if i < 6 else "d", rng.normal(size=(5, 3)).tolist()) for i in range(8)] + [(9, "c", rng.normal(size=(4, 3)).tolist()), (10, "c", None)]
     df = spark.createDataFrame(rows, "id int, c string, p array<array<double>>")
-    assert geometry.pair_rmsd(df, "c", "id", "p", blocks=2).count() == 15 + 1
+    assert geometry.pair_rmsd(df, "c", "id", "p", tile=2).count() == 15 + 1
     assert geometry.pair_rmsd(df, "c", "id", "p", max_size=6).count() == 1 and geometry.skipped_clusters(df.where("p IS NOT NULL"), "c", 6).first()["n"] == 7
     atoms = [("s", i // 3, "ACD"[i // 3 % 3], *map(float, rng.normal(size=3) * 5)) for i in range(30)]
     targets = [("s", *map(float, rng.normal(size=3) * 5)) for _ in range(40)] + [("t", 0.0, 0.0, 0.0)]
