@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ledgerlens.functions import text as T
 from ledgerlens.operators import dedup, geometry, graph, joins, sampling
 from ledgerlens.plans import antigens, compare
 from ledgerlens.sources import contracts as C
+from ledgerlens.sources.stage import checkpointed
 
 LENGTHS = (3, 35)
 ALPHABET = "ACDEFGHIKLMNPQRSTVWY"
@@ -23,13 +26,12 @@ ANTIBODY = ["pdb_id", "h_chain", "l_chain"]
 def master_table(samples: DataFrame, summary: DataFrame, therapeutics: DataFrame) -> DataFrame:
     """Samples with their summary row (exact stem, else the only chain pair) and best tier."""
     meta = joins.fallback_join(samples.select("filename_stem", "pdb_id"), summary, ["pdb_id", "filename_stem"], "pdb_id", ["h_chain", "l_chain"], ["h_chain", "l_chain"], "h_chain")
-    rows = samples.join(meta.select("filename_stem", "match"), "filename_stem", "left")
-    exact = joins.keep_one(summary, ["filename_stem"], F.desc("date")).drop("pdb_id")
-    only = joins.keep_one(summary, ["pdb_id"], "h_chain", "l_chain").drop("filename_stem")
-    a = rows.where("match = 'exact'").join(exact, "filename_stem")
-    b = rows.where("match = 'fallback'").join(only, "pdb_id")
-    none = rows.where("match = 'none'")
-    joined = a.unionByName(b, allowMissingColumns=True).unionByName(none, allowMissingColumns=True)
+    rest = F.struct(*[c for c in summary.columns if c not in ("filename_stem", "pdb_id")])
+    exact = joins.keep_one(summary, ["filename_stem"], F.desc("date")).select("filename_stem", rest.alias("_exact"))
+    only = joins.keep_one(summary, ["pdb_id"], "h_chain", "l_chain").select("pdb_id", rest.alias("_only"))
+    rows = samples.join(meta.select("filename_stem", "match"), "filename_stem", "left").join(exact, "filename_stem", "left").join(only, "pdb_id", "left")
+    one = F.when(F.col("match") == "exact", F.col("_exact")).when(F.col("match") == "fallback", F.col("_only"))
+    joined = rows.withColumn("_row", one).drop("_exact", "_only").select("*", "_row.*").drop("_row")
     best = joins.keep_one(therapeutics, ANTIBODY, "tier_rank", "therapeutic").select(*ANTIBODY, "therapeutic", "tier")
     return joined.join(best, ANTIBODY, "left").withColumn("is_therapeutic", F.col("tier").isNotNull())
 
@@ -230,6 +232,60 @@ def tier_counts(therapeutics: DataFrame) -> DataFrame:
     return compare.with_shares(n, "n_rows")
 
 
+def tier_report(rows: DataFrame, tiers: tuple[str, ...], pair: list[str], name: str, structure: list[str], length: str, covariates: dict[str, Column], tier: str = "tier", flag: str = "is_therapeutic", replicates: int = 10_000, seed: int = 42) -> DataFrame:
+    """(section, item, metric, value): therapeutics by tier in one report.
+
+    ``counts``: rows and distinct ``pair`` values of each tier (0 where absent), of flagged rows
+    (``any``) and of all, with percentages. ``mapping``: names of flagged rows, those with
+    several of the first column of ``structure``, the most, and structures with several names.
+    ``length``: means of the first tier and of all other rows, their difference, its bootstrap
+    interval, and the effect adjusted by ``covariates``. Null lengths, NaN among them, and (where
+    adjusted) null covariates are left out; nulls are values of ``pair`` and ``structure``.
+    """
+    spark = rows.sparkSession
+    keys = [f"p{i}" for i in range(len(pair))]
+    flagged = F.coalesce(F.col(flag).cast("boolean"), F.lit(False))
+    per = checkpointed(rows.select(F.col(tier).cast("string").alias("item"), flagged.alias("flagged"), *[F.col(c).alias(k) for c, k in zip(pair, keys)]).groupBy("item", "flagged", *keys).agg(F.count("*").alias("n")))
+    size = [F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count_distinct(F.struct(*keys)).alias("n_unique")]
+    named = per.where(F.col("item").isin(*tiers)).groupBy("item").agg(*size)
+    named = spark.createDataFrame([(t,) for t in tiers], "item string").join(named, "item", "left").na.fill(0)
+    whole = per.agg(*size)
+    found = named.unionByName(per.where("flagged").agg(*size).withColumn("item", F.lit("any"))).unionByName(whole.withColumn("item", F.lit("all")))
+    found = found.crossJoin(whole.select(F.col("n_rows").alias("t_rows"), F.col("n_unique").alias("t_unique")))  # one row
+    share = lambda a, b: 100 * S.ratio(F.col(a), F.col(b))
+    counts = {"n_rows": F.col("n_rows"), "n_unique": F.col("n_unique"), "percent_of_rows": share("n_rows", "t_rows"), "percent_of_unique": share("n_unique", "t_unique")}
+
+    matched = rows.where(flagged).select(F.col(name).alias("name"), *[F.col(c).alias(f"s{i}") for i, c in enumerate(structure)])
+    of_name = matched.where("name IS NOT NULL").groupBy("name").agg(F.count_distinct("s0").alias("n"))
+    of_structure = matched.groupBy(*[f"s{i}" for i in range(len(structure))]).agg(F.count_distinct("name").alias("n"))
+    several = F.count(F.when(F.col("n") > 1, 1))
+    names = {"names": F.count("*"), "names_of_several": several, "most": F.coalesce(F.max("n"), F.lit(0))}
+
+    best = F.coalesce(F.col(tier).cast("string") == tiers[0], F.lit(False)).cast("int")
+    number = F.nanvl(F.col(length).cast("double"), F.lit(None).cast("double"))
+    measured = rows.select(best.alias("best"), number.alias("y"), *[c.cast("string").alias(f"_{k}") for k, c in covariates.items()])
+    histogram = checkpointed(measured.where("y IS NOT NULL").groupBy("best", "y").agg(F.count("*").alias("n")))
+    mean = lambda x: F.try_divide(F.sum(F.when(F.col("best") == x, F.col("n") * F.col("y"))), F.sum(F.when(F.col("best") == x, F.col("n"))))
+    means = {"mean": mean(1), "mean_of_others": mean(0), "difference": mean(1) - mean(0)}
+    drawn = S.mean_difference(histogram, "best", "y", "n", 1, 0, replicates, seed)
+    fit = S.ols_effect(measured, "y", "best", [f"_{k}" for k in covariates])
+    adjusted = spark.createDataFrame([(fit["coefficient"], fit["low"], fit["high"], float(fit["rows"]))], "adjusted double, adjusted_low double, adjusted_high double, adjusted_rows double")
+
+    parts = [
+        _long(found.select("item", *[c.cast("double").alias(k) for k, c in counts.items()]), "counts"),
+        _long(of_name.agg(*[c.alias(k) for k, c in names.items()]).withColumn("item", F.lit("names")), "mapping"),
+        _long(of_structure.agg(several.alias("structures_of_several")).withColumn("item", F.lit("structures")), "mapping"),
+        *[_long(d.withColumn("item", F.lit(tiers[0])), "length") for d in (histogram.agg(*[c.alias(k) for k, c in means.items()]), drawn, adjusted)],
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _long(df: DataFrame, section: str) -> DataFrame:
+    """(section, item, metric, value) of a row for each item."""
+    cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in df.columns if c != "item"])
+    return df.select(F.lit(section).alias("section"), "item", F.explode(cells).alias("m")).select("section", "item", "m.*")
+
+
 def component_splits(df: DataFrame, key: str, relations: list[str], audited: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows with component and split, and leakage of the audited relations."""
     rows = graph.components(df, key, relations)

@@ -623,20 +623,41 @@ def nearest_other_label(asked: DataFrame, rows: DataFrame, asked_blocks: int = 4
     return cells.groupBy("vec_id", "label").agg(F.min("d").alias("d"))
 
 
-@query()
-def rmsd_within_cluster(spark, sf):
-    """Embeddings as 16 points of three numbers; clusters are labels cut to hundreds."""
+_PAIR_RMSD = """
+WITH p AS (SELECT vec_id, label, i, embedding[i * 4 + 1]::DOUBLE AS x, embedding[i * 4 + 2]::DOUBLE AS y, embedding[i * 4 + 3]::DOUBLE AS z FROM embeddings, range(16) t(i)),
+c AS (SELECT vec_id, label, i, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y, z - avg(z) OVER w AS z FROM p WINDOW w AS (PARTITION BY vec_id)),
+m AS (SELECT a.label, sum(a.x * a.x + a.y * a.y + a.z * a.z + b.x * b.x + b.y * b.y + b.z * b.z) AS g, sum(a.x * b.x) AS xx, sum(a.x * b.y) AS xy, sum(a.x * b.z) AS xz,
+  sum(a.y * b.x) AS yx, sum(a.y * b.y) AS yy, sum(a.y * b.z) AS yz, sum(a.z * b.x) AS zx, sum(a.z * b.y) AS zy, sum(a.z * b.z) AS zz
+  FROM c a JOIN c b ON a.label = b.label AND a.i = b.i AND a.vec_id < b.vec_id GROUP BY a.label, a.vec_id, b.vec_id),
+k AS (SELECT label, g, xx * (yy * zz - yz * zy) - xy * (yx * zz - yz * zx) + xz * (yx * zy - yy * zx) AS det, xx * xx + yx * yx + zx * zx AS k1, xy * xy + yy * yy + zy * zy AS k2, xz * xz + yz * yz + zz * zz AS k3,
+  xx * xy + yx * yy + zx * zy AS k12, xx * xz + yx * yz + zx * zz AS k13, xy * xz + yy * yz + zy * zz AS k23 FROM m),
+q AS (SELECT *, (k1 + k2 + k3) / 3 AS q FROM k),
+h AS (SELECT *, sqrt((pow(k1 - q, 2) + pow(k2 - q, 2) + pow(k3 - q, 2) + 2 * (k12 * k12 + k13 * k13 + k23 * k23)) / 6) AS h FROM q),
+f AS (SELECT *, acos(greatest(-1, least(1, ((k1 - q) * ((k2 - q) * (k3 - q) - k23 * k23) - k12 * (k12 * (k3 - q) - k23 * k13) + k13 * (k12 * k23 - (k2 - q) * k13)) / (2 * h * h * h)))) / 3 AS f FROM h),
+e AS (SELECT *, sqrt(q + 2 * h * cos(f)) AS s1, sqrt(q + 2 * h * cos(f - 2 * pi() / 3)) AS s2 FROM f),
+pairs AS (SELECT label, sqrt(greatest(0, g - 2 * (s1 + s2 + det / (s1 * s2))) / 16) AS rmsd FROM e)"""
+
+
+def _label_pairs(spark, sf):
+    """RMSDs within labels, of embeddings as 16 points of three numbers."""
     points = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice(F.col("embedding").cast("array<double>"), i * 4 + 1, F.lit(3)))
-    rows = table(spark, sf, "embeddings").select("vec_id", F.concat_ws("-", "label", F.floor(F.col("vec_id") / 100)).alias("cluster"), points.alias("points"))
-    pairs = geometry.pair_rmsd(rows, "cluster", "vec_id", "points")
-    return rounded(geometry.top_by_mean(pairs, "cluster", 20), "mean_rmsd")
+    rows = table(spark, sf, "embeddings").select("vec_id", "label", points.alias("points"))
+    return geometry.pair_rmsd(rows, "label", "vec_id", "points")
 
 
-@query()
+@query(_PAIR_RMSD + " SELECT label, round(avg(rmsd), 6) AS mean_rmsd, count(*) AS pairs FROM pairs GROUP BY 1 ORDER BY avg(rmsd) DESC, label LIMIT 20")
+def rmsd_within_cluster(spark, sf):
+    """The SQL finds the best rotations by the singular values of the products' matrix, in closed form."""
+    return rounded(geometry.top_by_mean(_label_pairs(spark, sf), "label", 20), "mean_rmsd")
+
+
+@query(
+    _PAIR_RMSD
+    + """, l AS (SELECT label, avg(rmsd) AS m, sum(rmsd) AS s, count(*) AS n FROM pairs GROUP BY 1)
+SELECT round(sum(s) / sum(n), 6) AS pair_weighted, round(avg(m), 6) AS cluster_weighted, CAST(sum(n) AS BIGINT) AS pairs, round((SELECT sum(n) FROM (SELECT n FROM l ORDER BY n DESC, label LIMIT 2)) / sum(n)::DOUBLE, 6) AS top2_share FROM l"""
+)
 def rmsd_weighting(spark, sf):
-    points = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice(F.col("embedding").cast("array<double>"), i * 4 + 1, F.lit(3)))
-    rows = table(spark, sf, "embeddings").select("vec_id", F.concat_ws("-", "label", F.floor(F.col("vec_id") / 100)).alias("cluster"), points.alias("points"))
-    return rounded(geometry.weighted_means(geometry.pair_rmsd(rows, "cluster", "vec_id", "points"), "cluster"), "pair_weighted", "cluster_weighted", "top2_share")
+    return rounded(geometry.weighted_means(_label_pairs(spark, sf), "label"), "pair_weighted", "cluster_weighted", "top2_share")
 
 
 _BOOT = 200

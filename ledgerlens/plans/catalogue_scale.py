@@ -10,7 +10,7 @@ from ledgerlens.functions import runs as R
 from ledgerlens.functions import stats as S
 from ledgerlens.functions.ranks import quantiles
 from ledgerlens.operators import align, dedup, geometry
-from ledgerlens.plans import compare
+from ledgerlens.plans import audits, compare
 from ledgerlens.plans.catalogue import query, rounded
 from ledgerlens.session import table
 
@@ -146,3 +146,28 @@ def supplier_lines(spark, sf):
     k = F.concat_ws("-", "l_orderkey", "l_linenumber").alias("k")
     rows = table(spark, sf, "lineitem").select("l_suppkey", k, F.col("l_shipdate").cast("string").alias("d"))
     return compare.random_representatives(rows, "l_suppkey", "k", 25, "d")
+
+
+_TIERS = ("R", "A")
+
+
+@query("""
+WITH l AS (SELECT l_returnflag AS tier, l_returnflag <> 'N' AS flag, l_suppkey AS name, l_partkey || '-' || l_suppkey AS pair, l_orderkey AS s0, l_orderkey || '-' || l_linenumber AS s, CAST(l_quantity AS DOUBLE) AS y, l_linestatus AS c FROM lineitem),
+g AS (SELECT tier AS item, count(*) AS n, count(DISTINCT pair) AS u FROM l WHERE flag GROUP BY 1 UNION ALL SELECT 'any', count(*), count(DISTINCT pair) FROM l WHERE flag UNION ALL SELECT 'all', count(*), count(DISTINCT pair) FROM l),
+t AS (SELECT n AS rows, u AS uniques FROM g WHERE item = 'all'),
+a AS (SELECT count(DISTINCT s0) AS k FROM l WHERE flag AND name IS NOT NULL GROUP BY name), b AS (SELECT count(DISTINCT name) AS k FROM l WHERE flag GROUP BY s),
+m AS (SELECT avg(y) FILTER (tier = 'R') AS first, avg(y) FILTER (tier <> 'R') AS others FROM l),
+d AS (SELECT y - avg(y) OVER w AS y, (tier = 'R')::INT - avg((tier = 'R')::INT) OVER w AS x FROM l WINDOW w AS (PARTITION BY c)),
+o AS (SELECT sum(x * y) / sum(x * x) AS beta, sum(x * x) AS sxx, sum(y * y) AS syy, count(*) AS n FROM d),
+e AS (SELECT beta, n, 1.96 * sqrt((syy - beta * beta * sxx) / (n - 1 - (SELECT count(DISTINCT c) FROM l)) / sxx) AS half FROM o),
+r AS (SELECT 'counts' AS section, item, unnest(['n_rows', 'n_unique', 'percent_of_rows', 'percent_of_unique']) AS metric, unnest([n::DOUBLE, u::DOUBLE, 100.0 * n / rows, 100.0 * u / uniques]) AS value FROM g, t
+UNION ALL SELECT 'mapping', 'names', unnest(['names', 'names_of_several', 'most']), unnest([count(*)::DOUBLE, (count(*) FILTER (k > 1))::DOUBLE, max(k)::DOUBLE]) FROM a
+UNION ALL SELECT 'mapping', 'structures', 'structures_of_several', (count(*) FILTER (k > 1))::DOUBLE FROM b
+UNION ALL SELECT 'length', 'R', unnest(['mean', 'mean_of_others', 'difference']), unnest([first, others, first - others]) FROM m
+UNION ALL SELECT 'length', 'R', unnest(['adjusted', 'adjusted_low', 'adjusted_high', 'adjusted_rows']), unnest([beta, beta - half, beta + half, n::DOUBLE]) FROM e)
+SELECT section, item, metric, round(value, 5) AS value FROM r""")
+def line_tier_report(spark, sf):
+    """Returned and accepted lines as tiers; the rows of the drawn interval are tested apart."""
+    rows = table(spark, sf, "lineitem").withColumn("flag", F.col("l_returnflag") != "N")
+    found = audits.tier_report(rows, _TIERS, ["l_partkey", "l_suppkey"], "l_suppkey", ["l_orderkey", "l_linenumber"], "l_quantity", {"status": F.col("l_linestatus")}, "l_returnflag", "flag", 1000)
+    return rounded(found.where("metric NOT IN ('low', 'median', 'high')"), "value", digits=5)

@@ -10,6 +10,7 @@ def text_schema(*names: str) -> StructType:
     return StructType([StructField(n, StringType()) for n in names])
 
 
+#: columns and fields of the input files (fixed values)
 SUMMARY = text_schema("pdb", "Hchain", "Lchain", "model", "antigen_chain", "antigen_type", "antigen_name", "date", "organism", "heavy_species", "light_species", "antigen_species", "resolution", "method", "heavy_subclass", "light_subclass", "light_ctype")
 SUMMARY_OPTIONAL = ("scfv", "engineered")
 THERAPEUTICS = text_schema("Therapeutic", "Format", "Highest_Clin_Trial (Feb '25)", "Est. Status", "100% SI Structure", "99% SI Structure", "95-98% SI Structure", "Target", "Genetics (Bispecifics delimited with semicolon)")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import text as T
@@ -128,6 +129,30 @@ def probe(value: dict | None, *paths: str):
     return None
 
 
+def probe_files(spark: SparkSession, pattern: str, *paths: str) -> tuple[str, str, object] | None:
+    """(file, path, value) of the first JSON file, by name, that has one of several dotted paths.
+
+    Files of a glob are parsed by tasks, whole; those that are no JSON are passed over, and a
+    JSON null is absent. Only the value found comes to the driver.
+    """
+    try:
+        texts = spark.read.text(pattern, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    parsed = texts.select(F.input_file_name().alias("file"), F.try_parse_json("value").alias("v"))
+
+    def at(path: str) -> Column:
+        steps = "$" + "".join(f"['{step}']" for step in path.split("."))
+        value = F.try_variant_get("v", steps, "variant")
+        return F.when(value.isNotNull() & ~F.is_variant_null(value), F.struct(F.lit(path).alias("path"), F.to_json(value).alias("value")))
+
+    hits = parsed.select("file", F.coalesce(*[at(p) for p in paths]).alias("hit")).where("hit IS NOT NULL")
+    first = hits.orderBy("file").limit(1).select("file", "hit.*").first()
+    return first and (first["file"], first["path"], json.loads(first["value"]))
+
+
 def read_repertoire(spark: SparkSession, root: str) -> tuple[DataFrame, dict]:
     """All splits of a repertoire as one frame, and their common metadata."""
     dirs = find_splits(spark, root)

@@ -299,3 +299,46 @@ def test_samples_with_missing_fields_are_counted(spark, tmp_path):
     found = readers.read_samples(spark, path)
     assert {r["pdb_id"]: r["schema_error"] for r in found.collect()} == {"1abc": None, "2abc": "missing heavy", "3abc": None}
     assert readers.load_counts(found).first().asDict() == {"scanned": 3, "schema_errors": 1}
+
+
+def test_tier_report(spark):
+    import math
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(400):
+        tier = [None, "100", "99", "x"][i % 4]
+        species = ["human", "mouse", None][i % 3] if i % 50 else None
+        length = None if i == 7 else math.nan if i == 11 else float(15 + rng.integers(0, 6) - 2 * (tier == "100") + (species == "mouse"))
+        rows.append((tier, tier is not None, f"n{i % 9}" if i % 20 else None, f"H{i % 30}" if i % 31 else None, None, f"p{i % 40}", f"c{i % 80}", length, species, i % 5 == 0))
+    df = spark.createDataFrame(rows, "tier string, is_therapeutic boolean, therapeutic string, h string, l string, pdb string, chain string, y double, species string, light boolean")
+    given = (["h", "l"], "therapeutic", ["pdb", "chain"], "y", {"species": F.col("species"), "light": F.col("light")})
+    got = {(r["section"], r["item"], r["metric"]): r["value"] for r in audits.tier_report(df, ("100", "99", "95-98"), *given, replicates=400).collect()}
+    for item, keep in {"100": lambda r: r[0] == "100", "99": lambda r: r[0] == "99", "95-98": lambda r: False, "any": lambda r: r[1], "all": lambda r: True}.items():
+        kept = [r for r in rows if keep(r)]
+        assert got["counts", item, "n_rows"] == len(kept) and got["counts", item, "n_unique"] == len({r[3:5] for r in kept})
+        assert got["counts", item, "percent_of_rows"] == pytest.approx(len(kept) / 4)
+    names, chains = {}, {}
+    for r in rows:
+        if r[1]:
+            chains.setdefault(r[5:7], set()).add(r[2])
+            if r[2]:
+                names.setdefault(r[2], set()).add(r[5])
+    assert got["mapping", "names", "names"] == len(names) and got["mapping", "names", "most"] == max(map(len, names.values()))
+    assert got["mapping", "names", "names_of_several"] == sum(len(v) > 1 for v in names.values())
+    assert got["mapping", "structures", "structures_of_several"] == sum(len(v - {None}) > 1 for v in chains.values())
+    measured = [r for r in rows if r[7] is not None and not math.isnan(r[7])]
+    a, b = ([r[7] for r in measured if (r[0] == "100") is x] for x in (True, False))
+    length = {m: v for (s, _, m), v in got.items() if s == "length"}
+    assert length["difference"] == pytest.approx(np.mean(a) - np.mean(b)) and length["mean"] == pytest.approx(np.mean(a))
+    error = np.sqrt(np.var(a) / len(a) + np.var(b) / len(b))
+    assert length["low"] < length["difference"] < length["high"] and 0.8 < (length["high"] - length["low"]) / (2 * 1.96 * error) < 1.2
+    full = [r for r in measured if r[8] is not None]
+    x = np.array([[1, r[0] == "100", r[8] == "mouse", r[9]] for r in full], float)
+    assert length["adjusted"] == pytest.approx(np.linalg.lstsq(x, np.array([r[7] for r in full]), rcond=None)[0][1]) and length["adjusted_rows"] == len(full)
+
+
+def test_tier_report_of_nothing(spark):
+    df = spark.createDataFrame([], "tier string, is_therapeutic boolean, therapeutic string, h string, pdb string, y double")
+    got = {(r["item"], r["metric"]): r["value"] for r in audits.tier_report(df, ("100",), ["h"], "therapeutic", ["pdb"], "y", {}, replicates=8).collect()}
+    assert got["100", "n_rows"] == 0 and got["all", "percent_of_rows"] is None and got["names", "most"] == 0 and got["100", "difference"] is None and got["100", "adjusted"] is None

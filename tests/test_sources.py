@@ -110,6 +110,34 @@ def test_sinks(spark, tmp_path):
     assert "## s\n\nbody" in sinks.write_markdown(spark, f"file://{tmp_path}/m.md", "t", [("s", "body")])
 
 
+def test_probe_files(spark, tmp_path):
+    found = lambda: readers.probe_files(spark, f"file://{tmp_path}/r*.json", "C.rows", "top.A.rows")
+    assert found() is None
+    (tmp_path / "r1.json").write_text('{"C": {"rows": [1')
+    (tmp_path / "r2.json").write_text('{"C": {"rows": null}, "other": 1}')
+    (tmp_path / "x0.json").write_text('{"C": {"rows": [9]}}')
+    assert found() is None
+    (tmp_path / "r4.json").write_text('{"C": {"rows": [4]}}')
+    (tmp_path / "r3.json").write_text('{\n "top": {"A": {"rows": [{"aa": "A", "share": 0.5}]}}}')
+    file, path, value = found()
+    assert file.endswith("r3.json") and path == "top.A.rows" and value == [{"aa": "A", "share": 0.5}]
+
+
+def test_versions_count_what_was_written(spark, tmp_path):
+    empty = spark.createDataFrame([], "a int")
+    assert sinks.new_version(empty, f"file://{tmp_path}/e").endswith("v00001")
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for f in frames:
+            calls.add(len(f))
+            yield f
+
+    df = spark.range(100).repartition(3).mapInPandas(seen, "id long")
+    path = sinks.new_version(df, f"file://{tmp_path}/n")
+    assert spark.read.parquet(path).count() == 100 and calls.value == 100
+
+
 def test_contracts(spark):
     df = spark.createDataFrame([("p", True, None)], "pdb_id string, paired boolean, heavy string")
     with pytest.raises(C.ContractError):
