@@ -6,7 +6,7 @@ Superposition is an Arrow kernel that sees one batch of pairs; all else is expre
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,25 +39,28 @@ def pair_rmsd(df: DataFrame, cluster: str, key: str, points: str, tile: int = 10
     """(cluster, a, b, rmsd) of pairs of equal length; clusters over ``max_size`` are left out.
 
     Which ones are left out is told by ``skipped_clusters``; a cluster's pairs are met in tiles of
-    ``tile`` rows by as many.
+    ``tile`` rows by as many. Points are three numbers each; rows with a null point are left out.
     """
-    rows = df.where(F.col(points).isNotNull()).withColumn("_len", F.size(points))
+    flat = F.flatten(F.col(points).cast("array<array<double>>"))  # one buffer of numbers for the kernel
+    rows = df.withColumn("_len", F.size(points)).withColumn("_flat", flat).where(F.col("_flat").isNotNull() & (F.col("_len") >= 3))
     if max_size is not None:
         rows = rows.join(skipped_clusters(rows, cluster, max_size).select(cluster), cluster, "left_anti")
-    pairs = pairs_within(rows, [cluster, "_len"], key, points, tile).where("_len >= 3")
-
-    def run(frames):
-        for f in frames:
-            out = np.empty(len(f))
-            for n, at in f.groupby("_len").indices.items():
+    pairs = pairs_within(rows, [cluster, "_len"], key, "_flat", tile)
+
+    def run(batches):
+        for batch in batches:
+            lengths = batch.column("_len").to_numpy()
+            out = np.empty(len(lengths))
+            for n in np.unique(lengths):
+                at = np.flatnonzero(lengths == n)
                 for i in range(0, len(at), 2048):
-                    part = f.iloc[at[i : i + 2048]]
-                    p, q = (np.stack([np.stack(x) for x in part[c]]).astype(float) for c in ("value_a", "value_b"))
-                    out[at[i : i + 2048]] = kabsch_rmsd(p, q)
-            yield pd.DataFrame({cluster: f[cluster], "a": f["a"], "b": f["b"], "rmsd": out})
+                    part = at[i : i + 2048]
+                    p, q = (batch.column(c).take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).reshape(len(part), n, 3) for c in ("value_a", "value_b"))
+                    out[part] = kabsch_rmsd(p, q)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (cluster, "a", "b")], pa.array(out)], [cluster, "a", "b", "rmsd"])
 
     kind = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return pairs.mapInPandas(run, f"`{cluster}` {kind[cluster]}, a {kind[key]}, b {kind[key]}, rmsd double")
+    return pairs.mapInArrow(run, f"`{cluster}` {kind[cluster]}, a {kind[key]}, b {kind[key]}, rmsd double")
 
 
 def unique_pairs(df: DataFrame, cluster: str, key: str, heavy: str, light: str) -> DataFrame:

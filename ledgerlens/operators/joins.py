@@ -96,6 +96,9 @@ def pairs_within(df: DataFrame, cluster: list[str], key: str, value: str, tile:
     rows = rows.withColumn("_blocks", F.ceil(F.coalesce("_rows", F.lit(1)) / tile).cast("int")).withColumn("_own", F.pmod(F.xxhash64("_k"), F.col("_blocks")).cast("int"))
     a = rows.select(*cluster, F.col("_k").alias("_ka"), F.col("_v").alias("_va"), F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_blocks") - 1)).alias("_j"))
     b = rows.select(*cluster, F.col("_k").alias("_kb"), F.col("_v").alias("_vb"), F.explode(F.sequence(F.lit(0), "_own")).alias("_i"), F.col("_own").alias("_j"))
+    # as many tasks as shuffles have: rows are few beside their pairs, so sizes alone would merge the tiles
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = (x.repartition(tasks, *cluster, "_i", "_j") for x in (a, b))
     # a tile off the diagonal has each pair once, in either order
     met = a.join(b, [*cluster, "_i", "_j"]).where("_ka < _kb OR (_i < _j AND _ka > _kb)")
     first = F.col("_ka") < F.col("_kb")

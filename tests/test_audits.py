@@ -342,3 +342,15 @@ def test_tier_report_of_nothing(spark):
     df = spark.createDataFrame([], "tier string, is_therapeutic boolean, therapeutic string, h string, pdb string, y double")
     got = {(r["item"], r["metric"]): r["value"] for r in audits.tier_report(df, ("100",), ["h"], "therapeutic", ["pdb"], "y", {}, replicates=8).collect()}
     assert got["100", "n_rows"] == 0 and got["all", "percent_of_rows"] is None and got["names", "most"] == 0 and got["100", "difference"] is None and got["100", "adjusted"] is None
+
+
+def test_pair_rmsd_of_rotated_copies_and_null_points(spark):
+    rng = np.random.default_rng(2)
+    one = rng.normal(size=(5, 3))
+    turn = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+    turn *= np.sign(np.linalg.det(turn))
+    rows = [("a", 1, one.tolist()), ("a", 2, (one @ turn + 7).tolist()), ("a", 3, (one * [1, 1, -1]).tolist()), ("a", 4, [*one.tolist()[:4], None]), ("a", 5, one.tolist()[:2]), ("a", 6, None), (None, 7, one.tolist()), (None, 8, one.tolist())]
+    df = spark.createDataFrame(rows, "c string, k int, p array<array<double>>")
+    found = {(r["a"], r["b"]): r["rmsd"] for r in geometry.pair_rmsd(df, "c", "k", "p").collect()}
+    assert found.keys() == {(1, 2), (1, 3), (2, 3)} and found[1, 2] < 1e-6 < 0.01 < found[1, 3]
+    assert found[1, 3] == pytest.approx(found[2, 3]) and geometry.pair_rmsd(df.limit(0), "c", "k", "p").count() == 0
