@@ -205,8 +205,9 @@ def predict(df: DataFrame, net: dict | None, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` to each row."""
     own = [c for c in df.columns if c not in ("lang_pred", "score")]
     if net is None:
-        return df.select(*own, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    given = df.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+        return df.select(*[F.col(f"`{c}`") for c in own], F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    letters = "_letters" + "_" * max(map(len, own))  # no column's name
+    given = df.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)).alias(letters))
     shared = df.sparkSession.sparkContext.broadcast(net)  # a few MB, whatever the input
     at = own.index(text)
 

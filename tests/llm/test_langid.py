@@ -53,3 +53,14 @@ def test_no_labels(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert langid.train(df) is None
     assert langid.predict(df, None).first()["lang_pred"] == "und"
+
+
+def test_extra_columns_with_clashing_names(spark, rows):
+    df = spark.createDataFrame([(*r, "x", "y", 9) for r in rows], "doc_id long, text string, lang string, _letters string, lang_pred string, score int")
+    plain = df.select("doc_id", "text", "lang")
+    net = langid.train(df)
+    found = langid.predict(df, net)
+    assert found.columns == ["doc_id", "text", "lang", "_letters", "lang_pred", "score"]
+    kept = lambda d: {r["doc_id"]: (r["lang_pred"], round(r["score"], 5)) for r in d.collect()}
+    assert kept(found) == kept(langid.predict(plain, langid.train(plain))) and {r["_letters"] for r in found.collect()} == {"x"}
+    assert {r["lang_pred"] for r in langid.predict(df, None).collect()} == {"und"} and langid.predict(df.limit(0), net).count() == 0
