@@ -11,6 +11,8 @@ from ledgerlens.plans import compare
 from ledgerlens.sources.stage import checkpointed
 
 SPLITS = (("train", 0.8), ("val", 0.1), ("test", 0.1))
+#: a value of more than one in so many edges is joined apart
+HOT = 1000
 
 
 def relation_edges(df: DataFrame, key: str, relations: list[str]) -> DataFrame:
@@ -26,24 +28,32 @@ def components(df: DataFrame, key: str, relations: list[str], rounds: int = 200)
     pairs. Each round takes the least label through values, then jumps to the label's own
     label, so chains shorten geometrically; it ends when nothing changes, and fails if
     ``rounds`` are not enough.
+
+    Frames that grow with rows are joined by sorting: the planner takes them for as small as
+    their compressed files and would send them through the driver. Only values of more than
+    one in ``HOT`` edges, which are fewer than ``HOT``, are broadcast, so none is one task's.
     """
-    edges = relation_edges(df, key, relations)
-    shared = edges.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
-    edges = checkpointed(edges.join(shared, "v"))
+    edges = checkpointed(relation_edges(df, key, relations))
+    shared = checkpointed(edges.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").withColumn("hot", F.col("n") * HOT > edges.count()))
+    often = shared.where("hot").select("v", "hot")
+    marked = edges.join(F.broadcast(often), "v", "left")
+    rest = marked.where("hot IS NULL").drop("hot").join(shared.where("NOT hot").select("v", "hot").hint("merge"), "v")
+    edges = checkpointed(marked.where("hot").unionByName(rest))
     labels = checkpointed(edges.select("k").distinct().select("k", F.col("k").alias("c")))
     for _ in range(rounds):
-        by_value = edges.join(labels, "k").groupBy("v").agg(F.min("c").alias("c"))
-        least = edges.join(by_value, "v").groupBy("k").agg(F.min("c").alias("m"))
+        by_value = edges.join(labels.hint("merge"), "k").groupBy("v", "hot").agg(F.min("c").alias("c"))
+        met = edges.where("hot").join(F.broadcast(by_value.where("hot").drop("hot")), "v").unionByName(edges.where("NOT hot").join(by_value.where("NOT hot").drop("hot").hint("merge"), "v"))
+        least = met.groupBy("k").agg(F.min("c").alias("m"))
         jump = labels.select(F.col("k").alias("m"), F.col("c").alias("up"))
-        moved = least.join(jump, "m", "left").select("k", F.least("m", F.coalesce("up", "m")).alias("m"))
-        after = checkpointed(labels.join(moved, "k").select("k", F.least("c", "m").alias("c"), (F.least("c", "m") < F.col("c")).alias("new")))
+        moved = least.join(jump.hint("merge"), "m", "left").select("k", F.least("m", F.coalesce("up", "m")).alias("m"))
+        after = checkpointed(labels.join(moved.hint("merge"), "k").select("k", F.least("c", "m").alias("c"), (F.least("c", "m") < F.col("c")).alias("new")))
         labels = after.select("k", "c")
         if not after.where("new").limit(1).count():
             break
     else:
         raise RuntimeError(f"components have not settled in {rounds} rounds")
     found = labels.select(F.col("k").alias(key), F.col("c").alias("component"))
-    return df.join(found, key, "left").withColumn("component", F.coalesce("component", key))
+    return df.join(found.hint("merge"), key, "left").withColumn("component", F.coalesce("component", key))
 
 
 def greedy_runs(sizes: list[tuple[int, int]], splits: tuple[tuple[str, float], ...] = SPLITS) -> list[tuple[int, int, int, list[str]]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -16,7 +17,8 @@ from ledgerlens.functions import metrics as M
 from ledgerlens.functions import ranks
 from ledgerlens.functions import stats as S
 from ledgerlens.functions import text as T
-from ledgerlens.operators import align, dedup, geometry
+from ledgerlens.operators import align, dedup, geometry, graph
+from ledgerlens.plans import catalogue, catalogue_rows  # noqa: F401  (the latter adds to the former)
 
 
 def brute_pairs(texts, identity, coverage=0.8):
@@ -288,3 +290,30 @@ def test_assignment_of_chains_in_one_call(spark):
     assert (b["light"]["locus"], b["light"]["v_gene"], b["heavy"]["v_family"], b["heavy"]["v_coverage"]) == ("IGK", "IGKV1-1", None, 1.0)
     assert c["heavy"] is None and (c["light"]["locus"], c["light"]["v_gene"], c["light"]["v_identity"]) == (None, None, 0.0) and "neither" in c["light"]["note"]
     assert got["d"]["heavy"] is None and got["d"]["light"] is None and got["e"]["light"] is None
+
+
+@pytest.mark.parametrize("query", ["components_cut", "largest_component", "connected_components"])
+def test_rows_of_components_are_not_broadcast(spark, query, monkeypatch):
+    """Sizes of compressed files would let the planner send all rows through the driver."""
+    plans, written = [], graph.checkpointed
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(graph, "checkpointed", seen)
+    found = catalogue.QUERIES[query](spark, "/root/testdata/sf0.001")
+    plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+    joins = [line for p in plans for line in p.splitlines() if re.search(r"\bJoin (Inner|LeftOuter|LeftSemi)", line)]
+    assert joins and not [x for x in joins if "strategy=" not in x]
+    assert all("broadcast" not in x for x in joins if re.search(r"\(k#\d+L? = k#|p_partkey#\d+L? = p_partkey#|\(m#\d+L? = m#", x))
+
+
+def test_components_with_values_of_most_rows(spark):
+    """A value of more than a thousandth of the edges is joined apart from the rest."""
+    rows = [(i, 0 if i % 3 else i, i // 2 + 10_000) for i in range(1, 4001)]
+    df = spark.createDataFrame(rows, "id long, a int, b int")
+    found = {r["id"]: r["component"] for r in graph.components(df, "id", ["a", "b"]).collect()}
+    links = {i: {j for j in (i ^ 1, i) if 1 <= j <= 4000} for i, *_ in rows}
+    want = {i: 1 if any(j % 3 for j in links[i]) else min(links[i]) for i in links}
+    assert found == want
