@@ -317,3 +317,20 @@ def test_components_with_values_of_most_rows(spark):
     links = {i: {j for j in (i ^ 1, i) if 1 <= j <= 4000} for i, *_ in rows}
     want = {i: 1 if any(j % 3 for j in links[i]) else min(links[i]) for i in links}
     assert found == want
+
+
+def test_small_structures_meet_without_cells(spark, monkeypatch):
+    """Only structures of many points are cut in cells, which send 27 rows for each atom; both ways agree."""
+    rng = np.random.default_rng(8)
+    atoms = [("large" if i % 3 else "small", i, "A", *map(float, rng.normal(size=3) * 9)) for i in range(300)]
+    targets = [("large" if i % 5 else "small", *map(float, rng.normal(size=3) * 9)) for i in range(200)]
+    a = spark.createDataFrame(atoms, "pdb_id string, residue int, aa string, x double, y double, z double")
+    t = spark.createDataFrame(targets, "pdb_id string, x double, y double, z double")
+    for found in (geometry.contact_distances(a, t), geometry.contacts_within(a, t, 4.5)):
+        assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(geometry, "SMALL", 200)
+    assert geometry.contacts_within(a, t, 4.5)._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    want = brute_contacts(atoms, targets)
+    got = {tuple(r[:3]): r["min_dist"] for r in geometry.contact_distances(a, t, cell=2.0).collect()}
+    near = {tuple(r[:3]): r["min_dist"] for r in geometry.contacts_within(a, t, 4.5).collect()}
+    assert got == pytest.approx(want) and near == pytest.approx({k: d for k, d in want.items() if d <= 4.5})
