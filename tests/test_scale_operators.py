@@ -334,3 +334,22 @@ def test_small_structures_meet_without_cells(spark, monkeypatch):
     got = {tuple(r[:3]): r["min_dist"] for r in geometry.contact_distances(a, t, cell=2.0).collect()}
     near = {tuple(r[:3]): r["min_dist"] for r in geometry.contacts_within(a, t, 4.5).collect()}
     assert got == pytest.approx(want) and near == pytest.approx({k: d for k, d in want.items() if d <= 4.5})
+
+
+def test_tiles_of_rmsds_equal_the_decomposition(spark, monkeypatch):
+    """Pairs are made in the kernel, not joined; mirror images, lines, planes and equal sets keep their digits."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 6, 3))
+    base[5:10, :, 1:] = 0
+    base[10:15, :, 2] = 0
+    base[15:20] = base[20:25] * [1, 1, -1]
+    base[25] = base[26]
+    df = spark.createDataFrame([("c", i, p.tolist()) for i, p in enumerate(base)], "c string, k long, p array<array<double>>")
+    monkeypatch.setattr(geometry, "STEP", 50)
+    monkeypatch.setattr(geometry, "SENT", 70)
+    found = geometry.pair_rmsd(df, "c", "k", "p", tile=16)
+    assert "Join Inner" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["a"], r["b"]): r["rmsd"] for r in found.collect()}
+    a, b = np.triu_indices(40, 1)
+    want = dict(zip(zip(a.tolist(), b.tolist()), geometry.kabsch_rmsd(base[a], base[b]).tolist()))
+    assert got == pytest.approx(want, abs=1e-6)
