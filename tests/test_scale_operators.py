@@ -353,3 +353,10 @@ def test_tiles_of_rmsds_equal_the_decomposition(spark, monkeypatch):
     a, b = np.triu_indices(40, 1)
     want = dict(zip(zip(a.tolist(), b.tolist()), geometry.kabsch_rmsd(base[a], base[b]).tolist()))
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_a_report_without_quantiles_writes_no_pairs(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(ranks, "checkpointed", lambda df: written.append(df) or df)
+    assert catalogue.QUERIES["backbone_report"](spark, "/root/testdata/sf0.001").columns == ["n", "mean", "max", "below_1", "below_2"]
+    assert not written
