@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import metrics as M
+from ledgerlens.operators import edits
 from ledgerlens.operators.joins import keep_one
 from ledgerlens.plans import compare
 from ledgerlens.sources.stage import checkpointed
@@ -24,6 +25,8 @@ from ledgerlens.sources.stage import checkpointed
 BLOCK = 4096
 #: places of segments in a text, about, beyond which it is compared in blocks
 PROBES = 8192
+#: texts that candidates are counted on, and pairs of them for each candidate, below which all are compared in tiles
+COUNTED, CROWD = 2048, 16
 
 
 def exact_clusters(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -76,14 +79,8 @@ def _cut(identity: float, n: Column, i: Column) -> tuple[Column, Column]:
     return i * short + F.greatest(i - first_long, F.lit(0)), short + (i >= first_long).cast("int")
 
 
-def segment_pairs(probes: DataFrame, index: DataFrame, identity: float, reach: float) -> DataFrame:
-    """(a, b): ids of a probing text and of one that is as long or longer, that share a segment.
-
-    Both have ``id``, ``t`` and ``n`` letters. With d edits at most, one of d + 1 segments of
-    the longer text stands unchanged in the shorter, with no more edits before it than there
-    are segments before it, and no more after it than after it; so it is looked for at a few
-    shifts only. The segments are an inverted index by length, number and letters.
-    """
+def _segments(probes: DataFrame, index: DataFrame, identity: float, reach: float) -> tuple[DataFrame, DataFrame]:
+    """(a, n, i, s) of the segments that texts ask for, and (b, n, i, s) of those that texts have."""
     i = F.explode(F.sequence(F.lit(0), _edits(identity, F.col("n"))))
     start, size = _cut(identity, F.col("n"), F.col("i"))
     held = index.select(F.col("id").alias("b"), "t", "n", i.alias("i")).select("b", "n", "i", F.substring(F.col("t"), start + 1, size).alias("s"))
@@ -95,17 +92,33 @@ def segment_pairs(probes: DataFrame, index: DataFrame, identity: float, reach: f
     high = F.least(F.col("m") - size, start + F.col("i"), start - (F.col("n") - F.col("m")) + spare)
     asks = asks.withColumn("size", size).withColumn("low", low).withColumn("high", high).where("low <= high")
     asks = asks.select("a", "t", "n", "i", "size", F.explode(F.sequence("low", "high")).alias("at"))
-    asks = asks.select("a", "n", "i", F.substring(F.col("t"), F.col("at") + 1, F.col("size")).alias("s")).distinct()
+    return asks.select("a", "n", "i", F.substring(F.col("t"), F.col("at") + 1, F.col("size")).alias("s")).distinct(), held
+
+
+def segment_pairs(probes: DataFrame, index: DataFrame, identity: float, reach: float) -> DataFrame:
+    """(a, b): ids of a probing text and of one that is as long or longer, that share a segment.
+
+    Both have ``id``, ``t`` and ``n`` letters. With d edits at most, one of d + 1 segments of
+    the longer text stands unchanged in the shorter, with no more edits before it than there
+    are segments before it, and no more after it than after it; so it is looked for at a few
+    shifts only. The segments are an inverted index by length, number and letters.
+    """
+    asks, held = _segments(probes, index, identity, reach)
     return asks.join(held, ["n", "i", "s"]).where("a <> b").select("a", "b")
 
 
-def gram_pairs(words: DataFrame, k: int) -> DataFrame:
-    """(a, b): ids of texts that share one of their ``keys`` rarest ``grams``."""
+def _rare_grams(words: DataFrame) -> DataFrame:
+    """(id, n, g): the ``keys`` rarest ``grams`` of each text."""
     # rarest grams first, so that the listed ones are held by few texts
     held = words.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("held"))
     # a text's grams are no more than its letters
     ranked = words.select("id", "n", "keys", F.explode("grams").alias("g")).join(held, "g").groupBy("id", "n", "keys").agg(F.array_sort(F.collect_list(F.struct("held", "g"))).alias("all"))
-    rows = ranked.select("id", "n", F.explode(F.slice("all", F.lit(1), F.least(F.size("all"), "keys"))["g"]).alias("g"))
+    return ranked.select("id", "n", F.explode(F.slice("all", F.lit(1), F.least(F.size("all"), "keys"))["g"]).alias("g"))
+
+
+def gram_pairs(words: DataFrame, k: int) -> DataFrame:
+    """(a, b): ids of texts that share one of their ``keys`` rarest ``grams``."""
+    rows = _rare_grams(words)
     one, two = rows.select(F.col("id").alias("a"), F.col("n").alias("na"), "g"), rows.select(F.col("id").alias("b"), F.col("n").alias("nb"), "g")
     return one.join(two, "g").where("a < b").select("a", "b", "na", "nb")
 
@@ -123,10 +136,63 @@ def block_pairs(asking: DataFrame, words: DataFrame, reach: float) -> DataFrame:
     return asks.join(dealt.select("b", "n", "x", "y"), ["n", "x", "y"]).where("a <> b").select("a", "b")
 
 
-def similar_pairs(df: DataFrame, text: str, identity: float, coverage: float = 0.8, k: int = 3) -> DataFrame:
+def _texts(df: DataFrame, text: str) -> DataFrame:
+    """(t, n): different texts of a letter at least, and their letters."""
+    return df.select(text).where(F.col(text).isNotNull() & (F.col(text) != "")).distinct().select(F.col(text).alias("t"), F.length(text).alias("n"))
+
+
+def _filtered(words: DataFrame, identity: float, reach: float, k: int) -> DataFrame:
+    """Add what the filters of candidates need: grams, keys, few (grams for these), brief (segments may be looked for)."""
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - k + 1, F.lit(1))), lambda i: F.substring("t", i, F.lit(k))))
+    keys = (F.floor((1 - identity) * F.col("n") / identity + 1e-9) * k + 1).cast("int")
+    most = _longest(reach, F.col("n"))
+    d = _edits(identity, most)
+    return words.withColumn("grams", grams).withColumn("keys", keys).withColumn("few", F.size("grams") < F.col("keys")).withColumn("brief", (most - F.col("n") + 1) * (d * d / 2 + d + 1) <= PROBES)
+
+
+def crowded(words: DataFrame, identity: float, reach: float, k: int = 3) -> bool:
+    """Whether the filters would make more candidates than one in ``CROWD`` pairs of texts (t, n).
+
+    They are counted, by key and not as pairs, on about ``COUNTED`` texts chosen by a hash. This decides
+    how pairs are found, not which: both ways are exact.
+    """
+    many = words.count()
+    chosen = words.where(F.pmod(F.xxhash64(F.lit("crowd"), "t"), F.lit(1 << 20)) < int(min(1.0, COUNTED / max(1, many)) * (1 << 20)))
+    chosen = checkpointed(chosen.withColumn("id", F.monotonically_increasing_id()))
+    rows, least = _filtered(chosen, identity, reach, k), chosen.count() * (chosen.count() - 1) / 2 / CROWD
+    n = F.col("count").cast("double")
+    if (_rare_grams(rows).groupBy("g").count().agg(F.sum(n * (n - 1) / 2)).first()[0] or 0) > least:
+        return True
+    few, brief, met = rows.where("few"), rows.where("brief"), 0
+    if few.isEmpty():
+        return False
+    for probes, index in ((brief.where("few"), rows), (brief.where("NOT few"), few)):
+        asks, held = (d.groupBy("n", "i", "s").agg(F.count("*").cast("double").alias(c)) for d, c in zip(_segments(probes, index, identity, reach), "xy"))
+        met += asks.join(held, ["n", "i", "s"]).agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0
+    long = few.where("NOT brief").count()  # these meet all of a length within reach
+    return met + long * chosen.count() > least
+
+
+def similar_pairs(df: DataFrame, text: str, identity: float, coverage: float = 0.8, k: int = 3, tiles: bool | None = None) -> DataFrame:
     """(a, b, identity), a < b, of different texts with at least that identity.
 
-    Identity is 1 - edit distance / longer length. Candidates come from three exact filters:
+    Identity is 1 - edit distance / longer length. Where most texts are candidates of many others
+    (``crowded``), candidates are more work than distances: texts of at most ``edits.LETTERS``
+    letters are then compared in tiles, which shuffles texts and no pairs, and only the others go
+    on as below. ``tiles`` says so, or not, whatever the texts.
+    """
+    reach, words = max(coverage, identity), checkpointed(_texts(df, text))
+    if not (crowded(words, identity, reach, k) if tiles is None else tiles):
+        return _candidate_pairs(words, identity, reach, k)
+    pairs = edits.pairs_in_tiles(words.where(F.col("n") <= edits.LETTERS), identity, reach)
+    if words.where(F.col("n") > edits.LETTERS).isEmpty():
+        return pairs
+    beyond = _candidate_pairs(words.where(F.col("n") >= reach * edits.LETTERS - 1e-9), identity, reach, k)
+    return pairs.unionByName(beyond.where(F.greatest(F.length("a"), F.length("b")) > edits.LETTERS))
+
+
+def _candidate_pairs(words: DataFrame, identity: float, reach: float, k: int) -> DataFrame:
+    """(a, b, identity) of texts (t, n), a < b. Candidates come from three exact filters:
 
     * Two texts of n letters with identity t differ in at most (1 - t) n places, each of which
       spoils k of the n - k + 1 k-grams; the texts then share one of the first (1 - t) n k + 1
@@ -139,14 +205,7 @@ def similar_pairs(df: DataFrame, text: str, identity: float, coverage: float = 0
 
     Distances are computed in the band that the identity allows.
     """
-    reach = max(coverage, identity)
-    words = df.select(text).where(F.col(text).isNotNull() & (F.col(text) != "")).distinct().select(F.col(text).alias("t"), F.length(text).alias("n"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - k + 1, F.lit(1))), lambda i: F.substring("t", i, F.lit(k))))
-    keys = (F.floor((1 - identity) * F.col("n") / identity + 1e-9) * k + 1).cast("int")
-    words = words.withColumn("grams", grams).withColumn("keys", keys).withColumn("few", F.size("grams") < F.col("keys"))
-    most = _longest(reach, F.col("n"))
-    d = _edits(identity, most)
-    words = checkpointed(words.withColumn("brief", (most - F.col("n") + 1) * (d * d / 2 + d + 1) <= PROBES).withColumn("id", F.monotonically_increasing_id()))
+    words = _filtered(checkpointed(words.withColumn("id", F.monotonically_increasing_id())), identity, reach, k)
     plain = words.select("id", "t", "n", "few", "brief")
     pairs = gram_pairs(words, k).where(F.least("na", "nb") >= F.ceil(reach * F.greatest("na", "nb") - 1e-9)).select("a", "b")
     few = plain.where("few")

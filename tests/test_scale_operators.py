@@ -17,7 +17,7 @@ from ledgerlens.functions import metrics as M
 from ledgerlens.functions import ranks
 from ledgerlens.functions import stats as S
 from ledgerlens.functions import text as T
-from ledgerlens.operators import align, dedup, geometry, graph
+from ledgerlens.operators import align, dedup, edits, geometry, graph
 from ledgerlens.plans import catalogue, catalogue_rows  # noqa: F401  (the latter adds to the former)
 
 
@@ -83,6 +83,40 @@ def test_segments_meet_few_texts(spark):
     assert met < 0.02 * 1500 * 1499 / 2
 
 
+@pytest.mark.parametrize("tiles", [False, True])
+@pytest.mark.parametrize("identity", [0.5, 0.8, 0.95])
+def test_tiles_and_candidates_find_the_same_pairs(spark, monkeypatch, identity, tiles):
+    """Texts of one word of bits, of several, and beyond the letters compared in tiles."""
+    monkeypatch.setattr(edits, "LETTERS", 100)
+    rng = random.Random(7)
+    texts = []
+    for length, letters in ((6, "ab"), (40, "abcd"), (64, "ab"), (90, "ACGT"), (99, "ab"), (110, "ACGT")):
+        base = "".join(rng.choice(letters) for _ in range(length))
+        texts += [base, *(mutated(rng, base, rng.randint(0, max(1, int(0.3 * length))), letters) for _ in range(12))]
+    want = brute_pairs(texts, identity)
+    found = dedup.similar_pairs(spark.createDataFrame([(t,) for t in texts], "t string"), "t", identity, tiles=tiles).collect()
+    assert {(r["a"], r["b"]): round(r["identity"], 9) for r in found} == {p: round(x, 9) for p, x in want.items()} and len(found) == len(want)
+
+
+def crowd(rng, many):
+    """Urls of few hosts, most of which share most grams."""
+    hosts = ["https://blog.tionsh.example.com", "http://blog.thther.example.net", "https://www.ththre.example.net"]
+    return sorted({f"{rng.choice(hosts)}/{rng.choice(['en', 'fr'])}/{rng.randint(1, 9999)}{rng.choice(['', '#top', '?page=2&ref=x'])}" for _ in range(many)})
+
+
+def test_a_crowd_shuffles_no_candidates(spark, monkeypatch):
+    """Where most texts share grams, no pair goes through a shuffle unless it is a result."""
+    rng = random.Random(8)
+    texts = crowd(rng, 300)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    random_texts = spark.createDataFrame([("".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(30)), 30) for _ in range(1500)], "t string, n int")
+    assert dedup.crowded(df.withColumn("n", F.length("t")), 0.8, 0.8) and not dedup.crowded(random_texts, 0.8, 0.8)
+    for name in ("gram_pairs", "segment_pairs", "block_pairs"):
+        monkeypatch.setattr(dedup, name, None)
+    found = {(r["a"], r["b"]) for r in dedup.similar_pairs(df, "t", 0.8).collect()}
+    assert found == set(brute_pairs(texts, 0.8))
+
+
 def test_representatives_are_apart_and_cover_all(spark):
     rng = random.Random(4)
     base = ["".join(rng.choice("ACDEFG") for _ in range(18)) for _ in range(12)]
