@@ -27,6 +27,8 @@ BLOCK = 4096
 PROBES = 8192
 #: texts that candidates are counted on, and pairs of them for each candidate, below which all are compared in tiles
 COUNTED, CROWD = 2048, 16
+#: links, either way, of texts left to cover that are written as pairs
+LINKS = 2_000_000
 
 
 def exact_clusters(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -275,9 +277,46 @@ def cover(texts: DataFrame, pairs: DataFrame, text: str = "t", rounds: int = 200
     return done.withColumnRenamed("t", text)
 
 
-def near_clusters(df: DataFrame, text: str, identity: float = 0.9, coverage: float = 0.8, k: int = 3) -> DataFrame:
-    """Add ``cluster_rep``, a text, to every row."""
-    found = cover(df.select(F.col(text).alias("t")).where("t IS NOT NULL"), similar_pairs(df, text, identity, coverage, k))
+def cover_in_tiles(texts: DataFrame, identity: float, reach: float, rounds: int = 200) -> DataFrame:
+    """(t, rep) as ``cover`` makes it, for texts of at most ``edits.LETTERS`` letters, without writing their pairs.
+
+    Links are found again, in tiles, for each step of a round: their numbers, then texts that have a
+    better neighbour. The best twentieth is asked first, which leaves few texts to compare with
+    all. When no more than ``LINKS`` links are left, ``cover`` goes on with their pairs.
+    """
+    left, done = checkpointed(texts.select("t").distinct()), None
+    alike = lambda d: d.withColumn("d", F.lit(0)).withColumn("n", F.lit(0))
+    near = lambda d: edits.neighbours_in_tiles(d.where("t <> ''"), identity, reach)
+    for _ in range(rounds):
+        degree = near(alike(left).withColumn("asks", F.lit(True))).select("t", "links")
+        rank = checkpointed(left.join(degree, "t", "left").select("t", "links", (-F.floor(4 * F.log2(F.coalesce("links", F.lit(0)) + 1.0))).alias("d"), F.xxhash64("t").alias("n")))
+        if (rank.agg(F.sum("links")).first()[0] or 0) <= LINKS:
+            won = cover(left, edits.pairs_in_tiles(left.where("t <> ''"), identity, reach)).select("t", "rep")
+            return won if done is None else done.unionByName(won)
+        best, open_ = rank.approxQuantile("d", [0.05], 0.01)[0], rank.withColumn("asks", F.lit(True))
+        for asking in (F.col("d") <= best, F.lit(True)):
+            met = near(rank.join(open_.select("t", "asks"), "t", "left").select("t", "d", "n", (F.coalesce("asks", F.lit(False)) & asking).alias("asks")))
+            open_ = checkpointed(open_.join(met.select("t", "near"), "t", "left").where(F.col("near").isNull() | (F.struct("d", "n", F.col("t").alias("x")) < F.col("near"))).drop("near"))
+        heads = open_.select("t", "asks")
+        met = near(alike(left.join(heads, "t", "left").withColumn("asks", F.coalesce("asks", F.lit(False))))).select("t", F.col("near.x").alias("rep"))
+        won = checkpointed(heads.select("t", F.col("t").alias("rep")).unionByName(met.join(heads, "t", "left_anti")))
+        done = won if done is None else done.unionByName(won)
+        left = checkpointed(left.join(won.select("t"), "t", "left_anti"))
+        if left.isEmpty():
+            return done
+    raise RuntimeError(f"texts are left uncovered after {rounds} rounds")
+
+
+def near_clusters(df: DataFrame, text: str, identity: float = 0.9, coverage: float = 0.8, k: int = 3, tiles: bool | None = None) -> DataFrame:
+    """Add ``cluster_rep``, a text, to every row; ``tiles`` as in ``similar_pairs``."""
+    texts, reach = df.select(F.col(text).alias("t")).where("t IS NOT NULL"), max(coverage, identity)
+    words = checkpointed(_texts(df, text))
+    if tiles is None:
+        tiles = crowded(words, identity, reach, k)
+    if tiles and words.where(F.col("n") > edits.LETTERS).isEmpty():
+        found = cover_in_tiles(texts, identity, reach)
+    else:
+        found = cover(texts, similar_pairs(words, "t", identity, coverage, k, tiles))
     return df.join(found.withColumnRenamed("t", text).withColumnRenamed("rep", "cluster_rep"), text, "left")
 
 

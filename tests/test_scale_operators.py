@@ -117,6 +117,18 @@ def test_a_crowd_shuffles_no_candidates(spark, monkeypatch):
     assert found == set(brute_pairs(texts, 0.8))
 
 
+@pytest.mark.parametrize("links", [0, 4000])
+def test_a_crowd_is_covered_as_its_pairs_would_be(spark, monkeypatch, links):
+    """Without writing pairs, or with pairs once few are left; the representatives are the same."""
+    texts = [*crowd(random.Random(9), 150), "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    pairs = dedup.similar_pairs(df, "t", 0.8, tiles=False)
+    want = {r["t"]: r["rep"] for r in dedup.cover(df.where("t IS NOT NULL"), pairs).collect()}
+    monkeypatch.setattr(dedup, "LINKS", links)
+    found = {r["t"]: r["cluster_rep"] for r in dedup.near_clusters(df, "t", 0.8, tiles=True).collect()}
+    assert found.pop(None) is None and found == want
+
+
 def test_representatives_are_apart_and_cover_all(spark):
     rng = random.Random(4)
     base = ["".join(rng.choice("ACDEFG") for _ in range(18)) for _ in range(12)]
