@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import runs as R
 from ledgerlens.functions import stats as S
 from ledgerlens.operators import geometry, graph, joins
-from ledgerlens.plans import compare
+from ledgerlens.plans import catalogue, compare
+from tests.oracle import assert_equal
 
 
 def brute_runs(rows):
@@ -131,3 +133,20 @@ def test_leaked_rows_are_rows(spark):
 def test_one_row_of_a_key_leaves_a_task(spark):
     plan = joins.keep_one(spark.range(100).withColumn("k", F.col("id") % 2), ["k"], "id")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_gaps_of_pairs_are_rounded_as_in_sql(spark, tmp_path):
+    prices = [0.0, 0.00015, 0.00005, 1.00005, -2.00025, 123456.78905, 4.9999999999999996e-05, 4503599627370497.0, 1e18, 1e304, 1e305, float("nan"), None]
+    rows = [(i, "b", "t", p) for i, p in enumerate(prices)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    df = catalogue.QUERIES["pair_join_within_cluster"](spark, str(tmp_path))
+    assert df.count() == len(prices) * (len(prices) - 1) // 2
+    assert_equal(df, con, catalogue.ORACLES["pair_join_within_cluster"])
+
+
+def test_rounding_away_from_zero(spark):
+    values = [0.5, 1.5, 2.5, -0.5, -1.5, -2.5, 0.49999999999999994, 4503599627370497.0, -9007199254740993.0, 1e308, float("inf"), float("-inf"), None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(S.round_away(F.col("x"), 0)).collect()]
+    assert got == [1.0, 2.0, 3.0, -1.0, -2.0, -3.0, 0.0, 4503599627370497.0, -9007199254740993.0, 1e308, float("inf"), float("-inf"), None]
