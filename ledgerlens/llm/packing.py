@@ -37,55 +37,65 @@ NODES = 3_000
 TRIES = 200
 #: pieces of one length that a task ranks, about, where the root of all pieces is not more
 PART_ROWS = 256
-#: runs remembered by a worker, some 100 MB
+#: words remembered by a worker, some 100 MB
 CACHE = 400_000
 
 _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
 _RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+#: signs at the end of a word, from after its last letter or digit; none is an apostrophe
+_LAST_SIGNS = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[a-z0-9ß-öø-ÿ].)[!-&(-/:-@\[-`{-~]*(?=\s|\Z)")
+
+
+class _Numbers(dict):
+    """Words and their numbers; one that is not known yet gets the next, and is kept in ``new``."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
 
 
 class WordCoder:
-    """Token ids of texts, one run at a time, remembering runs.
+    """Token ids of texts, one word at a time, remembering words.
 
     The tokenizer lowers letters, cuts a text into runs (letters, one digit, other signs),
-    drops white space and never joins runs. Texts of common letters are cut here in the
-    same way, and each new run is encoded once; of other texts, white-space words that
-    have other characters or control strings are encoded whole.
+    drops white space and never joins runs, so words can be encoded apart. Texts of common
+    letters are cut at white space and before a word's last signs, so that most words are one
+    run; a new one is cut into runs in the tokenizer's way, and these go to its model, spelled
+    as its byte level does. Of other texts, white-space words that have other characters or
+    control strings are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelled = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.offset, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
-    def _encode(self, runs: list[str]) -> list[list[int]]:
-        """The ids of new runs; of a whole word, marked by a first zero, as the tokenizer has it."""
-        out: dict[str, list[int]] = {}
-        plain, whole = [r for r in runs if r[0] != "\0"], [r for r in runs if r[0] == "\0"]
-        for i in range(0, len(plain), 256):
-            part = plain[i : i + 256]
-            ids = self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids
-            last = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(last) == len(part):
-                out.update((run, ids[a:b]) for run, a, b in zip(part, [0, *last], last))
-            else:
-                out.update((run, e.ids) for run, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)))
-        if whole:
-            out.update((run, e.ids) for run, e in zip(whole, self.tokenizer.encode_batch([r[1:] for r in whole], add_special_tokens=False)))
-        return [out[r] for r in runs]
-
-    def _learn(self, runs: list[str]) -> None:
-        coded, at = self._encode(runs), len(self.known)
-        n = at + len(runs)
+    def _encode(self, word: str) -> list[int]:
+        """The ids of a word; of one marked by a first zero, as the tokenizer has it."""
+        if word[0] == "\0":
+            return self.tokenizer.encode(word[1:], add_special_tokens=False).ids
+        runs = (word,) if word.isalpha() else _RUNS.findall(word)
+        return [t.id for run in runs for t in self.model.tokenize(run if run.isascii() else run.translate(self.spelled))]
+
+    def _learn(self) -> None:
+        """Encode the words that have got a number since the last call."""
+        coded = list(map(self._encode, self.known.new))
+        self.known.new.clear()
+        n = len(self.known)
+        at = n - len(coded)
         if n > len(self.offset):
             more = np.zeros(max(n, 2 * len(self.offset)) - len(self.offset), np.int64)
             self.offset, self.length = np.concatenate([self.offset, more]), np.concatenate([self.length, more])
@@ -96,19 +106,18 @@ class WordCoder:
             self.flat = np.concatenate([self.flat, np.zeros(max(total, len(self.flat)), np.uint32)])
         self.flat[self.used : self.used + total] = [i for ids in coded for i in ids]
         self.used += total
-        self.known.update(zip(runs, range(at, n)))
 
     @staticmethod
-    def runs_of(text: str | None) -> list[str]:
+    def words_of(text: str | None) -> list[str]:
         if not text:
             return []
         if "<|" not in text and _PLAIN.fullmatch(text):
-            return _RUNS.findall(text.lower())
+            return _LAST_SIGNS.sub(r" \g<0>", text.lower()).split()
         out: list[str] = []
         for word in text.encode().split():  # ASCII white space only
             s = word.decode()
             if "<|" not in s and _PLAIN.fullmatch(s):
-                out += _RUNS.findall(s.lower())
+                out += _LAST_SIGNS.sub(r" \g<0>", s.lower()).split()
             else:
                 out.append("\0" + s)
         return out
@@ -116,13 +125,13 @@ class WordCoder:
     def encode(self, texts: list[str | None], end: int) -> Iterator[np.ndarray]:
         """The ids of each text with the end id."""
         for i in range(0, len(texts), 64):
-            cut = [self.runs_of(t) for t in texts[i : i + 64]]
+            cut = [self.words_of(t) for t in texts[i : i + 64]]
             if len(self.known) > CACHE:
                 self._reset()
-            if new := set().union(*cut).difference(self.known):
-                self._learn(list(new))
-            for runs in cut:
-                at = np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))
+            numbers = [np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) for words in cut]
+            if self.known.new:
+                self._learn()
+            for at in numbers:
                 length = self.length[at]
                 total = int(length.sum())
                 out = np.empty(total + 1, np.uint32)

@@ -319,6 +319,24 @@ def test_coder_equals_the_tokenizer():
         assert [x.tolist() for x in coder.encode(texts, 1)] == [real.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
 
 
+def test_coder_equals_the_tokenizer_at_signs_and_white_space():
+    from tokenizers import Tokenizer
+
+    rng, real, coder = np.random.default_rng(8), Tokenizer.from_file(PATH), packing.WordCoder(PATH)
+    signs = list("aé7Sßt.,!&'-_`~[@/:\"(") + ["'s", "'re", " ", "  ", "\n", "\t", "\x0b", "...", "', ", "word", "Two", "Ünder", "×", "\x1c", "\x85", "\u0301", "<|", "|>"]
+    texts = ["".join(signs[i] for i in rng.integers(0, n, rng.integers(1, 40))) for n in (28, 33, len(signs)) for _ in range(700)]
+    for text, got in zip(texts, coder.encode(texts, 1)):
+        assert got.tolist() == real.encode(text, add_special_tokens=False).ids + [1], text
+
+
+def test_words_of_common_letters_go_to_the_model_alone(monkeypatch):
+    coder = packing.WordCoder(PATH)
+    text = "It's a test, of 12 wörds... (and 'more'); no\ttext\nhere runs <b>twice</b>."
+    want = coder.tokenizer.encode(text, add_special_tokens=False).ids + [1]
+    monkeypatch.setattr(coder, "tokenizer", None)
+    assert next(coder.encode([text], 1)).tolist() == want
+
+
 def test_plans_are_packings_at_their_bound():
     rng = np.random.default_rng(4)
     for n, low, high in ((0, 1, 9), (1, 1, 64), (40, 1, 64), (300, 5, 40), (500, 20, 64), (60, 22, 43)):
