@@ -85,6 +85,23 @@ def test_pairs_in_tiles(spark, tile):
     assert got == want
 
 
+def sent_records(spark):
+    """Records written to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_pairs_do_not_send_a_row_for_each_block(spark):
+    n = 6000
+    df = spark.range(n).select("id", F.lit("hot").alias("c"), (F.col("id") % 7).alias("v"))
+    before = sent_records(spark)
+    found = joins.pairs_within(df, ["c"], "id", "v").agg(F.count("*").alias("n"), F.sum("value_b").alias("v")).first()
+    assert found["n"] == n * (n - 1) // 2 and found["v"] == sum(i * (i % 7) for i in range(n))
+    assert sent_records(spark) - before < 2 * n
+
+
 def test_rotated_copies_have_no_distance(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(12, 3))
